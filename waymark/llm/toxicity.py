@@ -57,17 +57,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, batch: int = 512, rate: float = 0.02, least_docs: int = 3, l2: float = 1e-4, seed: int = 3) -> Model:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, batch: int = 512, rate: float = 0.02, least_docs: int = 3, least_z: float = 3.0, l2: float = 1e-5, seed: int = 3) -> Model:
     """Adam on the non-negative risk with the logistic loss.
 
-    A word needs ``least_docs`` positives to take part and is weighed by how much
-    more often positives have it than unlabelled texts (log ratio, smoothed).
+    A word takes part if at least ``least_docs`` positives have it and positives
+    have it more often than unlabelled texts by ``least_z`` standard errors.
+    After training the bias moves so that a share ``prior`` of the unlabelled
+    texts scores above 0.5.
     """
     dims = 1 << BITS
     count = lambda rows: np.bincount(np.concatenate(rows) if rows else np.zeros(0, np.int64), minlength=dims)
     p, u = count(positive), count(unlabelled)
-    lift = np.log((p + 0.5) / (len(positive) + 1)) - np.log((u + 0.5) / (len(unlabelled) + 1))
-    scale = np.where(p >= least_docs, np.maximum(np.abs(lift), 0.05), 0.0)
+    of_p, of_u = (p + 0.5) / (len(positive) + 1), (u + 0.5) / (len(unlabelled) + 1)
+    z = (of_p - of_u) / np.sqrt(of_p * (1 - of_p) / (len(positive) + 1) + of_u * (1 - of_u) / (len(unlabelled) + 1))
+    scale = ((p >= least_docs) & (z >= least_z)).astype(float)
     rng = np.random.default_rng(seed)
     w, b = np.zeros(dims), 0.0
     m, v, mb, vb, t = np.zeros(dims), np.zeros(dims), 0.0, 0.0, 0
@@ -97,7 +100,12 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return Model((w * scale).astype(np.float64), float(b))
+    model = Model(w * scale, float(b))
+    # The share of unlabelled texts above 0 is set to the prior; a text without any such word stays below.
+    ids, n = flat(unl)
+    margins = model.margins(ids, np.concatenate([[0], np.cumsum(n)]))
+    model.bias -= max(float(np.quantile(margins, 1 - prior)), model.bias + 0.1)
+    return model
 
 
 def held_out(column: str = "doc_id"):
