@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, quality, toxicity
+from waymark.llm import chat, decontam, linededup, quality, toxicity, urls
 from waymark.llm._store import Scratch, read
 
 
@@ -16,6 +16,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(stats, quality.fit(stats, read(spark, sf_dir, "labels")))
 
 
+# The contract's rules of op3.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(read(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed_lines", F.lit(0).cast("bigint"), lambda s, r: s + (r["end_line"] - r["first_line"]))
+    kept = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint")
+    n_lines = F.when((F.col("text") == "") & (n_removed > 0), n_removed).otherwise(kept + n_removed)
+    return out.select("doc_id", n_lines.alias("n_lines"), n_removed.alias("n_removed"), "text")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -28,9 +44,16 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(rows))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_url_filter": op3_url_filter,
+    "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
+    "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_line_dedup": linededup.SQL, "op10_decontamination": decontam.SQL}
