@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, decontam, linededup, quality, toxicity, urls
+from waymark.llm import chat, decontam, jaccard, linededup, quality, toxicity, urls
 from waymark.llm._store import Scratch, read
 
 
@@ -24,6 +24,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(read(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(read(spark, sf_dir, "documents"))
     n_removed = F.aggregate("removed_lines", F.lit(0).cast("bigint"), lambda s, r: s + (r["end_line"] - r["first_line"]))
@@ -51,9 +55,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_url_filter": op3_url_filter,
+    "op4_jaccard_join": op4_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op7_line_dedup": linededup.SQL, "op10_decontamination": decontam.SQL}
+ORACLES: dict[str, str] = {"op4_jaccard_join": jaccard.sql(4, 85, 100), "op7_line_dedup": linededup.SQL, "op10_decontamination": decontam.SQL}
