@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, decontam, jaccard, linededup, quality, toxicity, urls
+from waymark.llm import chat, decontam, jaccard, linededup, lm, quality, toxicity, urls
 from waymark.llm._store import Scratch, read
 
 
@@ -28,6 +28,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(read(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(read(spark, sf_dir, "documents"))
     n_removed = F.aggregate("removed_lines", F.lit(0).cast("bigint"), lambda s, r: s + (r["end_line"] - r["first_line"]))
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_url_filter": op3_url_filter,
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_lm_score": op6_lm_score,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
