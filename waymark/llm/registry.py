@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, decontam, jaccard, linededup, lm, quality, toxicity, urls
+from waymark.llm import chat, decontam, jaccard, linededup, lm, pieces, quality, toxicity, urls
 from waymark.llm._store import Scratch, read
 
 
@@ -28,6 +28,13 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(read(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.encode(docs, pieces.Vocabulary(), decoded="decoded")
+    same = F.col("decoded") == F.translate("text", pieces.MARK, " ")
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(read(spark, sf_dir, "documents"))
 
@@ -60,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_url_filter": op3_url_filter,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_lm_score": op6_lm_score,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
