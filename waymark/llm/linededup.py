@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm._store import Scratch
+
 WORD = r"[^\x20\x09-\x0D]"
 GAP = r"[\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
@@ -54,7 +56,7 @@ def _sequences(docs: DataFrame, min_words: int) -> DataFrame:
     return df
 
 
-def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = 50, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, key, first_line, end_line of every later copy of a minimal repeated run, as line numbers of the text."""
     df = _sequences(docs, min_words)
     levels = sum(c.startswith("level") for c in df.columns)
@@ -76,7 +78,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
         name = F.when(F.col("len") >= 2**k, own).otherwise(name)
     end = F.coalesce(F.get("raw", F.col("a") + F.col("len")), F.col("n_raw"))
     rows = rows.select("doc_id", "key", "a", "len", name.alias("name"), F.get("raw", F.col("a")).alias("first_line"), end.alias("end_line"))
-    rows = rows.withColumn("at", F.struct("doc_id", "key", "a"))
+    # Written once: the text is split and named in one pass, and both sides of the join below read the runs.
+    rows = (scratch or Scratch(docs.sparkSession, "lines")).table(rows, "runs").withColumn("at", F.struct("doc_id", "key", "a"))
     first = rows.groupBy("name", "len").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("name", "len", "first")
     return rows.join(first, ["name", "len"]).where("at <> first").select("doc_id", "key", "first_line", "end_line")
 
@@ -95,9 +98,9 @@ def _merge(spans: Column) -> Column:
     return F.aggregate(spans, F.array().cast(kind), add_safe)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 50, scratch: Scratch | None = None) -> DataFrame:
     """The documents with later copies of repeated runs deleted from text, and removed_lines: array of (first_line, end_line)."""
-    cuts = repeated_runs(docs, min_words).groupBy("doc_id", "key").agg(_merge(F.array_sort(F.collect_set(F.struct("first_line", "end_line")))).alias("_cuts"))
+    cuts = repeated_runs(docs, min_words, scratch).groupBy("doc_id", "key").agg(_merge(F.array_sort(F.collect_set(F.struct("first_line", "end_line")))).alias("_cuts"))
     cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_cuts")
     own = docs.join(cuts, docs["doc_id"].cast("bigint").eqNullSafe(cuts["_id"]) & (F.xxhash64(docs["text"]) == cuts["_key"]), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.exists("_cuts", lambda r: (i >= r["first_line"]) & (i < r["end_line"])))
