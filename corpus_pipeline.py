@@ -35,8 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go, and documents of which no word is left by that."""
-    _scratch(spark, "lines")
-    out = linededup.dedup_lines(docs)
+    out = linededup.dedup_lines(docs, scratch=_scratch(spark, "lines"))
     cut = F.size("removed_lines") > 0
     kept = out.where(~cut | linededup.has_word(F.col("text")))
     n_chars = F.when(cut, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
