@@ -22,7 +22,10 @@ A group of thousands of near copies does not meet in all pairs.  First each
 posting list joins its members only to a hub, the one with the fewest shingles of its
 own, and the verified links make components.  Then members of one list that
 are in different components meet, so no link between components is lost; links
-within one component cannot change it.
+within one component cannot change it.  There the overlaps with the hub bound the
+members' own: if shingle t is the first that x and y share, what they share lies at t or
+after it, and either in the hub, at most the smaller of their overlaps with it, or
+outside, at most the smaller of what each has outside the hub at t or after it.
 
 Defined results: null and empty texts have no shingles, an n_shingles of 0, and their
 own doc_id as component; a text of fewer words than ``size`` has its whole sequence
@@ -43,6 +46,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from waymark.llm import _text
 from waymark.llm._store import Scratch
@@ -207,25 +211,27 @@ def _gather(num: int, den: int):
     return run
 
 
-def _verify(num: int, den: int):
+def _verify(num: int, den: int, every: bool):
+    """a, b, both (shared shingles), links of each pair; only pairs that link unless ``every``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
         for batch in batches:
-            got = {"a": [], "b": []}
+            got: list[tuple] = []
             c = {k: v.to_pylist() for k, v in _text.columns(batch).items()}
             for a, b, na, nb, bins_a, bins_b, keys_a, keys_b in zip(*(c[k] for k in ("a", "b", "na", "nb", "bins_a", "bins_b", "keys_a", "keys_b")), strict=True):
                 links = lambda both: den * both >= num * (na + nb - both)  # noqa: B023, E731
-                if not links(int(np.minimum(np.frombuffer(bins_a, np.uint32), np.frombuffer(bins_b, np.uint32)).sum())):
+                if not every and not links(int(np.minimum(np.frombuffer(bins_a, np.uint32), np.frombuffer(bins_b, np.uint32)).sum())):
                     continue
                 if last != (a, na, keys_a):
                     last, known = (a, na, keys_a), _text.unpack_sorted(keys_a)
                 other = _text.unpack_sorted(keys_b)
                 at = np.searchsorted(known, other)
                 at[at == len(known)] = 0
-                if links(int((known[at] == other).sum()) if len(known) else 0):
-                    got["a"].append(a)
-                    got["b"].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(got["a"], pa.int64()), pa.array(got["b"], pa.int64())], names=["a", "b"])
+                both = int((known[at] == other).sum()) if len(known) else 0
+                if every or links(both):
+                    got.append((a, b, both, links(both)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "both", "links"])
 
     return run
 
@@ -272,26 +278,34 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         need = num * (c(x, "n") + c(y, "n"))
         short = (den * c(x, "n") >= num * c(y, "n")) & (den * c(y, "n") >= num * c(x, "n"))
         most = F.least(c(x, "shared"), c(y, "shared"))
-        # Before the common shingle at most the smaller position, after it the smaller rest, can be shared.
-        left = F.least(c(x, "at"), c(y, "at")) + 1 + F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at")) - 1
+        # At the first shingle that both share, all that they share lies at it or after it.
+        left = F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at"))
         return short & (F.least(most, left) * (num + den) >= need)
 
     def side(k: str) -> DataFrame:
         return nodes.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("bins").alias(f"bins_{k}"), F.col("keys").alias(f"keys_{k}"))
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def verified(pairs: DataFrame, name: str, every: bool) -> DataFrame:
         ready = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bins_a", "bins_b", "keys_a", "keys_b")
-        return scratch.table(ready.mapInArrow(_verify(num, den), "a bigint, b bigint"), name)
+        return scratch.table(ready.mapInArrow(_verify(num, den, every), "a bigint, b bigint, both bigint, links boolean"), name)
 
     to_hub = tokens.alias("y").join(lists.select("token", "hub").alias("l"), "token").select(F.col("l.hub").alias("x"), F.struct("y.id", "y.n", "y.shared", "y.at").alias("y")).where("x.id <> y.id").where(may_link("x", "y"))
-    edges = verified(to_hub.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "hub-links")
+    compared = verified(to_hub.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "hub-overlaps", True)
+    edges = compared.where("links").select("a", "b")
     labels = components(edges, scratch, "hub")
 
-    placed = tokens.join(lists.select("token"), "token", "left_semi").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    placed = tokens.join(lists.select("token", F.col("hub.id").alias("hub"), F.col("hub.at").alias("hub_at")), "token").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    placed = scratch.table(placed.join(mixed, "token", "left_semi"), "placed")
-    across = placed.alias("x").join(placed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")) & may_link("x", "y"))
-    more = verified(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "cross-links")
+    # Of what x shares with the hub, what lies at a common prefix shingle or after it.
+    common = compared.select("a", "b", "both").join(tokens.select(F.col("id").alias("b"), "token", "at"), "b").join(tokens.select(F.col("id").alias("a"), "token"), ["a", "token"])
+    before = F.row_number().over(Window.partitionBy("a", "b").orderBy("at", "token")) - 1
+    known = common.select(F.col("a").alias("hub"), F.col("b").alias("id"), "token", (F.col("both") - before).alias("in_hub"))
+    placed = placed.where("id <> hub").join(mixed, "token", "left_semi").join(known, ["hub", "id", "token"], "left")
+    placed = scratch.table(placed.withColumn("outside", F.col("n") - F.col("at") - F.col("in_hub")).select("token", "id", "n", "shared", "at", "label", "in_hub", "outside"), "placed")
+    bound = F.least("x.in_hub", "y.in_hub") + F.least("x.outside", "y.outside")
+    by_hub = bound.isNull() | (bound * (num + den) >= num * (F.col("x.n") + F.col("y.n")))  # least() skips nulls; one side alone is a bound too
+    across = placed.alias("x").join(placed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")) & may_link("x", "y") & by_hub)
+    more = verified(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "cross-links", False).select("a", "b")
     labels = components(edges.union(more), scratch, "all")
     out = members.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(labels, F.col("rep") == F.col("id"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
