@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, decontam, jaccard, linededup, lm, pieces, quality, toxicity, urls
+from waymark.llm import chat, decontam, jaccard, linededup, lm, pieces, pii, quality, toxicity, urls
 from waymark.llm._store import Scratch, read
 
 
@@ -16,6 +16,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(stats, quality.fit(stats, read(spark, sf_dir, "labels")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.extract(read(spark, sf_dir, "documents"))
+    more = F.transform("found", lambda s: F.concat(F.lit("id:"), s["first"].cast("string"), F.lit(":"), s["last"].cast("string")))
+    spans = F.array_join(F.filter(F.concat(F.array("base"), more), lambda x: x != ""), ",")
+    return out.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
+
+
 # The contract's rules of op3.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -65,6 +72,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pii": op2_pii,
     "op3_url_filter": op3_url_filter,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_sentencepiece": op5_sentencepiece,
