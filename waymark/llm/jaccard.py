@@ -314,7 +314,7 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 def keep_first(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """The documents, all columns as they are, without those that reach a smaller doc_id by links."""
     spare = link_components(docs, size, num, den, scratch).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(spare, F.col("doc_id").cast("bigint") == F.col("_id"), "left_anti")
+    return docs.join(spare, docs["doc_id"].cast("bigint") == spare["_id"], "left_anti")
 
 
 def sql(size: int, num: int, den: int) -> str:

@@ -16,7 +16,8 @@ the lines of every later copy are deleted.
 Defined results: null stays null, and empty texts stay; blank lines never match,
 and go with the line before them; lines are compared as they are; rows of equal
 doc_id and equal text are one document and keep equal results; null doc_ids come
-first; an empty table gives no rows; other columns pass through.
+first; an empty table gives no rows; other columns pass through, but one named
+removed_lines is replaced.
 """
 
 from __future__ import annotations
@@ -103,10 +104,11 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, scratch: Scratch | None =
     cuts = repeated_runs(docs, min_words, scratch).groupBy("doc_id", "key").agg(_merge(F.array_sort(F.collect_set(F.struct("first_line", "end_line")))).alias("_cuts"))
     cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_cuts")
     own = docs.join(cuts, docs["doc_id"].cast("bigint").eqNullSafe(cuts["_id"]) & (F.xxhash64(docs["text"]) == cuts["_key"]), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.exists("_cuts", lambda r: (i >= r["first_line"]) & (i < r["end_line"])))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.coalesce("_cuts", F.array().cast("array<struct<first_line:int,end_line:int>>"))
-    return own.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], removed.alias("removed_lines"))
+    spans = cuts["_cuts"]
+    kept = F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.exists(spans, lambda r: (i >= r["first_line"]) & (i < r["end_line"])))
+    text = F.when(spans.isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    removed = F.coalesce(spans, F.array().cast("array<struct<first_line:int,end_line:int>>"))
+    return own.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns if c != "removed_lines"], removed.alias("removed_lines"))
 
 
 def has_word(text: Column) -> Column:

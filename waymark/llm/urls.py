@@ -6,8 +6,8 @@ context is a state if it was seen ``min_context`` times, else a shorter one
 serves; Witten-Bell smoothing mixes each order with the next lower one.  A URL's
 score is the mean over its characters of log P(accepted) - log P(rejected), held
 as millionths in integers, so sums do not depend on their order.  The threshold
-is calibrated on the scores of the training URLs: the bin that best parts the two
-classes, each with weight one.
+is calibrated on the scores of the training URLs: the gap between bins that best parts
+the two classes, each with weight one.
 
 URLs decided by a rule are the training examples.
 
@@ -105,8 +105,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], min_context: int
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     right = F.coalesce(F.sum("r").over(below), F.lit(0)) / F.sum("r").over(every) + 1 - F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(every)
-    best = bins.withColumn("right", F.round(right, 9)).where("right is not null").agg(F.max(F.struct("right", "bin")).alias("b")).first()["b"]
-    threshold = best["bin"] * BIN if best else 0
+    gap = F.coalesce(F.lag("bin").over(Window.orderBy("bin")), F.col("bin"))  # the threshold is halfway from the bin below
+    best = bins.withColumn("right", F.round(right, 9)).withColumn("below", gap).where("right is not null").agg(F.max(F.struct("right", "bin", "below")).alias("b")).first()["b"]
+    threshold = (best["bin"] + best["below"] + 1) * BIN // 2 if best else 0
     out = rows.join(sums, "s", "left")
     by_score = F.when(F.coalesce("score", F.lit(0)) >= threshold, "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", "action", "score", F.coalesce("action", by_score).alias("verdict"))
