@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names.
@@ -19,7 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"/tmp/checkpoints/waymark-{os.getpid()}"
+    own = f"/tmp/checkpoints/waymark-{os.getpid()}"
+    if own not in _own:
+        _own.add(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
 
 
 class Scratch:
