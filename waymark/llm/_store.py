@@ -1,53 +1,5 @@
 """Tables in the folder that all executors share."""
 
-from __future__ import annotations
+from waymark.plans.store import Scratch, read, shared_dir
 
-import os
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names.
-
-    Where the setting is absent, a local master gets a folder of its own under
-    /tmp/checkpoints; a cluster must name one.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"/tmp/checkpoints/waymark-{os.getpid()}"
-
-
-class Scratch:
-    """Tables that one operator call writes to cut its lineage.
-
-    They must outlive the lazily read result, so whoever has consumed that
-    result calls drop(); the pipeline does so between its stages.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        at = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def remove(self, name: str) -> None:
-        self._delete(f"{self.path}/{name}")
-
-    def drop(self) -> None:
-        self._delete(self.path)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+__all__ = ["Scratch", "read", "shared_dir"]
