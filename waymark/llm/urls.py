@@ -111,3 +111,34 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], min_context: int
     out = rows.join(sums, "s", "left")
     by_score = F.when(F.coalesce("score", F.lit(0)) >= threshold, "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", "action", "score", F.coalesce("action", by_score).alias("verdict"))
+
+
+def sql(rules: list[tuple[str, str]], min_context: int = 3) -> str:
+    """The whole of judge_urls for DuckDB."""
+    ordered = sorted(rules, key=lambda r: (len(r[1]), r[1]), reverse=True)
+    fits = {rule: f"((host = '{rule.partition('/')[0]}' OR ends_with(host, '.{rule.partition('/')[0]}')) AND starts_with(path, '/{rule.partition('/')[2]}'))" for _, rule in ordered}
+    name = " ".join(f"WHEN {fits[rule]} THEN '{rule}'" for _, rule in ordered)
+    action = " ".join(f"WHEN {fits[rule]} THEN '{act}'" for act, rule in ordered)
+    steps, p = [], "SELECT gram, 1.0::DOUBLE / 39 AS pa, 1.0::DOUBLE / 39 AS pr FROM (SELECT DISTINCT gram FROM grams)"
+    for k in range(1, ORDER + 1):
+        least = min_context if k > 1 else 1
+        mixed = lambda p, c, n, t: f"CASE WHEN coalesce({n}, 0) >= {least} THEN (coalesce({c}, 0) + {t} * {p}) / ({n} + {t}) ELSE {p} END"  # noqa: B023, E731
+        steps.append(f"o{k} AS (SELECT substring(gram, {ORDER - k + 1}, {k}) AS g, sum(a) AS ca, sum(r) AS cr FROM top GROUP BY 1)")
+        steps.append(f"h{k} AS (SELECT substring(g, 1, {k - 1}) AS h, CAST(sum(ca) AS DOUBLE) AS na, CAST(sum(cr) AS DOUBLE) AS nr, count(*) FILTER (ca > 0) AS ta, count(*) FILTER (cr > 0) AS tr FROM o{k} GROUP BY 1)")
+        steps.append(f"p{k} AS (SELECT b.gram, {mixed('pa', 'ca', 'na', 'ta')} AS pa, {mixed('pr', 'cr', 'nr', 'tr')} AS pr FROM ({p}) b LEFT JOIN o{k} ON o{k}.g = substring(b.gram, {ORDER - k + 1}, {k}) LEFT JOIN h{k} ON h{k}.h = substring(b.gram, {ORDER - k + 1}, {k - 1}))")
+        p = f"SELECT * FROM p{k}"
+    return rf"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+ regexp_replace(translate(coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), ''), '{UPPER}123456789', '{LOWER}000000000'), '[^a-z0./\-_?=&#%]', '~', 'g') AS s FROM pages),
+r AS (SELECT *, CASE {name} END AS rule, CASE {action} END AS action FROM u),
+texts AS (SELECT s, action, count(*) AS times FROM r GROUP BY ALL),
+grams AS (SELECT s, substring('{PAD}' || s, i, {ORDER}) AS gram FROM (SELECT s, unnest(range(1, length(s) + 1)) AS i FROM (SELECT DISTINCT s FROM texts WHERE s <> ''))),
+top AS (SELECT gram, sum(times) FILTER (action = 'allow') AS a, sum(times) FILTER (action = 'block') AS r FROM grams JOIN texts USING (s) WHERE action IS NOT NULL GROUP BY gram),
+{', '.join(steps).replace('sum(a)', 'sum(coalesce(a, 0))').replace('sum(r)', 'sum(coalesce(r, 0))')},
+diff AS (SELECT gram, CAST(round((ln(pa) - ln(pr)) * {MILLION}) AS BIGINT) AS diff FROM p{ORDER}),
+score AS (SELECT s, CAST(floor(sum(diff) / count(*)) AS BIGINT) AS score FROM grams JOIN diff USING (gram) GROUP BY s),
+bins AS (SELECT CAST(floor(greatest(least(coalesce(score, 0), {20 * MILLION}), {-20 * MILLION}) / {BIN}) AS BIGINT) AS bin, sum(times) FILTER (action = 'allow') AS a, sum(times) FILTER (action = 'block') AS r FROM texts LEFT JOIN score USING (s) WHERE action IS NOT NULL GROUP BY 1),
+cut AS (SELECT bin, coalesce(lag(bin) OVER (ORDER BY bin), bin) AS below, round(coalesce(sum(coalesce(r, 0)) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT nullif(sum(r), 0) FROM bins) + 1 - coalesce(sum(coalesce(a, 0)) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT nullif(sum(a), 0) FROM bins), 9) AS fit FROM bins),
+t AS (SELECT coalesce((SELECT (bin + below + 1) * {BIN // 2} FROM cut WHERE fit IS NOT NULL ORDER BY fit DESC, bin DESC LIMIT 1), 0) AS threshold)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN coalesce(score, 0) >= (SELECT threshold FROM t) THEN 'allow' ELSE 'block' END) AS verdict FROM r LEFT JOIN score USING (s)
+"""
