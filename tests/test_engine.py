@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators import filters, resolve, search, spatial, sync
 from waymark.plans import gazetteer as g
-from waymark.sources import opendata, sinks
+from waymark.sources import download, opendata, register, sinks
 from waymark.streaming import refresh
 
 OBJECTS = "code bigint, typ int, name string, super_code bigint, zip_code string, lat decimal(10,3), long decimal(10,3), atvk string"
@@ -220,3 +220,49 @@ def test_sinks_and_refresh(spark, paths, tmp_path):
     assert sinks.current_version(spark, root) == "20" and sinks.old_versions(["3", "1", "2"]) == ["1", "2"]
     with pytest.raises(ValueError):
         sinks.load_snapshot(spark, str(tmp_path / "none"), ["x"])
+
+
+def test_replicated_tables(spark):
+    assert list(register.TABLES) == ["arg_adrese", "arg_adrese_arh", "art_vieta", "art_nlieta", "art_eka_geo", "art_dziv"]
+    assert register.key("art_eka_geo") == "mslink" and register.mark("art_eka_geo") is None and register.mark("art_dziv") == "dat_mod"
+    assert len(register.fields("arg_adrese")) == 16 and len(register.fields("art_nlieta")) == 15
+    source = spark.createDataFrame([(1, 10, 1.5, 2.5), (2, 20, 3.0, 4.0)], "mslink int, vieta_cd int, koord_x double, koord_y double")
+    target = sync.renamed(source.limit(1), register.fields("art_eka_geo"))
+    out = {}
+    register.replicate(["art_eka_geo"], lambda t: source, lambda t: target, out.__setitem__)
+    assert sorted(r["mslink"] for r in out["art_eka_geo"].collect()) == [1, 2]
+    assert register.arguments(["--verify", "art_dziv"]).tables == ["art_dziv"] and register.arguments([]).tables == list(register.TABLES)
+    with pytest.raises(SystemExit):
+        register.arguments(["none"])
+
+
+def test_download(tmp_path):
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def answer(self):
+            self.send_response(200)
+            self.send_header("Last-Modified", "Tue, 02 Jan 2024 03:04:05 GMT")
+            self.end_headers()
+
+        do_HEAD = answer
+
+        def do_GET(self):
+            self.answer()
+            self.wfile.write(b"content")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/aw_eka.csv"
+    got = download.fetch(url, str(tmp_path))
+    assert got.endswith("2024_01_02T03_04_05.aw_eka.csv") and open(got).read() == "content"
+    assert download.fetch(url, str(tmp_path)) is None
+    (tmp_path / "2023_01_02T03_04_05.aw_eka.csv").write_text("old")
+    assert download.current_files(str(tmp_path), [url]) == {"aw_eka.csv": got} and download.version(str(tmp_path), [url]) == "2024_01_02T03_04_05"
+    assert opendata.kind_of(got) == "AW_EKA"
+    assert download.drop_old(str(tmp_path), download.STAMP + r"\.aw_eka\.csv") == ["2023_01_02T03_04_05.aw_eka.csv"]
+    server.shutdown()

@@ -422,9 +422,10 @@ def json_result(spark, sf_dir):
     return g.address(_paths(spark, sf_dir), ()).select("code", sinks.json_result(["code", "typ", "address", "irAdrese", "zipCode"]).alias("json"))
 
 
-@query("latest_version", "SELECT event_type, strftime(max(ts), '%Y%m%d%H%M%S') AS version FROM events GROUP BY event_type")
+@query("latest_version", "SELECT event_type, strftime(max(ts), '%Y_%m_%dT%H_%M_%S') AS version FROM events GROUP BY event_type")
 def latest_version(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.date_format(F.max("ts"), "yyyyMMddHHmmss").alias("version"))
+    name = F.concat(F.date_format("ts", "yyyy_MM_dd'T'HH_mm_ss"), F.lit(".events.csv"))
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.max(text.version_of(name)).alias("version"))
 
 
 @query("refresh_stream", "SELECT event_type, max(ts) AS latest, count(*) AS n_events FROM events GROUP BY event_type")

@@ -117,5 +117,5 @@ def file_name(url: Column) -> Column:
 
 
 def version_of(name: Column) -> Column:
-    """The part of a file name between its last '_' and its extension."""
-    return F.regexp_extract(name, r"([^_./]*)\.[^./]*$", 1)
+    """The part of a file name before its first dot."""
+    return F.substring_index(name, ".", 1)
