@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -40,7 +41,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BLOCK_BYTES = 4 << 20
 #: Words and piece pairs that a task remembers; more are worked out anew.
-KNOWN_WORDS, KNOWN_SEAMS = 250_000, 500_000
+KNOWN_WORDS, KNOWN_SEAMS = 500_000, 500_000
 SLICE = 1 << 20
 _WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
@@ -69,11 +70,11 @@ class Vocabulary:
                 self.bytes[int(p.piece[3:5], 16)] = i
             self.decoded.append(bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(MARK, " ").encode() if p.type == 1 else " ⁇ ".encode() if p.type == 2 else b"")
         self.id = {piece: i for i, piece, _ in normal}
-        self.score = {i: score for i, _, score in normal}
+        self.score = {piece: score for _, piece, score in normal}
+        self.packed = {piece: struct.pack("<i", i) for i, piece, _ in normal}
         ranks = sorted({-score for _, _, score in normal})
         rank = {r: k for k, r in enumerate(ranks)}
         self.rank = {piece: rank[-score] for _, piece, score in normal}
-        self.longest = max(len(piece) for piece in self.id)
         #: of a piece of several characters: how its last merge parts it; pieces that merging never makes are left out
         self.parts: dict[str, tuple[str, str]] = {}
         for piece in self.id:
@@ -82,6 +83,13 @@ class Vocabulary:
                 if len(got) == 1:
                     self.parts[piece] = self.last
         self.usable = {p: i for p, i in self.id.items() if len(p) == 1 or p in self.parts}
+        #: trie of the usable pieces: a node maps a character to a node, and '' to its piece
+        self.trie: dict = {}
+        for piece in self.usable:
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = piece
 
     def merge(self, word: str) -> list[str]:
         """Pieces of a word of known characters by merging step by step: best rank first, then leftmost."""
@@ -136,7 +144,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as little-endian int32, so a text's ids are one join
         self.seams: dict[tuple[str, str], bool] = {}
 
     def learn(self, words: Iterable[str]) -> None:
@@ -149,7 +157,7 @@ class Encoder:
         plain.sort()
         self._walk(plain)
 
-    def _rest(self, word: str) -> tuple[int, ...]:
+    def _rest(self, word: str) -> bytes:
         """A word with a run of marks or with unknown characters."""
         v, out, run = self.v, [], []
         for c in [*word, None]:
@@ -161,24 +169,31 @@ class Encoder:
                 run = []
             if c is not None:
                 out += [v.bytes[x] for x in c.encode()]
-        return tuple(out)
+        return struct.pack(f"<{len(out)}i", *out)
 
     def _walk(self, words: list[str]) -> None:
-        usable, seams, apart, longest, score = self.v.usable, self.seams, self.v.apart, self.v.longest, self.v.score
-        last: list[str] = [""]  # the last piece of the path to each character of the current branch
+        packed, seams, apart, score, root = self.v.packed, self.seams, self.v.apart, self.v.score, self.v.trie
+        # For each character of the current branch: the last piece of the path to it, where that begins, the path's
+        # score, and the pieces under way as (begin, trie node).
+        last: list[str] = [""]
+        origin: list[int] = [0]
         forward: list[float] = [0.0]
-        ids: list[tuple[int, ...]] = [()]
+        under_way: list[list[tuple[int, dict]]] = [[]]
         before = ""
         for word in words:
             n = min(len(word), len(before))
             shared = 0
             while shared < n and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :], forward[shared + 1 :], ids[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                for begin in range(max(0, end - longest), end):
-                    piece = word[begin:end]
-                    if piece not in usable:
+            del last[shared + 1 :], origin[shared + 1 :], forward[shared + 1 :], under_way[shared + 1 :]
+            for end in range(shared, len(word)):
+                c = word[end]
+                grown = [(begin, own) for begin, node in under_way[end] if (own := node.get(c)) is not None]
+                grown.append((end, root[c]))
+                under_way.append(grown)
+                for begin, node in grown:
+                    piece = node.get("")
+                    if piece is None:
                         continue
                     if begin:
                         seam = (last[begin], piece)
@@ -187,12 +202,15 @@ class Encoder:
                             fits = seams[seam] = apart(*seam)
                         if not fits:
                             continue
-                    own = usable[piece]
                     last.append(piece)
-                    forward.append(forward[begin] + score[own])
-                    ids.append((*ids[begin], own))
+                    origin.append(begin)
+                    forward.append(forward[begin] + score[piece])
                     break
-            self.known[word] = ids[-1]
+            path, at = b"", len(word)
+            while at:
+                path = packed[last[at]] + path
+                at = origin[at]
+            self.known[word] = path
             before = word
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
@@ -207,8 +225,8 @@ class Encoder:
                 fresh.update(words)
         self.learn(w for w in fresh if w not in known)
         for text, parts in zip(texts, split, strict=True):
-            flat = [np.array(list(chain.from_iterable(map(known.__getitem__, words))), np.int32) for words in parts]
-            out.append(None if text is None else flat[0] if len(flat) == 1 else np.concatenate([np.zeros(0, np.int32), *flat]))
+            flat = b"".join(map(known.__getitem__, chain.from_iterable(parts)))
+            out.append(None if text is None else np.frombuffer(flat, "<i4"))
         if len(known) > KNOWN_WORDS:
             known.clear()
         if len(self.seams) > KNOWN_SEAMS:
