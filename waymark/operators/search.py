@@ -67,8 +67,9 @@ def intersect(phrases: DataFrame, index: Index, allowed: DataFrame | None = None
     hits = per_ref.groupBy("q_id", "v", "n", "idx").agg(F.count("*").alias("found"), F.sum("level").alias("level")).where("found = n").select("q_id", "v", "idx", "level")
     if allowed is not None:
         hits = hits.join(index.strings.join(allowed.select("code"), "code", "left_semi").select("idx"), "idx", "left_semi")
+    # Filtered as it stands, the row number also cuts each task's rows before they are dealt.
     rank = F.row_number().over(Window.partitionBy("q_id", "v").orderBy("level", "idx"))
-    return hits.withColumn("pos", rank - 1).where(F.col("pos") < limit)
+    return hits.withColumn("n", rank).where(F.col("n") <= limit).withColumn("pos", F.col("n") - 1).drop("n")
 
 
 def merge_variants(queries: DataFrame) -> DataFrame:
@@ -113,41 +114,52 @@ def fuzzy_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     return own.unionByName(near)
 
 
+def _in_common(readings: DataFrame, index: Index, open_last: bool) -> DataFrame:
+    """Adds n_refs, how many strings have all words of a reading (mult, words); readings without any go.
+
+    open_last: the last word may match as a prefix if no string has it whole.
+    """
+    key = ["mult", "words"]
+    each = readings.select(*key).distinct().select(*key, F.size("words").alias("n"), F.posexplode("words").alias("at", "token"))
+    refs = each.join(index.vocab.select("token", "mult", "n_exact"), ["token", "mult"]).join(index.posting, ["token", "mult"])
+    whole = F.col("exact")
+    if open_last:
+        whole = whole | ((F.col("at") == F.col("n") - 1) & (F.col("n_exact") == 0))
+    shared = refs.where(whole).select(*key, "n", "at", "idx").distinct().groupBy(*key, "n", "idx").agg(F.count("*").alias("found")).where("found = n")
+    return readings.join(shared.groupBy(*key).agg(F.count("*").alias("n_refs")), key)
+
+
 def split_tokens(tokens: DataFrame, index: Index, max_splits: int = MAX_SPLITS) -> DataFrame:
     """Ways to read a token without any correction as several words: token, mult, words, edit_distance, splits, n_refs.
 
     Each step cuts a head that is a whole word within its own allowed distance, at
-    one more for the space, and looks the rest up as a fuzzy token; the strings that
-    have all words must not run out.
+    one more for the space, and looks the rest up as a fuzzy token; some string must
+    have all words.
     """
-    none = F.array().cast("array<string>")
     keep = index.scratch.keep
-    start = tokens.distinct().join(fuzzy_tokens(tokens, index.vocab).select("token", "mult").distinct(), ["token", "mult"], "left_anti")
-    front = keep(start).select("token", "mult", "most", F.col("token").alias("rest"), none.alias("words"), F.lit(0).alias("edit_distance"), F.lit(None).cast("array<bigint>").alias("refs"))
-    refs_of = index.posting.groupBy("token", "mult").agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("idx")))).alias("exact_refs"), F.sort_array(F.collect_set(F.when(~F.col("exact"), F.col("idx")))).alias("approx_refs"))
+    start = keep(tokens.distinct().join(fuzzy_tokens(tokens, index.vocab).select("token", "mult").distinct(), ["token", "mult"], "left_anti"))
+    front = start.select("token", "mult", "most", F.col("token").alias("rest"), F.array().cast("array<string>").alias("words"), F.lit(0).alias("edit_distance"))
     found = None
     for step in range(max_splits):
         bound = F.least(F.col("most"), text.max_edit_distance(F.col("rest")))
         if step:  # the rest as one word
             looked = front.withColumn("bound", bound)
             whole = fuzzy_tokens(looked.select(F.col("rest").alias("token"), "mult", F.col("bound").alias("most")), index.vocab)
-            whole = whole.join(refs_of.withColumnRenamed("token", "word"), ["word", "mult"]).select(F.col("token").alias("rest"), "mult", "word", F.col("edit_distance").alias("own"), F.when(F.size("exact_refs") > 0, F.col("exact_refs")).otherwise(F.col("approx_refs")).alias("own_refs"))
-            ends = looked.join(whole, ["rest", "mult"]).where(F.col("own") <= F.col("bound")).select(
-                "token", "mult", F.concat("words", F.array("word")).alias("words"), (F.col("edit_distance") + F.col("own")).alias("edit_distance"), F.lit(step).alias("splits"), F.size(F.array_intersect("refs", "own_refs")).alias("n_refs")
-            ).where("n_refs > 0")
-            ends = keep(ends)
+            whole = whole.select(F.col("token").alias("rest"), "mult", "word", F.col("edit_distance").alias("own"))
+            ends = looked.join(whole, ["rest", "mult"]).where(F.col("own") <= F.col("bound"))
+            ends = ends.select("token", "mult", F.concat("words", F.array("word")).alias("words"), (F.col("edit_distance") + F.col("own")).alias("edit_distance"), F.lit(step).alias("splits"))
+            ends = keep(_in_common(ends, index, open_last=True))
             found = ends if found is None else found.unionByName(ends)
         if step == max_splits - 1:
             break
-        cut = front.where(F.length("rest") > 1).withColumn("bound", F.least(F.col("most"), bound) if step else F.col("most"))
+        cut = front.where(F.length("rest") > 1).withColumn("bound", bound if step else F.col("most"))
         cut = cut.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("rest") - 1))).withColumn("head", F.substr("rest", F.lit(1), F.col("i"))).withColumn("tail", F.substr("rest", F.col("i") + 1))
         heads = _pairs_within(cut.select(F.col("head").alias("token"), "mult", F.lit(2).alias("most")).distinct(), index.vocab, 2).select(F.col("token").alias("head"), "mult", "word", F.col("edit_distance").alias("own"))
         nxt = cut.join(heads, ["head", "mult"]).where(F.col("own") <= F.least(F.col("bound"), text.max_edit_distance(F.col("word"))))
-        nxt = nxt.join(refs_of.select(F.col("token").alias("word"), "mult", "exact_refs"), ["word", "mult"])
-        nxt = nxt.withColumn("refs", F.when(F.col("refs").isNull(), F.col("exact_refs")).otherwise(F.array_intersect("refs", "exact_refs"))).where(F.size("refs") > 0)
-        best = Window.partitionBy("token", "mult", "words", "tail").orderBy("edit_distance")
-        nxt = nxt.select("token", "mult", "most", F.col("tail").alias("rest"), F.concat("words", F.array("word")).alias("words"), (F.col("edit_distance") + F.col("own") + 1).alias("edit_distance"), "refs", "tail")
-        front = keep(nxt.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k", "tail"))
+        nxt = nxt.select("token", "mult", "most", F.col("tail").alias("rest"), F.concat("words", F.array("word")).alias("words"), (F.col("edit_distance") + F.col("own") + 1).alias("edit_distance"))
+        best = Window.partitionBy("token", "mult", "words", "rest").orderBy("edit_distance")
+        nxt = nxt.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+        front = keep(_in_common(nxt, index, open_last=False).drop("n_refs"))
     cheapest = Window.partitionBy("token", "mult", "words").orderBy("edit_distance")
     return found.withColumn("k", F.row_number().over(cheapest)).where("k = 1").drop("k")
 
