@@ -183,5 +183,18 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
 
 
+LEAST_BUCKETS, BUCKET_BYTES, MOST_BUCKET_BYTES = 32, 8 << 20, 64 << 20
+
+
+def bucket_count(n_bytes: int) -> int:
+    """Buckets for the keys of a corpus of ``n_bytes`` of text.
+
+    A bucket stands for BUCKET_BYTES to MOST_BUCKET_BYTES of text, more for larger corpora:
+    it has to fit a task, and each block's part of a bucket should hold more than a few keys.
+    """
+    own = min(MOST_BUCKET_BYTES, max(BUCKET_BYTES, int((n_bytes * 1024) ** 0.5)))
+    return max(LEAST_BUCKETS, n_bytes // own)
+
+
 def columns(batch: pa.RecordBatch) -> dict[str, pa.Array]:
     return {name: batch.column(i) for i, name in enumerate(batch.schema.names)}

@@ -7,8 +7,8 @@ Document positions whose shingle is some window's prefix are candidates; those
 whose window would begin before the text or end after it fall away, and the rest
 is compared word by word with the item-sized window, in the task that found it.
 
-Windows are joined in blocks of at most ``block_rows``, so a broadcast side has a
-fixed bound, whatever the benchmark's size.
+Windows are joined in blocks of about ``block_rows`` pairs of window and item, so a
+broadcast side has a fixed bound, whatever the benchmark's size.
 
 Defined results: null and empty texts have no words and no hits; an item without
 words or without item_id is left out; repeated items count once; rows of equal
@@ -73,7 +73,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3,
     """Per document: doc_id, text_key, n_words, spans (ascending start, end of window occurrences), item_ids."""
     own = windows_of(items, window, shingle)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
-    stats = own.groupBy("size").count().collect()  # shingle rows at most
+    stats = own.groupBy("size").agg(F.sum(F.size("item_ids")).alias("count")).collect()  # shingle rows at most
     sizes = sorted(r["size"] for r in stats)
     n_blocks = max(1, -(-sum(r["count"] for r in stats) // block_rows))
     hits = "array<struct<start:int,end:int>>"

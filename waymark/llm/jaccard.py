@@ -53,7 +53,6 @@ from waymark.llm._store import Scratch
 
 BITS = 48
 BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 8 << 20
 BINS = 32
 NO_ID = np.iinfo(np.int64).min
 SENT = "kind int, bucket int, chunk string, a binary, b binary, c binary, d binary"
@@ -264,7 +263,7 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     scratch = scratch or Scratch(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    n_buckets = int(max(32, n_bytes // BUCKET_BYTES))
+    n_buckets = _text.bucket_count(n_bytes)
     answers = _send(rows, size, n_buckets).groupBy("kind", "bucket").applyInArrow(_answer, ANSWERS)
     members = scratch.table(answers.groupBy("chunk").applyInArrow(_gather(num, den), DOCS), "members")
 

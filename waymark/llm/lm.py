@@ -38,7 +38,6 @@ from waymark.llm import _text
 from waymark.llm._store import Scratch
 
 BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 8 << 20
 FOLDS, HELD_OUT = 7, 2
 BEGIN, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC6A4A7935BD1E995)
 BLOCKS = "chunk string, ids binary, offsets binary, body binary"
@@ -259,7 +258,7 @@ def score_texts(docs: DataFrame, order: int = 2, scratch: Scratch | None = None)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = scratch.table(_write_blocks(rows), "blocks")
     n_bytes = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    n_buckets = int(max(32, n_bytes // BUCKET_BYTES))
+    n_buckets = _text.bucket_count(n_bytes)
     bits = min(64, max(40, int(n_bytes).bit_length() + 18))  # so few n-grams share a key at any size
     totals = scratch.table(_send(blocks, order, bits, n_buckets).groupBy("n", "bucket").applyInArrow(_total, TOTALS), "totals")
     stats = totals.where("chunk is null").groupBy("n", "level").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()  # some hundred levels an order

@@ -47,7 +47,7 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _TRIM = ".,;:!?()[]{}<>\"'"
 NEAR = 64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 FLUSH_WORDS = 2_000_000
 FOUND = "row string, what string, doc_id bigint, base string, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, first bigint, last bigint, token string, left bigint, right bigint, word bigint, n bigint"
 _TYPES = {"string": pa.string(), "bigint": pa.int64()}

@@ -28,7 +28,7 @@ from waymark.llm import _text
 SYMBOLS = b"#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("mean_word", "symbol_share", "repeat_share", "dup_line_share", "upper_share", "mark_share", "digit_share", "distinct_share", "short_word_share", "top_word_share", "mean_line")
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 STATS_SCHEMA = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in BASE) + ", base_failed boolean, " + ", ".join(f"{c} double" for c in FEATURES)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from waymark.llm import _text
 
 BITS = 18
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Words are runs of a-z, 0-9 and non-ASCII characters, so punctuation does not change them.
 BREAKS = np.ones(256, bool)
 BREAKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
