@@ -112,16 +112,25 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+#: Bytes hashed at a time: the running sums and powers of so many stay in a core's cache.
+HASH_BYTES = 1 << 18
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] of each span: a polynomial over random byte values, from one running sum."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[data] * power[: len(data)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * inverse[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    """64-bit hash of data[start:end] of each of ascending spans: a polynomial over random byte values, from running sums."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + HASH_BYTES)))
+        first, last = int(starts[i]), int(ends[j - 1])
+        power, inverse = _powers(last - first + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(last - first + 1, np.uint64)
+            np.cumsum(_VALUES[data[first:last]] * power[: last - first], out=sums[1:])
+            a, b = starts[i:j] - first, ends[i:j] - first
+            out[i:j] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        i = j
+    return out
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
