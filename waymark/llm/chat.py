@@ -216,3 +216,13 @@ def read_back(pieces: DataFrame) -> DataFrame:
         yield flush()
 
     return pieces.repartition("conv_id").sortWithinPartitions("conv_id", "first_turn", "piece").mapInArrow(run, DIGEST)
+
+
+SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, (SELECT sum((length(text) - length(replace(text, k, ''))) // length(k)) FROM (VALUES ('\'), ('<s>'), ('</s>'), ('<a>'), ('[INST]'), ('[/INST]'), ('<r:'), ('</r>')) v(k)) AS added FROM c),
+f AS (SELECT *, length(text) + added + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 8 ELSE 10 + length(role) END AS chars FROM e),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""

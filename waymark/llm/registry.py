@@ -82,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op3_url_filter": urls.sql(URL_RULES), "op4_jaccard_join": jaccard.sql(4, 85, 100), "op7_line_dedup": linededup.SQL, "op10_decontamination": decontam.SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": urls.sql(URL_RULES), "op4_jaccard_join": jaccard.sql(4, 85, 100), "op7_line_dedup": linededup.SQL, "op9_chat_format": chat.SQL, "op10_decontamination": decontam.SQL}
