@@ -22,6 +22,7 @@ MAX_MERGES = 32
 MAX_INTERSECTIONS = 1024
 MAX_PRODUCTIVE = 32
 MAX_SPLITS = 4
+SALTS = 32
 
 
 @dataclass
@@ -67,9 +68,12 @@ def intersect(phrases: DataFrame, index: Index, allowed: DataFrame | None = None
     hits = per_ref.groupBy("q_id", "v", "n", "idx").agg(F.count("*").alias("found"), F.sum("level").alias("level")).where("found = n").select("q_id", "v", "idx", "level")
     if allowed is not None:
         hits = hits.join(index.strings.join(allowed.select("code"), "code", "left_semi").select("idx"), "idx", "left_semi")
-    # Filtered as it stands, the row number also cuts each task's rows before they are dealt.
+    # A query that very many strings answer is cut in SALTS parts first, so no task sorts all of its rows.
+    salted = hits.withColumn("salt", F.pmod(F.xxhash64("idx"), F.lit(SALTS)))
+    part = F.row_number().over(Window.partitionBy("q_id", "v", "salt").orderBy("level", "idx"))
+    salted = salted.withColumn("k", part).where(F.col("k") <= limit).drop("k", "salt")
     rank = F.row_number().over(Window.partitionBy("q_id", "v").orderBy("level", "idx"))
-    return hits.withColumn("n", rank).where(F.col("n") <= limit).withColumn("pos", F.col("n") - 1).drop("n")
+    return salted.withColumn("k", rank).where(F.col("k") <= limit).withColumn("pos", F.col("k") - 1).drop("k")
 
 
 def merge_variants(queries: DataFrame) -> DataFrame:
