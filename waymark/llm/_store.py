@@ -1,5 +1,23 @@
-"""Tables in the folder that all executors share."""
+"""Tables in the folder that all executors share, and how many rows a task takes at a time."""
 
-from waymark.plans.store import Scratch, read, shared_dir
+from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["Scratch", "read", "shared_dir"]
+from waymark.plans import store
+from waymark.plans.store import Scratch, shared_dir
+
+__all__ = ["BATCH_ROWS", "Scratch", "bounded_batches", "read", "shared_dir"]
+
+#: Spark hands rows to Python by count, 10000 unless set; texts can be long, so fewer keep a task's memory bounded.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows an Arrow batch to BATCH_ROWS; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
+    return store.read(spark, sf_dir, table)

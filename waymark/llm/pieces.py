@@ -39,9 +39,9 @@ from waymark.llm import _text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Words and piece pairs that a task remembers; more are worked out anew.
-KNOWN_WORDS, KNOWN_SEAMS = 500_000, 500_000
+KNOWN_WORDS, KNOWN_SEAMS = 200_000, 300_000
 SLICE = 1 << 20
 _WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
@@ -227,8 +227,8 @@ class Encoder:
         for text, parts in zip(texts, split, strict=True):
             flat = b"".join(map(known.__getitem__, chain.from_iterable(parts)))
             out.append(None if text is None else np.frombuffer(flat, "<i4"))
-        if len(known) > KNOWN_WORDS:
-            known.clear()
+        if len(known) > KNOWN_WORDS:  # the words of this block stay
+            self.known = {w: known[w] for w in fresh}
         if len(self.seams) > KNOWN_SEAMS:
             self.seams.clear()
         return out
