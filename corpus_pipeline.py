@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import decontam, jaccard, linededup, pieces, quality
-from waymark.llm._store import Scratch, read
+from waymark.llm._store import Scratch, bounded_batches, read
 
 _open: list[Scratch] = []
 
 
 def _scratch(spark: SparkSession, name: str) -> Scratch:
     """Tables for one stage. Its predecessors' results are written by now, so theirs go."""
+    bounded_batches(spark)
     while _open:
         old = _open.pop()
         if old.spark is spark:
