@@ -467,6 +467,23 @@ def test_toxicity_held_out(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
+def test_toxicity_cut_does_not_depend_on_the_sample(spark):
+    rng = random.Random(19)
+    plain, bad = [f"w{i}" for i in range(300)], ["scoundrel", "villain", "rascal", "knave"]
+    data = []
+    for _ in range(3000):
+        w = [rng.choice(plain) for _ in range(rng.randint(5, 60))]
+        y = int(rng.random() < 0.12)
+        for _ in range(rng.randint(2, 3) * y):
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        data.append((" ".join(w), y))
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(data)], "doc_id bigint, quality int, toxic int")
+    df = docs(spark, [t for t, _ in data])
+    rows = toxicity.score(df, toxicity.fit(df, labels, max_unlabelled=400)).collect()
+    held = [(r["predicted"], data[r["doc_id"]][1]) for r in rows if r["held_out"]]
+    assert sum(p for p, y in held if y) >= 0.9 * sum(y for _, y in held) and sum(p for p, y in held if not y) <= 0.03 * len(held)
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(4, 1, 1), (5, 1, 0), (None, 1, 1), (8, None, None)], "doc_id bigint, quality int, toxic int")
     assert toxicity.score(odd(spark), toxicity.fit(odd(spark), labels)).count() == 9

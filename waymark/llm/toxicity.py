@@ -8,8 +8,10 @@ examples plus unlabelled text, with the risk estimate
 whose second part, the risk of the negatives, is not let fall below zero.
 
 Bounds of the training sample, both parameters: ``max_positive`` toxic rows and
-``max_unlabelled`` other rows, first by a hash of doc_id.  Labels count only where
-crc32(doc_id as text) mod 5 is not 0.  Every whole text is scored.
+``max_unlabelled`` rows of any kind, each first by a hash of doc_id, so toxic rows are
+as frequent among the latter as in the corpus.  Labels count only where
+crc32(doc_id as text) mod 5 is not 0.  The cut at 0.5 is set from the margins of all
+rows that are not held out.  Every whole text is scored.
 
 Defined results: a null or empty text scores as one without words; repeated rows
 score alike; several labels of a document count as toxic if one does; without
@@ -62,8 +64,6 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
     A word takes part if at least ``least_docs`` positives have it and positives
     have it more often than unlabelled texts by ``least_z`` standard errors.
-    After training the bias moves so that a share ``prior`` of the unlabelled
-    texts scores above 0.5.
     """
     dims = 1 << BITS
     count = lambda rows: np.bincount(np.concatenate(rows) if rows else np.zeros(0, np.int64), minlength=dims)
@@ -100,12 +100,32 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    model = Model(w * scale, float(b))
-    # The share of unlabelled texts above 0 is set to the prior; a text without any such word stays below.
-    ids, n = flat(unl)
-    margins = model.margins(ids, np.concatenate([[0], np.cumsum(n)]))
-    model.bias -= max(float(np.quantile(margins, 1 - prior)), model.bias + 0.1)
-    return model
+    return Model(w * scale, float(b))
+
+
+#: Margins are counted in bins this many to the unit.
+MARGIN_BINS = 1024
+
+
+def calibrate(model: Model, docs: DataFrame, prior: float) -> Model:
+    """Moves the bias so that a share ``prior`` of all ``docs`` (text), as near as the bins allow, scores above 0.5; a text without any word that counts stays below."""
+    weights = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = weights.value
+        for batch in batches:
+            for a, b in _text.blocks(batch.column(0), BLOCK_BYTES):
+                margins = own.margins(*features(batch.column(0).slice(a, b - a)))
+                bins, n = np.unique(np.floor(margins * MARGIN_BINS).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n)], names=["bin", "n"])
+
+    counts = sorted((r["bin"], r["n"]) for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect())
+    bins, n = np.array(counts, np.int64).reshape(-1, 2).T
+    if not len(bins):
+        return model
+    above = np.cumsum(n[::-1])[::-1]  # texts in this bin or a higher one
+    cut = bins[np.argmin(np.abs(above - prior * n.sum()))] / MARGIN_BINS
+    return Model(model.weights, model.bias - max(float(cut), model.bias + 0.1))
 
 
 def held_out(column: str = "doc_id"):
@@ -122,8 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 5000, max_unlabe
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
     positive = {r[0] for r in own.where("toxic = 1").orderBy(*by).select("doc_id").limit(max_positive).collect()}
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out())
-    chosen = positive | {r[0] for r in ids.orderBy(*by).limit(max_unlabelled).collect()}
-    wanted = F.broadcast(spark.createDataFrame([(x,) for x in sorted(chosen)], "doc_id bigint"))  # max_positive + max_unlabelled rows at most
+    unlabelled = {r[0] for r in ids.orderBy(*by).limit(max_unlabelled).collect()}
+    wanted = F.broadcast(spark.createDataFrame([(x,) for x in sorted(positive | unlabelled)], "doc_id bigint"))  # max_positive + max_unlabelled rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,9 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 5000, max_unlabe
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").mapInArrow(run, "doc_id bigint, words binary").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    words = [(r["doc_id"] in positive, _text.unpack(r["words"], np.int32)) for r in rows]
-    pos, unl = [w for y, w in words if y], [w for _, w in words]
-    return train(pos, unl, float(prior)) if pos else None
+    words = [(r["doc_id"], _text.unpack(r["words"], np.int32)) for r in rows]
+    pos, unl = [w for i, w in words if i in positive], [w for i, w in words if i in unlabelled]
+    if not pos:
+        return None
+    return calibrate(train(pos, unl, float(prior)), docs.where(F.col("doc_id").isNotNull() & ~held_out()), float(prior))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
