@@ -185,6 +185,18 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert not any(rows[i]["found"] for i in range(44, 48))
 
 
+def test_copies_and_many_unseen_identifiers_keep_a_pattern(spark):
+    rng = random.Random(14)
+    fill = lambda: " ".join(rng.choice("the and of it was here then".split()) for _ in range(12))
+    texts = [f"{fill()} mobile +1 (212) 555-{i:04} {fill()}" for i in range(40)]
+    texts += [f"{fill()} mobile 555-{i:05} {fill()}" for i in range(41)] + [f"{fill()} mobile 777-12345 {fill()}"] * 100 + [f"{fill()} mobile rang {fill()}"] * 100
+    rows = {r["doc_id"]: r for r in pii.extract(docs(spark, texts)).collect()}
+    for i in range(40, 181):
+        (s,) = rows[i]["found"]
+        assert texts[i][s["first"] : s["last"]].startswith(("555-", "777-"))
+    assert not any(rows[i]["found"] for i in [*range(40), *range(181, 281)])
+
+
 def test_pii_edges(spark):
     assert pii.extract(empty(spark)).count() == 0
     assert pii.extract(odd(spark)).where("base = ''").count() == 9

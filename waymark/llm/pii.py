@@ -5,16 +5,19 @@ lexical patterns: a word to the left or to the right.  Every identifier-like tok
 digits or more, or an @) that no seed covers is a candidate instance.  Patterns and
 instances make a graph that Spark scores in rounds:
 
-    pattern  = summed instance scores of its occurrences / all occurrences of its word
+    pattern  = summed scores of the different instances beside it / (that sum + different
+               contexts of its word in prose)
     instance = 1 - product of (1 - pattern) over its confident patterns; a seed is 1
 
 A pattern is confident from ``confident`` on if ``support`` different instances that
-count carry it.  Since a word's occurrences before anything count against it, common
-words never become patterns.  After the rounds, candidates that score ``confident`` or more are
-further spans of kind "id".
+count carry it.  A context in prose is the two words that follow the word (that come before
+it, for a word to the right) where no instance stands beside it.  Candidates without a score
+count neither for nor against, and copies count once, so no group of copies switches a pattern
+off; common words have more contexts than instances and never become patterns.  After the
+rounds, candidates that score ``confident`` or more are further spans of kind "id".
 
-Only the seeds, candidates and their neighbours leave the texts, and word counts
-that each task sums first.
+Only the seeds, candidates and their neighbours leave the texts, and of a word in ``support``
+edges or more as many contexts as decide against it.
 
 Defined results: null and empty texts have no spans; repeated rows are extracted each;
 null doc_ids stay; an empty table gives no rows; other columns are ignored.
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +52,7 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _TRIM = ".,;:!?()[]{}<>\"'"
 NEAR = 64
 BLOCK_BYTES = 1 << 20
-FLUSH_WORDS = 2_000_000
-FOUND = "row string, what string, doc_id bigint, base string, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, first bigint, last bigint, token string, left bigint, right bigint, word bigint, n bigint"
+FOUND = "row string, what string, doc_id bigint, base string, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, first bigint, last bigint, token string, left bigint, right bigint, head bigint, tail bigint"
 _TYPES = {"string": pa.string(), "bigint": pa.int64()}
 _COLUMNS = [x.split() for x in FOUND.split(", ")]
 
@@ -91,12 +94,13 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def _neighbours(text: str, first: int, last: int) -> tuple[str, str]:
-    """The words before and after a span, lower-cased in ASCII; '' where none is near."""
+def _neighbours(text: str, first: int, last: int) -> tuple[str, str, str, str]:
+    """The words before and after a span and its own first and last, lower-cased in ASCII; '' where none is near."""
     left = _WORD.findall(text, max(0, first - NEAR), first)
     right = _WORD.search(text, last, last + NEAR)
     low = lambda w: "".join(c.lower() if c.isascii() else c for c in w)
-    return (low(left[-1]) if left else ""), (low(right[0]) if right else "")
+    own = _WORD.findall(text, first, last) or [""]
+    return (low(left[-1]) if left else ""), (low(right[0]) if right else ""), low(own[0]), low(own[-1])
 
 
 def _hashes(words: list[str]) -> list[int | None]:
@@ -117,20 +121,14 @@ def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int,
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Rows what = doc (base spans), seed or candidate (with neighbours), and word (counts)."""
+    """Rows what = doc (base spans), seed or candidate (with neighbours, and their own first and last word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
-        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def batch_of(rows: list[dict]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], _TYPES[k]) for c, k in _COLUMNS], names=[c for c, _ in _COLUMNS])
 
-        def count_batch() -> pa.RecordBatch:
-            n = len(words)
-            own = {"what": pa.array(["word"] * n, pa.string()), "word": pa.array(words.view(np.int64)), "n": pa.array(counts)}
-            return pa.RecordBatch.from_arrays([own.get(c, pa.nulls(n, _TYPES[k])) for c, k in _COLUMNS], names=[c for c, _ in _COLUMNS])
-
         for batch in batches:
             for a, b in _text.blocks(batch.column(1), BLOCK_BYTES):
                 column = batch.column(1).slice(a, b - a)
@@ -148,40 +146,95 @@ def _scan(docs: DataFrame) -> DataFrame:
                             rows.append({"row": row, "what": what, "first": x, "last": y, "token": text[x:y].lower()})
                             near += _neighbours(text, x, y)
                 hashes = _hashes(near)
-                beside = iter(zip(hashes[::2], hashes[1::2], strict=True))
+                beside = iter(zip(*[iter(hashes)] * 4, strict=True))
                 for r in rows:
                     if r["what"] != "doc":
-                        r["left"], r["right"] = next(beside)
+                        r["left"], r["right"], r["head"], r["tail"] = next(beside)
                 yield batch_of(rows)
-                data, offsets = _text.text_bytes(column)
-                own, n = np.unique(_text.Words(data, offsets, BREAKS).hashes(True), return_counts=True)
-                words, index = np.unique(np.concatenate([words, own]), return_inverse=True)
-                counts = np.bincount(index, np.concatenate([counts, n]), len(words)).astype(np.int64)
-                if len(words) > FLUSH_WORDS:
-                    yield count_batch()
-                    words, counts = words[:0], counts[:0]
-        if len(words):
-            yield count_batch()
 
     return docs.mapInArrow(run, FOUND)
 
 
-def discover(found: DataFrame, scratch: Scratch, rounds: int = 3, confident: float = 0.5, support: int = 5) -> DataFrame:
+SIDES = ("left", "right")
+
+
+def _pair(word: np.ndarray, other: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _text.mix(_text.mix(word) + other)
+
+
+def _among(values: np.ndarray, ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value stands among ascending ones, and whether it is one of them."""
+    at = np.minimum(np.searchsorted(ascending, values), max(len(ascending) - 1, 0))
+    return at, ascending[at] == values if len(ascending) else np.zeros(len(values), bool)
+
+
+def _contexts(docs: DataFrame, edges: DataFrame, beside: DataFrame, confident: float, support: int) -> DataFrame:
+    """side, word, prose: different contexts without an instance, of words that have ``support`` edges or more.
+
+    A word with k edges is no pattern once it has more than k * (1 - confident) / confident contexts,
+    so each task stops at one more than that.
+    """
+    asked = edges.groupBy("side", "word").agg(F.count("*").alias("k")).where(F.col("k") >= support)
+    words, near = asked.toArrow(), beside.join(asked, ["side", "word"], "left_semi").toArrow()
+    numbers = lambda t, name: t[name].to_numpy().view(np.uint64)
+    known = []
+    for side in SIDES:
+        own, pairs = (t.filter(pa.compute.equal(t["side"], side)) for t in (words, near))
+        order = np.argsort(numbers(own, "word"))
+        known.append((numbers(own, "word")[order], np.floor(own["k"].to_numpy()[order] * (1 - confident) / confident).astype(np.int64) + 1, np.unique(_pair(numbers(pairs, "word"), numbers(pairs, "other")))))
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # a few numbers an edge
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        seen, counts = [np.zeros(0, np.uint64) for _ in SIDES], [np.zeros(len(k[0]), np.int64) for k in known]
+        for batch in batches:
+            for a, b in _text.blocks(batch.column(0), BLOCK_BYTES):
+                found = _text.Words(*_text.text_bytes(batch.column(0).slice(a, b - a)), BREAKS)
+                h, owner = found.hashes(True), found.owner()
+                for s, (keys, most, pairs) in enumerate(known):
+                    at, hit = _among(h, keys)
+                    i = np.flatnonzero(hit)
+                    i = i[counts[s][at[i]] < most[at[i]]]
+                    step = 1 if SIDES[s] == "left" else -1
+                    one, two = ((np.clip(i + d, 0, len(h) - 1), (i + d >= 0) & (i + d < len(h))) for d in (step, 2 * step))
+                    one, two = (np.where(inside & (owner[j] == owner[i]), h[j], np.uint64(0)) if len(i) else np.zeros(0, np.uint64) for j, inside in (one, two))
+                    pair = _pair(h[i], one)
+                    prose = ~_among(pair, pairs)[1]
+                    context, index = np.unique(_pair(pair[prose], two[prose]), return_index=True)
+                    group = at[i][prose][index]
+                    new = ~_among(context, seen[s])[1]
+                    context, group = context[new], group[new]
+                    order = np.argsort(group, kind="stable")
+                    context, group = context[order], group[order]
+                    place = np.arange(len(group)) - np.searchsorted(group, group)
+                    fits = place < (most - counts[s])[group]
+                    context, group = context[fits], group[fits]
+                    counts[s] += np.bincount(group, minlength=len(keys))
+                    seen[s] = np.sort(np.concatenate([seen[s], context]))
+                    if len(group):
+                        yield pa.RecordBatch.from_arrays([pa.array([SIDES[s]] * len(group)), pa.array(keys[group].view(np.int64)), pa.array(context.view(np.int64))], names=["side", "word", "context"])
+
+    return docs.select("text").mapInArrow(run, "side string, word bigint, context bigint").distinct().groupBy("side", "word").agg(F.count("*").alias("prose"))
+
+
+def discover(docs: DataFrame, found: DataFrame, scratch: Scratch, rounds: int = 3, confident: float = 0.5, support: int = 5) -> DataFrame:
     """token of every candidate that scores ``confident`` or more."""
-    instances = found.where("what in ('seed', 'candidate')").select((F.col("what") == "seed").alias("seed"), "token", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("word")), F.struct(F.lit("right").alias("side"), F.col("right").alias("word")))).alias("p")).select("seed", "token", "p.side", "p.word").where("word is not null")
-    edges = instances.groupBy("side", "word", "token").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+    side = lambda name, other: F.struct(F.lit(name).alias("side"), F.col(name).alias("word"), F.col(other).alias("other"))
+    instances = found.where("what in ('seed', 'candidate')").select((F.col("what") == "seed").alias("seed"), "token", F.explode(F.array(side("left", "head"), side("right", "tail"))).alias("p")).select("seed", "token", "p.side", "p.word", "p.other").where("word is not null")
+    edges = instances.groupBy("side", "word", "token").agg(F.max("seed").alias("seed"))
     seeded = edges.where("seed").groupBy("side", "word").agg(F.count("*").alias("k"))
     # A pattern needs instances that count; without any seed beside it, it can only gain some in later rounds.
     edges = scratch.table(edges, "edges")
-    total = found.where("what = 'word'").join(edges.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("total"))
-    total = scratch.table(total, "totals")
     if seeded.where(F.col("k") >= support).limit(1).count() == 0:
         return edges.select("token").limit(0)
+    beside = instances.where("other is not null").select("side", "word", "other").distinct()
+    prose = scratch.table(_contexts(docs, edges, beside, confident, support), "prose")
     scores = edges.groupBy("token").agg(F.max("seed").alias("seed")).select("token", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score"), "seed")
     for i in range(rounds):
         weighed = edges.drop("seed").join(scores, "token")
-        patterns = weighed.groupBy("side", "word").agg(F.sum(F.col("score") * F.col("n")).alias("weight"), F.count_if(F.col("score") >= confident).alias("k"))
-        patterns = patterns.join(total, "word").select("side", "word", F.least(F.col("weight") / F.col("total"), F.lit(1.0)).alias("pattern"), "k").where((F.col("pattern") >= confident) & (F.col("k") >= support))
+        patterns = weighed.groupBy("side", "word").agg(F.sum("score").alias("weight"), F.count_if(F.col("score") >= confident).alias("k")).where((F.col("weight") > 0) & (F.col("k") >= support))
+        patterns = patterns.join(prose, ["side", "word"], "left").select("side", "word", (F.col("weight") / (F.col("weight") + F.coalesce("prose", F.lit(0)))).alias("pattern")).where(F.col("pattern") >= confident)
         gained = edges.join(patterns, ["side", "word"]).groupBy("token").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("pattern"), F.lit(1e-9)))))).alias("got"))
         scores = scratch.table(scores.join(gained, "token", "left").select("token", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("got", F.lit(0.0))).alias("score"), "seed"), f"scores-{i}")
     return scores.where(~F.col("seed") & (F.col("score") >= confident)).select("token")
@@ -192,7 +245,7 @@ def extract(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataF
     scratch = scratch or Scratch(docs.sparkSession, "pii")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = scratch.table(_scan(rows), "found")
-    tokens = discover(found, scratch, **options)
+    tokens = discover(rows, found, scratch, **options)
     more = found.where("what = 'candidate'").join(tokens, "token", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("found"))
     out = found.where("what = 'doc'").join(more, "row", "left")
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base", F.coalesce("found", F.array().cast("array<struct<first:bigint,last:bigint>>")).alias("found"))
