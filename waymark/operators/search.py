@@ -62,8 +62,12 @@ def intersect(phrases: DataFrame, index: Index, allowed: DataFrame | None = None
     """
     tokens = phrases.select("q_id", "v", F.explode(text.search_tokens(F.col("words"))).alias("t"), "exact_words", F.size(F.array_distinct("words")).alias("n"))
     tokens = tokens.select("q_id", "v", "n", "t.token", "t.mult", F.array_contains("exact_words", F.col("t.token")).alias("whole"))
-    known = tokens.join(index.vocab, ["token", "mult"])
-    refs = known.join(index.posting, ["token", "mult"]).where("exact or not whole")
+    # Only the strings of a phrase's rarest token are looked up for the others, so a word of very many strings costs no more than a rare one.
+    own = Window.partitionBy("q_id", "v")
+    refs_of = F.col("n_exact") + F.when(F.col("whole"), 0).otherwise(F.col("n_approx"))
+    known = tokens.join(index.vocab, ["token", "mult"]).withColumn("known", F.count("*").over(own)).where("known = n").withColumn("place", F.row_number().over(own.orderBy(refs_of, "token"))).drop("known")
+    rarest = known.where("place = 1").join(index.posting, ["token", "mult"]).where("exact or not whole").select("q_id", "v", "idx").distinct()
+    refs = rarest.join(known, ["q_id", "v"]).join(index.posting, ["token", "mult", "idx"]).where("exact or not whole")
     per_ref = refs.groupBy("q_id", "v", "n", "token", "idx").agg(F.min(F.when(F.col("exact") | (F.col("n_exact") == 0), 0).otherwise(1)).alias("level"))
     hits = per_ref.groupBy("q_id", "v", "n", "idx").agg(F.count("*").alias("found"), F.sum("level").alias("level")).where("found = n").select("q_id", "v", "idx", "level")
     if allowed is not None:
@@ -88,8 +92,11 @@ def merge_variants(queries: DataFrame) -> DataFrame:
 
 def exact_search(queries: DataFrame, index: Index, allowed: DataFrame | None = None, limit: int = MAX_REFS) -> DataFrame:
     """q_id, v, edit_distance, idx, level, pos: results of each query's first variant that has any."""
+    keep = index.scratch.keep
     variants = merge_variants(queries)
-    hits = index.scratch.keep(intersect(variants, index, allowed, limit))
+    plain = keep(intersect(variants.where("v = 0"), index, allowed, limit))
+    merged = variants.where("v > 0").join(plain.select("q_id").distinct(), "q_id", "left_anti")
+    hits = plain.unionByName(keep(intersect(merged, index, allowed, limit)))
     first = hits.groupBy("q_id").agg(F.min("v").alias("v"))
     return hits.join(first, ["q_id", "v"]).join(variants.select("q_id", "v", "edit_distance"), ["q_id", "v"]).select("q_id", "v", "edit_distance", "idx", "level", "pos")
 
