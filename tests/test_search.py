@@ -152,6 +152,16 @@ def test_search(spark, index):
     assert got["rigabrivibas"] == [("brīvības rīga", 1), ("brīvības iela rīga", 1)]
 
 
+def test_fuzzy_search_tries_corrections_after_the_32nd(spark):
+    # 40 words are two edits from the first word asked; only the last in order shares a string with the second.
+    near = [f"kalnap{c}{d}" for c in "abcdefgh" for d in "abcde"]
+    own = search.Index.build(strings(spark, [*(f"{w} jurmala" for w in near[:-1]), f"{near[-1]} valmiera"]))
+    asked = spark.createDataFrame([(0, "kalnapzz valmeira")], "q_id bigint, text string")
+    asked = asked.select("q_id", text.normalize(F.col("text")).alias("words"))
+    found = search.fuzzy_search(asked, own).join(own.strings, "idx").collect()
+    assert [r["text"] for r in found] == [f"{near[-1]} valmiera"]
+
+
 def brute_rank(words, written, past):
     n = min(len(words), 32)
 

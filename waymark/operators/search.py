@@ -189,7 +189,8 @@ def fuzzy_search(queries: DataFrame, index: Index, allowed: DataFrame | None = N
     direct = fuzzy_tokens(asked, index.vocab).select("token", "mult", F.array("word").alias("words"), F.when(F.col("edit_distance") > 0, F.array("word")).otherwise(none).alias("exact_words"), "edit_distance", F.lit(0).alias("splits"), "n_refs")
     split = split_tokens(asked, index).select("token", "mult", "words", none.alias("exact_words"), "edit_distance", "splits", "n_refs")
     place = Window.partitionBy("token", "mult").orderBy("edit_distance", F.desc("splits"), F.desc("n_refs"), "words")
-    readings = keep(direct.unionByName(split).withColumn("place", F.row_number().over(place) - 1).where(F.col("place") < MAX_PRODUCTIVE))
+    # A reading with MAX_INTERSECTIONS better ones is in none of the combinations that count.
+    readings = keep(direct.unionByName(split).withColumn("place", F.row_number().over(place) - 1).where(F.col("place") < MAX_INTERSECTIONS))
     rows = tokens.join(readings, ["token", "mult"])
     complete = rows.groupBy("q_id").agg(F.count_distinct("at").alias("n")).join(tokens.groupBy("q_id").agg(F.count("*").alias("n")), ["q_id", "n"], "left_semi").select("q_id")
     options = rows.join(complete, "q_id", "left_semi").groupBy("q_id", "at").agg(F.sort_array(F.collect_list(F.struct("edit_distance", "place", "words", "exact_words"))).alias("options"))
@@ -211,7 +212,9 @@ def _combinations(slots: Column) -> Column:
     empty = F.array(F.struct(F.lit(0).alias("edit_distance"), F.lit(0).alias("place"), none.alias("words"), none.alias("exact_words"))).cast(kind)
 
     def add(done: Column, options: Column) -> Column:
-        both = F.flatten(F.transform(done, lambda d: F.transform(options, lambda o: F.struct((d["edit_distance"] + o["edit_distance"]).alias("edit_distance"), (d["place"] + o["place"]).alias("place"), F.concat(d["words"], o["words"]).alias("words"), F.concat(d["exact_words"], o["exact_words"]).alias("exact_words")))))
+        # Both are in order, so (i + 1) * (j + 1) - 1 pairs are no dearer than the pair of i and j.
+        fits = lambda i: F.floor(F.lit(MAX_INTERSECTIONS) / (i + 1)).cast("int")
+        both = F.flatten(F.transform(done, lambda d, i: F.transform(F.slice(options, F.lit(1), fits(i)), lambda o: F.struct((d["edit_distance"] + o["edit_distance"]).alias("edit_distance"), (d["place"] + o["place"]).alias("place"), F.concat(d["words"], o["words"]).alias("words"), F.concat(d["exact_words"], o["exact_words"]).alias("exact_words")))))
         return F.slice(F.sort_array(both), 1, MAX_INTERSECTIONS).cast(kind)
 
     return F.aggregate(slots, empty, add)
