@@ -1,11 +1,12 @@
 """Tables in the folder that all executors share, and how many rows a task takes at a time."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from waymark.plans import store
 from waymark.plans.store import Scratch, shared_dir
 
-__all__ = ["BATCH_ROWS", "Scratch", "bounded_batches", "read", "shared_dir"]
+__all__ = ["BATCH_ROWS", "Scratch", "bounded_batches", "join_split", "read", "shared_dir"]
 
 #: Spark hands rows to Python by count, 10000 unless set; texts can be long, so fewer keep a task's memory bounded.
 BATCH_ROWS = 1000
@@ -21,3 +22,18 @@ def bounded_batches(spark: SparkSession) -> None:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     bounded_batches(spark)
     return store.read(spark, sf_dir, table)
+
+
+def join_split(rows: DataFrame, groups: DataFrame, keys: list[str], most: int = 2000) -> DataFrame:
+    """Inner join of written ``rows`` with written ``groups``, unique by ``keys`` and with the number of their rows as ``many``.
+
+    Groups of more than 1 / ``most`` of all rows, so at most ``most`` of them, are broadcast and never
+    meet in one task; the others are shuffled.
+    """
+    bar = max(1000, rows.count() // most)
+    hot = groups.where(F.col("many") > bar)
+    if hot.isEmpty():
+        return rows.join(groups, keys)
+    apart = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col("many") <= bar), keys)
+    return apart.unionByName(rest)

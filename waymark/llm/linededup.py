@@ -1,112 +1,148 @@
-"""Line dedup: repeated runs of lines over the whole corpus, DataFrame operations only.
-
-A document is a sequence of line IDs (128-bit digests of its lines that hold a
-word).  Prefix doubling names every run of 2**k lines by the names of its two
-halves; equal names at depth 2**k are an interval of the suffix array whose
-longest common prefix is 2**k lines or more.  A run of any length has the names of the
-two overlapping power-of-two runs that cover it, so intervals of every needed
-length come from log2 levels, which are computed beside the text, without a
-shuffle for each level.
-
-A repeated run counts if it has ``min_words`` words.  Every maximal repeated run
-is the union of repeated runs that are minimal from their first or to their last
-line, so it suffices to group those: the first copy by (doc_id, line) stays, and
-the lines of every later copy are deleted.
+"""Line dedup: a suffix array over line IDs, DataFrame operations only.
+
+A document is a sequence of lines that hold a word.  Lines found once in the corpus
+end every repeated run, so only the sequences between them count, if they have
+``min_words`` words.
+
+1. A line ID is the rank of the line's digest among repeated ones.
+2. Distributed prefix doubling: the rank of 2**(k+1) lines is the place of the pair
+   (rank of its first 2**k lines, rank of the next 2**k lines) among all such pairs that
+   occur twice or more, in their order.  Rank k sorts the suffixes by their first 2**k lines.
+   A suffix leaves the rounds where its pair is found once, or where more lines could only
+   lengthen a run that counts already; at most log2(min_words) rounds follow.
+3. Suffixes whose longest common prefix has L lines or more are an interval of the suffix
+   array; the ranks of the two overlapping 2**k runs that cover L lines name it.  Every
+   maximal repeated run is the union of runs that are minimal from their first or to their
+   last line, so the intervals at these lengths suffice.
+4. In each interval the first copy by (doc_id, line) stays, and the lines of every later copy
+   are deleted.
+
+Each round is a written table; memory does not depend on the length of a document. A line,
+pair or interval with a large share of all rows is joined apart (``join_split``).
 
 Defined results: null stays null, and empty texts stay; blank lines never match,
-and go with the line before them; lines are compared as they are; rows of equal
-doc_id and equal text are one document and keep equal results; null doc_ids come
-first; an empty table gives no rows; other columns pass through, but one named
+and go with the line before them; lines are compared as they are, however long; rows of
+equal doc_id and equal text are one document and keep equal results; of equal runs in
+documents of equal doc_id the one of the smaller hash of the text counts as first; null
+doc_ids come first; an empty table gives no rows; other columns pass through, but one named
 removed_lines is replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from waymark.llm._store import Scratch
+from waymark.llm._store import Scratch, join_split
 
 WORD = r"[^\x20\x09-\x0D]"
 GAP = r"[\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
+DOC = ["doc_id", "key"]
 
 
-def _line_words(line: Column) -> Column:
-    return F.size(F.split(F.btrim(line, F.lit(SPACE)), GAP))
-
-
-def _doubled(names: Column, half: int) -> Column:
-    """Names of runs twice as long as those that ``names`` has, of ``half`` lines."""
-    both = F.transform(F.sequence(F.lit(0), F.size(names) - 1 - half), lambda i: F.unhex(F.md5(F.concat(F.get(names, i), F.get(names, i + half)))))
-    return F.when(F.size(names) > half, both).otherwise(F.array().cast("array<binary>"))
-
-
-def _sequences(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, key, raw (line numbers of lines with a word), n_raw, before (words before each line), names of each level."""
-    lines = F.split(F.col("text"), "\n", -1)
-    df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), lines.alias("lines")).where(F.col("lines").isNotNull())
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, key, j (place among lines with a word), first_line, end_line (of the text), digest, n (words)."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), F.split("text", "\n", -1).alias("lines"))
     numbered = F.transform("lines", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    df = df.withColumn("own", F.filter(numbered, lambda r: r["x"].rlike(WORD))).where(F.size("own") > 0)
-    df = df.select("doc_id", "key", F.size("lines").alias("n_raw"), F.col("own.i").alias("raw"), F.transform("own", lambda r: F.struct(F.unhex(F.md5(r["x"].cast("binary"))).alias("name"), _line_words(r["x"]).alias("n"))).alias("own"))
-    df = df.withColumn("level0", F.col("own.name")).withColumn("n", F.col("own.n")).drop("own")
-    k = 0
-    while 2 ** (k + 1) <= min_words:
-        df = df.withColumn(f"level{k + 1}", _doubled(F.col(f"level{k}"), 2**k))
-        k += 1
-    return df
+    own = texts.select(*DOC, F.size("lines").alias("n_raw"), F.filter(numbered, lambda r: r["x"].rlike(WORD)).alias("own"))
+    ended = F.transform("own", lambda r, k: F.struct(r["i"].alias("i"), F.coalesce(F.get("own", k + 1)["i"], F.col("n_raw")).alias("end"), r["x"].alias("x")))
+    rows = own.select(*DOC, F.posexplode(ended).alias("j", "own"))
+    n = F.size(F.split(F.btrim("own.x", F.lit(SPACE)), GAP))
+    return rows.select(*DOC, "j", F.col("own.i").alias("first_line"), F.col("own.end").alias("end_line"), F.unhex(F.md5(F.col("own.x").cast("binary"))).alias("digest"), n.alias("n"))
+
+
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, many, rank of the keys that two rows or more have; ranks ascend with the keys."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("many")).where("many > 1").orderBy(*keys).withColumn("rank", F.monotonically_increasing_id())
+
+
+def _sequences(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """Repeated lines with their ranks, in sequences of min_words words or more; ahead, behind: lines of the minimal runs from and to each."""
+    lines = scratch.table(_lines(docs), "lines")
+    ids = scratch.table(_ranked(lines, ["digest"]), "ids")
+    rows = join_split(lines, ids, ["digest"]).select(*DOC, "j", "first_line", "end_line", "n", "rank").dropDuplicates([*DOC, "j"])
+    rows = rows.withColumn("sequence", F.col("j") - F.row_number().over(Window.partitionBy(*DOC).orderBy("j")))
+    own = Window.partitionBy(*DOC, "sequence")
+    rows = rows.withColumn("upto", F.sum("n").over(own.orderBy("j"))).withColumn("all", F.sum("n").over(own)).where(F.col("all") >= min_words)
+    rows = rows.withColumn("before", F.col("upto") - F.col("n"))
+    # Each line has a word, so the sums ascend, and a range of them is a range of lines.
+    ahead = F.count("*").over(own.orderBy("before").rangeBetween(0, min_words - 1))
+    behind = F.count("*").over(own.orderBy("upto").rangeBetween(1 - min_words, 0))
+    rows = rows.withColumn("ahead", F.when(F.col("all") - F.col("before") >= min_words, ahead)).withColumn("behind", F.when(F.col("upto") >= min_words, behind))
+    return scratch.table(rows.select(*DOC, "j", "first_line", "end_line", "before", "upto", "ahead", "behind", "rank"), "sequences")
+
+
+def suffix_ranks(sequences: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """k, doc_id, key, j, first_line, end_line (of the run's last line) and rank of every repeated run of 2**k lines that the intervals need."""
+    kept = [*DOC, "j", "first_line", "end_line", "before", "upto", "rank"]
+    levels = [sequences.select(*kept)]
+    while 2 ** len(levels) <= min_words:
+        half = 2 ** (len(levels) - 1)
+        there = Window.partitionBy(*DOC).orderBy("j").rangeBetween(half, half)
+        after = F.first(F.struct(F.col("rank").alias("second"), "end_line", "before")).over(there)
+        pairs = levels[-1].withColumn("after", after).where("after is not null")
+        # A run longer than its words need has min_words words between its first and its last line.
+        pairs = pairs.select(*DOC, "j", "first_line", "after.end_line", "after.before", "upto", F.col("rank").alias("first"), "after.second").where(F.col("before") - F.col("upto") < min_words)
+        pairs = scratch.table(pairs, f"pairs{len(levels)}")
+        ranks = scratch.table(_ranked(pairs, ["first", "second"]), f"ranks{len(levels)}")
+        level = scratch.table(join_split(pairs, ranks, ["first", "second"]).select(*kept), f"level{len(levels)}")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    named = [level.select(F.lit(k).alias("k"), *DOC, "j", "first_line", "end_line", "rank") for k, level in enumerate(levels)]
+    return reduce(DataFrame.unionByName, named)
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, key, first_line, end_line of every later copy of a minimal repeated run, as line numbers of the text."""
-    df = _sequences(docs, min_words)
-    levels = sum(c.startswith("level") for c in df.columns)
-    names = [f"level{k}" for k in range(levels)]
-    rows = df.select("doc_id", "key", "raw", "n_raw", "n", *names, F.posexplode("n").alias("j", "own_n"))
-    # Lines that a run from j on needs to have min_words words; each has a word, so min_words lines do.
-    short = lambda part: F.aggregate(part, F.struct(F.lit(0).alias("lines"), F.lit(0).alias("words")), lambda s, x: F.when(s["words"] >= min_words, s).otherwise(F.struct((s["lines"] + 1).alias("lines"), (s["words"] + x).alias("words"))))
-    one = F.struct(F.lit(1).alias("lines"), F.col("own_n").alias("words"))
-    alone = F.col("own_n") >= min_words
-    ahead = F.when(alone, one).otherwise(short(F.slice("n", F.col("j") + 1, min_words)))
-    low = F.greatest(F.col("j") - (min_words - 1), F.lit(0))
-    behind = F.when(alone, one).otherwise(short(F.reverse(F.slice("n", low + 1, F.col("j") - low + 1))))
-    runs = F.array(F.struct(F.col("j").alias("a"), ahead.alias("s")), F.struct((F.col("j") - behind["lines"] + 1).alias("a"), behind.alias("s")))
-    rows = rows.select("doc_id", "key", "raw", "n_raw", *names, F.explode(F.array_distinct(runs)).alias("run"))
-    rows = rows.where(F.col("run.s.words") >= min_words).withColumn("a", F.col("run.a")).withColumn("len", F.col("run.s.lines"))
-    name = F.lit(None).cast("binary")
-    for k in range(levels):
-        own = F.concat(F.get(names[k], F.col("a")), F.get(names[k], F.col("a") + F.col("len") - 2**k))
-        name = F.when(F.col("len") >= 2**k, own).otherwise(name)
-    end = F.coalesce(F.get("raw", F.col("a") + F.col("len")), F.col("n_raw"))
-    rows = rows.select("doc_id", "key", "a", "len", name.alias("name"), F.get("raw", F.col("a")).alias("first_line"), end.alias("end_line"))
-    # Written once: the text is split and named in one pass, and both sides of the join below read the runs.
-    rows = (scratch or Scratch(docs.sparkSession, "lines")).table(rows, "runs").withColumn("at", F.struct("doc_id", "key", "a"))
-    first = rows.groupBy("name", "len").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("name", "len", "first")
-    return rows.join(first, ["name", "len"]).where("at <> first").select("doc_id", "key", "first_line", "end_line")
-
-
-def _merge(spans: Column) -> Column:
-    """Ascending spans, overlapping or touching ones made one."""
-    kind = "array<struct<first_line:int,end_line:int>>"
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["first_line"].alias("first_line"), F.greatest(last["end_line"], x["end_line"]).alias("end_line"))
-        meets = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end_line"] >= x["first_line"])
-        return F.when(meets, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
-
-    add_safe = lambda done, x: F.when(F.size(done) == 0, F.array(x)).otherwise(add(done, x))
-    return F.aggregate(spans, F.array().cast(kind), add_safe)
+    scratch = scratch or Scratch(docs.sparkSession, "lines")
+    sequences = _sequences(docs, min_words, scratch)
+    ranks = suffix_ranks(sequences, min_words, scratch)
+    both = F.array(F.struct(F.col("j").alias("a"), F.col("ahead").alias("len")), F.struct((F.col("j") - F.col("behind") + 1).alias("a"), F.col("behind").alias("len")))
+    runs = sequences.select(*DOC, F.explode(F.array_distinct(both)).alias("run")).select(*DOC, "run.a", "run.len").where("len is not null")
+    levels = [i for i in range(1, min_words.bit_length()) if 2**i <= min_words]
+    runs = runs.withColumn("k", reduce(lambda k, i: k + (F.col("len") >= 2**i).cast("int"), levels, F.lit(0)))
+    runs = runs.withColumn("b", F.col("a") + F.col("len") - F.expr("shiftleft(1, k)"))
+    head = ranks.select("k", *DOC, F.col("j").alias("a"), "first_line", F.col("rank").alias("head"))
+    tail = ranks.select("k", *DOC, F.col("j").alias("b"), "end_line", F.col("rank").alias("tail"))
+    on = lambda end: [F.col(f"r.{c}").eqNullSafe(F.col(f"x.{c}")) for c in ("k", *DOC, end)]
+    runs = runs.alias("r").join(head.alias("x"), on("a")).select("r.*", "x.first_line", "x.head")
+    runs = runs.alias("r").join(tail.alias("x"), on("b")).select("r.doc_id", "r.key", "r.a", "r.len", "r.first_line", "x.end_line", "r.head", "x.tail")
+    runs = scratch.table(runs.withColumn("at", F.struct(*DOC, "a")), "runs")
+    interval = ["len", "head", "tail"]
+    first = scratch.table(runs.groupBy(*interval).agg(F.count("*").alias("many"), F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").drop("last"), "intervals")
+    return join_split(runs, first, interval).where("at <> first").select(*DOC, "first_line", "end_line")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """doc_id, key, cuts: spans that overlap or touch made one, as an ascending array."""
+    by = Window.partitionBy(*DOC).orderBy("first_line", "end_line")
+    reach = F.max("end_line").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.withColumn("new", F.coalesce((F.col("first_line") > reach).cast("int"), F.lit(1)))
+    rows = rows.withColumn("part", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.groupBy(*DOC, "part").agg(F.min("first_line").alias("first_line"), F.max("end_line").alias("end_line"))
+    return rows.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("first_line", "end_line"))).alias("cuts"))
+
+
+def _without(text: Column, cuts: Column) -> Column:
+    """The text's lines outside ascending cuts."""
+    lines = F.split(text, "\n", -1)
+    start = lambda i: F.coalesce(F.get(cuts, i - 1)["end_line"], F.lit(0))
+    parts = F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.slice(lines, start(i) + 1, F.greatest(F.coalesce(F.get(cuts, i)["first_line"], F.size(lines)) - start(i), F.lit(0))))
+    return F.array_join(F.flatten(parts), "\n")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, scratch: Scratch | None = None) -> DataFrame:
     """The documents with later copies of repeated runs deleted from text, and removed_lines: array of (first_line, end_line)."""
-    cuts = repeated_runs(docs, min_words, scratch).groupBy("doc_id", "key").agg(_merge(F.array_sort(F.collect_set(F.struct("first_line", "end_line")))).alias("_cuts"))
-    cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_cuts")
+    cuts = _merged(repeated_runs(docs, min_words, scratch))
+    cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("cuts").alias("_cuts"))
     own = docs.join(cuts, docs["doc_id"].cast("bigint").eqNullSafe(cuts["_id"]) & (F.xxhash64(docs["text"]) == cuts["_key"]), "left")
     spans = cuts["_cuts"]
-    kept = F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.exists(spans, lambda r: (i >= r["first_line"]) & (i < r["end_line"])))
-    text = F.when(spans.isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    text = F.when(spans.isNull(), docs["text"]).otherwise(_without(docs["text"], spans))
     removed = F.coalesce(spans, F.array().cast("array<struct<first_line:int,end_line:int>>"))
     return own.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns if c != "removed_lines"], removed.alias("removed_lines"))
 
