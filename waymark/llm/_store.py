@@ -24,16 +24,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return store.read(spark, sf_dir, table)
 
 
-def join_split(rows: DataFrame, groups: DataFrame, keys: list[str], most: int = 2000) -> DataFrame:
-    """Inner join of written ``rows`` with written ``groups``, unique by ``keys`` and with the number of their rows as ``many``.
+def join_split(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, most: int = 2000) -> DataFrame:
+    """Inner join of ``rows``, ``total`` or fewer, with written ``groups``, unique by ``keys`` and with the number of their rows as ``many``.
 
-    Groups of more than 1 / ``most`` of all rows, so at most ``most`` of them, are broadcast and never
+    Groups of more than 1 / ``most`` of ``total``, so at most ``most`` of them, are broadcast and never
     meet in one task; the others are shuffled.
     """
-    bar = max(1000, rows.count() // most)
-    hot = groups.where(F.col("many") > bar)
-    if hot.isEmpty():
+    bar = max(1000, total // most)
+    if (groups.agg(F.max("many")).first()[0] or 0) <= bar:
         return rows.join(groups, keys)
+    hot = groups.where(F.col("many") > bar)
     apart = rows.join(F.broadcast(hot), keys)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col("many") <= bar), keys)
     return apart.unionByName(rest)

@@ -64,7 +64,7 @@ def _sequences(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
     """Repeated lines with their ranks, in sequences of min_words words or more; ahead, behind: lines of the minimal runs from and to each."""
     lines = scratch.table(_lines(docs), "lines")
     ids = scratch.table(_ranked(lines, ["digest"]), "ids")
-    rows = join_split(lines, ids, ["digest"]).select(*DOC, "j", "first_line", "end_line", "n", "rank").dropDuplicates([*DOC, "j"])
+    rows = join_split(lines, ids, ["digest"], lines.count()).select(*DOC, "j", "first_line", "end_line", "n", "rank").dropDuplicates([*DOC, "j"])
     rows = rows.withColumn("sequence", F.col("j") - F.row_number().over(Window.partitionBy(*DOC).orderBy("j")))
     own = Window.partitionBy(*DOC, "sequence")
     rows = rows.withColumn("upto", F.sum("n").over(own.orderBy("j"))).withColumn("all", F.sum("n").over(own)).where(F.col("all") >= min_words)
@@ -79,7 +79,7 @@ def _sequences(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
 def suffix_ranks(sequences: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
     """k, doc_id, key, j, first_line, end_line (of the run's last line) and rank of every repeated run of 2**k lines that the intervals need."""
     kept = [*DOC, "j", "first_line", "end_line", "before", "upto", "rank"]
-    levels = [sequences.select(*kept)]
+    levels, total = [sequences.select(*kept)], sequences.count()
     while 2 ** len(levels) <= min_words:
         half = 2 ** (len(levels) - 1)
         there = Window.partitionBy(*DOC).orderBy("j").rangeBetween(half, half)
@@ -87,12 +87,10 @@ def suffix_ranks(sequences: DataFrame, min_words: int, scratch: Scratch) -> Data
         pairs = levels[-1].withColumn("after", after).where("after is not null")
         # A run longer than its words need has min_words words between its first and its last line.
         pairs = pairs.select(*DOC, "j", "first_line", "after.end_line", "after.before", "upto", F.col("rank").alias("first"), "after.second").where(F.col("before") - F.col("upto") < min_words)
-        pairs = scratch.table(pairs, f"pairs{len(levels)}")
         ranks = scratch.table(_ranked(pairs, ["first", "second"]), f"ranks{len(levels)}")
-        level = scratch.table(join_split(pairs, ranks, ["first", "second"]).select(*kept), f"level{len(levels)}")
-        if level.isEmpty():
+        if ranks.isEmpty():
             break
-        levels.append(level)
+        levels.append(scratch.table(join_split(pairs, ranks, ["first", "second"], total).select(*kept), f"level{len(levels)}"))
     named = [level.select(F.lit(k).alias("k"), *DOC, "j", "first_line", "end_line", "rank") for k, level in enumerate(levels)]
     return reduce(DataFrame.unionByName, named)
 
@@ -115,7 +113,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, scratch: Scratch | None
     runs = scratch.table(runs.withColumn("at", F.struct(*DOC, "a")), "runs")
     interval = ["len", "head", "tail"]
     first = scratch.table(runs.groupBy(*interval).agg(F.count("*").alias("many"), F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").drop("last"), "intervals")
-    return join_split(runs, first, interval).where("at <> first").select(*DOC, "first_line", "end_line")
+    return join_split(runs, first, interval, runs.count()).where("at <> first").select(*DOC, "first_line", "end_line")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
