@@ -205,5 +205,10 @@ def bucket_count(n_bytes: int) -> int:
     return max(LEAST_BUCKETS, n_bytes // own)
 
 
+def block_bytes(n_bytes: int) -> int:
+    """Bytes of text a block: 2 MB up to 64 GB of corpus, then as its square root, so that a block's part of a bucket stays worth a row, up to 16 MB, which fit a task."""
+    return int(min(16 << 20, (2 << 20) * max(1.0, (n_bytes / (64 << 30)) ** 0.5)))
+
+
 def columns(batch: pa.RecordBatch) -> dict[str, pa.Array]:
     return {name: batch.column(i) for i, name in enumerate(batch.schema.names)}

@@ -3,10 +3,12 @@
 n-gram counts of all training texts make an interpolated model:
 
     p(w)     = (c(w) + 1) / (N + V + 1)
-    p(w | h) = (c(h w) + e * p(w | shorter h)) / (c(h) + e)
+    p(w | h) = (c(h w) + e(c(h)) * p(w | shorter h)) / (c(h) + e(c(h))),   e(c) = scale * c ** power
 
-with one e per order, set so that the mean weight of the lower order over all
-training tokens is the Good-Turing share of unseen n-grams (n-grams seen once / all).
+with one power and scale an order.  c ** power stands for how many different tokens follow a
+context seen c times: its sum over all contexts is the number of different n-grams.  The scale
+makes the mean weight of the lower order over all training tokens the Good-Turing share of
+unseen n-grams (n-grams seen once / all).  Both come from histograms of the counts.
 Seen n-grams are the automaton's states and arcs; a failure arc from h to its suffix
 weighs e / (c(h) + e).  One left-to-right traversal carries a text's state and adds
 log10 probabilities; the texts of a block advance together.
@@ -15,7 +17,7 @@ The model grows with the corpus and is never in one place.  Texts are written on
 blocks with a name.  A block sends its distinct n-grams, with its training counts, to
 buckets (ranges of a hash, so none is hot; their number follows the corpus' bytes); a
 bucket sums and answers; a block builds the part of the automaton that its own texts
-can walk.  Counts are over all training texts, without pruning.
+can walk.  Blocks and buckets grow with the corpus.  Counts are over all training texts, without pruning.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
 trained on and scored each; a null doc_id counts as the text '' for the split;
@@ -37,7 +39,6 @@ from pyspark.sql import functions as F
 from waymark.llm import _text
 from waymark.llm._store import Scratch
 
-BLOCK_BYTES = 2 << 20
 FOLDS, HELD_OUT = 7, 2
 BEGIN, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC6A4A7935BD1E995)
 BLOCKS = "chunk string, ids binary, offsets binary, body binary"
@@ -57,14 +58,14 @@ def _batch(rows: list[tuple], ddl: str, of=pa.RecordBatch):
     return of.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _write_blocks(docs: DataFrame) -> DataFrame:
+def _write_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3)
         part, serial = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a, b in _text.blocks(batch.column(1), BLOCK_BYTES):
+            for a, b in _text.blocks(batch.column(1), block_bytes):
                 data, offsets = _text.text_bytes(batch.column(1).slice(a, b - a))
                 ids = batch.column(0).slice(a, b - a).fill_null(NO_ID).to_numpy()
                 yield _batch([(f"{part}-{serial}", _text.pack(ids.astype(np.int64)), _text.pack(offsets), pack.compress(data.tobytes()))], BLOCKS)
@@ -147,29 +148,35 @@ def _total(table: pa.Table) -> pa.Table:
     return _batch(out, TOTALS, pa.Table)
 
 
-def escapes(stats: list, order: int) -> tuple[int, int, dict[int, float]]:
-    """(N, V, e per order) from the counts' histograms: rows (n, level, types, tokens)."""
+def _root(f, low: float, high: float) -> float:
+    """Where a rising f crosses 0, by halving."""
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if f(mid) < 0 else (low, mid)
+    return low
+
+
+def escapes(stats: list, order: int) -> tuple[int, int, dict[int, tuple[float, float]]]:
+    """(N, V, (scale, power) per order) from the counts' histograms: rows (n, level, types, tokens)."""
     of = {n: [(r["level"], r["types"], r["tokens"]) for r in stats if r["n"] == n] for n in range(1, order + 1)}
     tokens, types = sum(x[2] for x in of[1]), sum(x[1] for x in of[1])
     e = {}
     for n in range(2, order + 1):
-        every = sum(x[2] for x in of[n]) or 1
-        unseen = min(max(sum(x[2] for x in of[n] if x[0] == 1) / every, 1e-6), 1 - 1e-6)
+        contexts, every = np.array([x[1] for x in of[n - 1]], float), sum(x[2] for x in of[n]) or 1
         mean = np.array([x[2] / x[1] for x in of[n - 1]])
-        weight = np.array([x[2] for x in of[n - 1]], float)
-        weight /= weight.sum() or 1
-        low, high = -8.0, 12.0
-        for _ in range(100):  # the mean weight of the lower order grows with e
-            mid = (low + high) / 2
-            low, high = (mid, high) if (weight * 10**mid / (mean + 10**mid)).sum() < unseen else (low, mid)
-        e[n] = 10**low
+        weight = contexts * mean / (contexts * mean).sum()
+        followers = sum(x[1] for x in of[n])
+        power = _root(lambda b: (contexts * mean**b).sum() - followers, 0.0, 1.0)  # noqa: B023
+        unseen = min(max(sum(x[2] for x in of[n] if x[0] == 1) / every, 1e-6), 1 - 1e-6)
+        share = lambda s: (weight * 10**s * mean**power / (mean + 10**s * mean**power)).sum() - unseen  # noqa: B023, E731
+        e[n] = (10 ** _root(share, -8.0, 12.0), power)
     return tokens, types, e
 
 
 class Automaton:
     """States: seen n-grams of up to order - 1 tokens, 0 the empty one. Arcs: sorted state * width + word."""
 
-    def __init__(self, block: Block, counts: dict[int, np.ndarray], order: int, bits: int, tokens: int, types: int, e: dict[int, float]):
+    def __init__(self, block: Block, counts: dict[int, np.ndarray], order: int, bits: int, tokens: int, types: int, e: dict[int, tuple[float, float]]):
         keys, index, at = block.grams(1, bits)
         self.width, self.word = len(keys), index
         self.counts = counts[1]
@@ -187,14 +194,15 @@ class Automaton:
             # states of the (n - 1)-grams, with failure arcs to their suffixes
             fail.append(below)
             c = counts[n - 1]
-            cost.append(np.log10(e[n] / (c + e[n])))
+            escape = e[n][0] * np.maximum(c, 1.0) ** e[n][1]
+            cost.append(np.log10(escape / (c + escape)))
             size += len(c)
             own, inverse, begins = block.grams(n, bits)
             example = np.empty(len(own), np.int64)
             example[inverse] = begins
             context, suffix = index_at[example], index_at[example + 1]
             last = self.word[example + n - 1]
-            p = (counts[n] + e[n] * p[suffix]) / (c[context] + e[n])
+            p = (counts[n] + escape[context] * p[suffix]) / (c[context] + escape[context])
             seen = counts[n] > 0
             here = size + np.arange(len(own))
             arcs.append(state[context[seen]] * self.width + last[seen])
@@ -234,7 +242,7 @@ class Automaton:
         return out
 
 
-def _score(order: int, bits: int, tokens: int, types: int, e: dict[int, float]):
+def _score(order: int, bits: int, tokens: int, types: int, e: dict[int, tuple[float, float]]):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         block = Block(next(r for r in rows if r["body"] is not None))
@@ -252,12 +260,12 @@ def _score(order: int, bits: int, tokens: int, types: int, e: dict[int, float]):
     return run
 
 
-def score_texts(docs: DataFrame, order: int = 2, scratch: Scratch | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 3, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score of every row."""
     scratch = scratch or Scratch(docs.sparkSession, "lm")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = scratch.table(_write_blocks(rows), "blocks")
     n_bytes = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    blocks = scratch.table(_write_blocks(rows, _text.block_bytes(n_bytes)), "blocks")
     n_buckets = _text.bucket_count(n_bytes)
     bits = min(64, max(40, int(n_bytes).bit_length() + 18))  # so few n-grams share a key at any size
     totals = scratch.table(_send(blocks, order, bits, n_buckets).groupBy("n", "bucket").applyInArrow(_total, TOTALS), "totals")
