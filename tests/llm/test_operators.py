@@ -14,7 +14,7 @@ pytest.importorskip("waymark.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 from waymark.llm import _text, chat, decontam, jaccard, linededup, lm, pieces, pii, quality, toxicity, urls  # noqa: E402
-from waymark.llm._store import Scratch  # noqa: E402
+from waymark.llm._store import Scratch, join_salted, join_split  # noqa: E402
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
@@ -338,24 +338,35 @@ def test_pieces_edges(spark, vocabulary):
 # ---- 6 language model -------------------------------------------------------------------------------
 
 
-def brute_lm(texts, e):
+def brute_counts(texts):
+    """n-gram counts of the training texts, each text as <, words, >."""
+    tokens = [["<", *words(t), ">"] for t in texts]
+    counts = {n: Counter() for n in (1, 2, 3)}
+    for i, t in enumerate(tokens):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for n in counts:
+                counts[n].update(tuple(t[j : j + n]) for j in range(len(t) - n + 1))
+    return tokens, counts
+
+
+def brute_lm(tokens, counts, e):
     import math
 
-    tokens = [["<", *words(t), ">"] for t in texts]
-    train = [t for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2]
-    one, two = Counter(), Counter()
-    for t in train:
-        one.update(t[1:])
-        two.update(zip(t, t[1:]))
-    n, v, begins = sum(one.values()), len(one), len(train)
+    one = Counter({g: c for g, c in counts[1].items() if g != ("<",)})
+    n, v = sum(one.values()), len(one)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (one[gram] + 1) / (n + v + 1)
+        c = counts[len(gram) - 1][gram[:-1]]
+        own = e[len(gram)][0] * c ** e[len(gram)][1] if c else 1
+        return (counts[len(gram)][gram] + own * p(gram[1:])) / (c + own)
+
     out = []
     for t in tokens:
-        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t[1:])
-        score = 0.0
-        for h, w in zip(t, t[1:]):
-            p, c = (one[w] + 1) / (n + v + 1), begins if h == "<" else one[h]
-            score += math.log10((two[h, w] + e * p) / (c + e)) if c else math.log10(p)
-        out.append((len(t) - 1, sum(one[w] > 0 for w in t[1:]), n, base, score))
+        base = sum(math.log10(p((w,))) for w in t[1:])
+        score = sum(math.log10(p(tuple(t[max(0, i - 2) : i + 1]))) for i in range(1, len(t)))
+        out.append((len(t) - 1, sum(one[(w,)] > 0 for w in t[1:]), n, base, score))
     return out
 
 
@@ -365,34 +376,39 @@ def test_lm_scores(spark, monkeypatch):
     keep = lm.escapes
     monkeypatch.setattr(lm, "escapes", lambda *a: seen.setdefault("e", keep(*a)))
     rows = {r["doc_id"]: r for r in lm.score_texts(docs(spark, texts)).collect()}
-    for i, want in enumerate(brute_lm(texts, seen["e"][2][2])):
+    tokens, counts = brute_counts(texts)
+    e = seen["e"][2]
+    for i, want in enumerate(brute_lm(tokens, counts, e)):
         r = rows[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[:3]
         assert r["base_score"] == pytest.approx(want[3], abs=1e-9) and r["score"] == pytest.approx(want[4], abs=1e-9)
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
+    # The fit, from the counts themselves rather than histograms: followers add up, and the mean weight is the share of n-grams seen once.
+    for n in (2, 3):
+        context = Counter({g: c for g, c in counts[n - 1].items() if g != ("<",)})
+        scale, power = e[n]
+        assert sum(c**power for c in context.values()) == pytest.approx(len(counts[n]), rel=0.02) or power in (0.0, 1.0)
+        weight = sum(c * scale * c**power / (c + scale * c**power) for c in context.values()) / sum(context.values())
+        assert weight == pytest.approx(sum(c == 1 for c in counts[n].values()) / sum(counts[n].values()), rel=0.02)
 
 
 def test_lm_is_a_distribution():
     """Over all words after any context, probabilities and the failure mass sum to one."""
     texts = ["a b a c", "a b b", "c a"]
-    stats = [{"n": 1, "level": 1, "types": 1, "tokens": 1}, {"n": 1, "level": 3, "types": 3, "tokens": 9}, {"n": 2, "level": 1, "types": 5, "tokens": 5}, {"n": 2, "level": 2, "types": 2, "tokens": 4}]
-    tokens, types, e = lm.escapes(stats, 2)
-    assert (tokens, types) == (10, 4) and e[2] > 0
-    one, two = Counter(), Counter()
-    for t in texts:
-        w = ["<", *t.split(), ">"]
-        one.update(w[1:])
-        two.update(zip(w, w[1:]))
-    n, v = sum(one.values()), len(one)
-    p = {w: (one[w] + 1) / (n + v + 1) for w in [*one, "unseen"]}
-    for h in ("a", "b", "c"):
-        assert sum((two[h, w] + 1.5 * p[w]) / (one[h] + 1.5) for w in p) == pytest.approx(1)
+    tokens, counts = brute_counts(texts * 7)
+    vocabulary = sorted(g for (g,) in counts[1] if g != "<")
+    e = {2: (1.5, 0.5), 3: (0.7, 0.9)}
+    sums = Counter()
+    for a, b in [("a", "b"), ("<", "c"), ("c", "a"), ("x", "a")]:
+        for w in [*vocabulary, "unseen"]:
+            sums[a, b] += 10 ** (brute_lm([["<", a, b, w]], counts, e)[0][4] - brute_lm([["<", a, b]], counts, e)[0][4])
+    assert all(x == pytest.approx(1) for x in sums.values())
 
 
 def test_lm_higher_order_and_held_out(spark):
     texts = corpus(80)
-    base = lm.score_texts(docs(spark, texts)).agg(F.sum("score")).first()[0]
-    more = lm.score_texts(docs(spark, texts), order=3).agg(F.sum("score")).first()[0]
+    base = lm.score_texts(docs(spark, texts), order=2).agg(F.sum("score")).first()[0]
+    more = lm.score_texts(docs(spark, texts), order=4).agg(F.sum("score")).first()[0]
     assert base < 0 and more < 0
     rng = random.Random(8)
     pairs = [(f"x{i}", f"y{i}") for i in range(30)]
@@ -458,6 +474,28 @@ def test_line_dedup_edges(spark):
     assert got == {0: f"one\n{passage}", 1: "two\nthree", 2: ""}
 
 
+def test_line_dedup_many_lines(spark):
+    """One text of 20,000 lines, its copy, and one line in every document."""
+    long = "\n".join(f"line {i % 9000} of many x{i % 7}" for i in range(20_000))
+    common = " ".join(f"c{i}" for i in range(60))
+    texts = [long, f"{long}\nmore"] + [f"own {i}\n{common}" for i in range(3000)]
+    rows = {r["doc_id"]: r for r in linededup.dedup_lines(docs(spark, texts)).collect()}
+    assert rows[0]["text"] == long and rows[1]["text"] == "more"
+    assert rows[2]["text"] == texts[2] and all(rows[i]["text"] == f"own {i - 2}" for i in range(3, len(texts)))
+
+
+def test_join_split_and_salted(spark):
+    """Hot keys broadcast or salted give the same rows as a plain join."""
+    scratch = Scratch(spark, "split")
+    rows = scratch.table(spark.range(5000).selectExpr("id", "CASE WHEN id < 3000 THEN -1 ELSE id % 50 END AS k"), "rows")
+    counts = scratch.table(rows.groupBy("k").agg(F.count("*").alias("many")), "counts")
+    members = scratch.table(counts.selectExpr("k", "many", "explode(array(1, 2, 3)) AS m"), "members")
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    assert plain(join_split(rows, counts, ["k"], 5000, 4).select("id", "many")) == plain(rows.join(counts, "k").select("id", "many"))
+    assert plain(join_salted(rows, members, ["k"], F.xxhash64("id"), 5000, 4).select("id", "m")) == plain(rows.join(members, "k").select("id", "m"))
+    scratch.drop()
+
+
 # ---- 8 toxicity -------------------------------------------------------------------------------
 
 
@@ -559,19 +597,19 @@ def brute_hits(texts, items, window):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [100_000, 7])
-def test_decontamination(spark, block_rows):
+@pytest.mark.parametrize("most_broadcast", [100_000, 0])
+def test_decontamination(spark, most_broadcast):
     rng = random.Random(11)
     vocab = ["A", "b", "c", "d", "é", "x1", "Zz"]
     phrase = lambda n: rng.choice([" ", ", ", "-"]).join(rng.choice(vocab) for _ in range(n))
     items = [(i, phrase(rng.choice([0, 1, 2, 5, 12, 16]) if i > 3 else 14)) for i in range(18)] + [(3, "b"), (100, None), (7, "x1 x1 x1")]
     texts = [" ".join([phrase(rng.randint(0, 15)), rng.choice(items)[1] or "", phrase(3)]) for _ in range(60)] + [None, "", "...", "É é"]
     frame = spark.createDataFrame(items, "item_id bigint, text string")
-    rows = {r["doc_id"]: r for r in decontam.report(decontam.find(docs(spark, texts), frame, block_rows=block_rows)).collect()}
+    rows = {r["doc_id"]: r for r in decontam.report(decontam.find(docs(spark, texts), frame, most_broadcast=most_broadcast)).collect()}
     for i, want in enumerate(brute_hits(texts, items, 10)):
         r = rows[i]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == want and r["contaminated"] == (want[1] > 0)
-    kept = decontam.drop_contaminated(docs(spark, texts), frame, block_rows=block_rows)
+    kept = decontam.drop_contaminated(docs(spark, texts), frame, most_broadcast=most_broadcast)
     assert {r["doc_id"] for r in kept.collect()} == {i for i in rows if not rows[i]["contaminated"]}
 
 

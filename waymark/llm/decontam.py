@@ -7,8 +7,10 @@ Document positions whose shingle is some window's prefix are candidates; those
 whose window would begin before the text or end after it fall away, and the rest
 is compared word by word with the item-sized window, in the task that found it.
 
-Windows are joined in blocks of about ``block_rows`` pairs of window and item, so a
-broadcast side has a fixed bound, whatever the benchmark's size.
+Up to ``most_broadcast`` windows are broadcast; more meet the positions by a shuffle, and the
+candidates their texts by another. Either way the corpus is read twice, whatever the number
+of windows. Occurrences carry a window's id; item ids are joined last, salted for
+windows that very many documents have.
 
 Defined results: null and empty texts have no words and no hits; an item without
 words or without item_id is left out; repeated items count once; rows of equal
@@ -23,6 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm._store import Scratch, join_salted
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BREAKS = "".join(chr(c) for c in (*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)))
@@ -44,20 +48,23 @@ def _shingle(w: Column, at: Column, size: int) -> Column:
     return F.when(at + size <= F.size(w), whole)
 
 
-def windows_of(items: DataFrame, window: int, shingle: int) -> DataFrame:
-    """words, item_ids, size, tokens: array of (at, hash) of each distinct window."""
+def windows_of(items: DataFrame, window: int) -> DataFrame:
+    """item_id, words: the distinct windows of each item."""
     w = items.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(window))
-    each = w.select("item_id", "w", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("at")).select("item_id", F.slice("w", F.col("at") + 1, F.col("n")).alias("words"))
-    own = each.groupBy("words").agg(F.collect_set("item_id").alias("item_ids"))
-    size = F.least(F.size("words"), F.lit(shingle))
+    each = w.select("item_id", "w", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("at"))
+    return each.select("item_id", F.slice("w", F.col("at") + 1, F.col("n")).alias("words")).distinct()
+
+
+def shingles_of(windows: DataFrame, shingle: int) -> DataFrame:
+    """The windows with size (of their shingles) and tokens: array of (at, hash)."""
 
     def all_of(s: int) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size("words") - s), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(s), *[F.get(F.col("words"), i + j) for j in range(s)]).alias("hash")))
 
     by_size = [all_of(s) for s in range(1, shingle + 1)]
     tokens = reduce(lambda rest, s: F.when(F.col("size") == s, by_size[s - 1]).otherwise(rest), range(1, shingle), by_size[shingle - 1])
-    return own.select("words", "item_ids", size.alias("size")).withColumn("tokens", tokens)
+    return windows.withColumn("size", F.least(F.size("words"), F.lit(shingle))).withColumn("tokens", tokens)
 
 
 def _positions(docs: DataFrame, sizes: list[int], outer: bool) -> DataFrame:
@@ -69,36 +76,73 @@ def _positions(docs: DataFrame, sizes: list[int], outer: bool) -> DataFrame:
     return rows.withColumn("hash", F.explode(F.array(*[_shingle(F.col("w"), F.col("at"), s) for s in sizes]))).drop("word")
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, block_rows: int = 100_000) -> DataFrame:
-    """Per document: doc_id, text_key, n_words, spans (ascending start, end of window occurrences), item_ids."""
-    own = windows_of(items, window, shingle)
+def _matched(docs: DataFrame, sizes: list[int], tokens: DataFrame) -> DataFrame:
+    """doc_id, text_key, at, hash of word positions whose shingle some window has; a shuffle of all positions."""
+    return _positions(docs, sizes, outer=False).select("doc_id", "text_key", "at", "hash").join(tokens, "hash", "left_semi")
+
+
+def _prefixes(own: DataFrame, seen: DataFrame) -> DataFrame:
+    """hash, many, inner_at, window, window_id: each window's rarest shingle, if the corpus has it."""
+    rank = own.select("window_id", "words", F.explode("tokens").alias("t")).select("window_id", "words", "t.at", "t.hash").join(seen, "hash", "left")
+    order = F.struct(F.coalesce("many", F.lit(0)).alias("many"), "hash", "at")
+    prefix = rank.groupBy("window_id").agg(F.first("words").alias("window"), F.min(order).alias("t")).where("t.many > 0")
+    return prefix.select(F.col("t.hash").alias("hash"), F.col("t.many").alias("many"), F.col("t.at").alias("inner_at"), "window", "window_id")
+
+
+def _verified(rows: DataFrame, start: Column) -> DataFrame:
+    """Rows with hit: whether the window stands at start in w, word by word."""
+    fits = (start >= 0) & (start + F.size("window") <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("window")) == F.col("window"))
+    return rows.withColumn("hit", F.coalesce(fits, F.lit(False)))
+
+
+def _occurrences(texts: DataFrame, own: DataFrame, sizes: list[int], small: bool, scratch: Scratch) -> DataFrame:
+    """doc_id, text_key, n_words, start, end, window_id of each occurrence, and a row without a window for other texts. Reads ``texts`` twice."""
+    tokens = own.select(F.explode("tokens.hash").alias("hash")).distinct()
+    if small:
+        counts = _positions(texts.select("w"), sizes, outer=False).join(F.broadcast(tokens), "hash").groupBy("hash").agg(F.count("*").alias("many"))
+        prefix = scratch.table(_prefixes(own, counts), "prefixes")
+        rows = _positions(texts, sizes, outer=True).join(F.broadcast(prefix.drop("many")), "hash", "left").withColumn("start", F.col("at") - F.col("inner_at"))
+        rows = _verified(rows, F.col("start")).where("hit or at is null or at = 0")
+    else:
+        matched = scratch.table(_matched(texts, sizes, tokens), "matched")
+        prefix = scratch.table(_prefixes(own, matched.groupBy("hash").agg(F.count("*").alias("many"))), "prefixes")
+        pairs = join_salted(matched, prefix, ["hash"], F.xxhash64("doc_id", "at"), matched.count())
+        pairs = pairs.select("doc_id", "text_key", (F.col("at") - F.col("inner_at")).alias("start"), "window", "window_id").where("start >= 0")
+        rows = texts.alias("t").join(pairs.alias("p"), F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("t.text_key").eqNullSafe(F.col("p.text_key")), "left").select("t.*", "p.start", "p.window", "p.window_id")
+        rows = _verified(rows, F.col("start"))
+    hit = F.col("hit")
+    rows = rows.select("doc_id", "text_key", F.size("w").cast("bigint").alias("n_words"), F.when(hit, F.col("start")).alias("start"), F.when(hit, F.col("start") + F.size("window")).alias("end"), F.when(hit, F.col("window_id")).alias("window_id"))
+    return scratch.table(rows, "found")
+
+
+def occurrences(docs: DataFrame, items: DataFrame, window: int, shingle: int, most_broadcast: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n_words, start, end, window_id of each occurrence, and a row without a window for other texts; item_id, window_id)."""
+    each = scratch.table(windows_of(items, window), "item-windows")
+    own = each.select("words").distinct().withColumn("window_id", F.monotonically_increasing_id())
+    named = scratch.table(shingles_of(own, shingle), "windows")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
-    stats = own.groupBy("size").agg(F.sum(F.size("item_ids")).alias("count")).collect()  # shingle rows at most
-    sizes = sorted(r["size"] for r in stats)
-    n_blocks = max(1, -(-sum(r["count"] for r in stats) // block_rows))
-    hits = "array<struct<start:int,end:int>>"
-    if not sizes:
-        return texts.select("doc_id", "text_key", F.size("w").cast("bigint").alias("n_words"), F.array().cast(hits).alias("spans"), F.array().cast("array<bigint>").alias("item_ids")).dropDuplicates(["doc_id", "text_key"])
-    own = own.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(n_blocks)))
-    found = []
-    for block in range(n_blocks):
-        part = own.where(F.col("block") == block)
-        tokens = part.select(F.explode("tokens.hash").alias("hash")).distinct()
-        seen = _positions(texts.select("w"), sizes, outer=False).join(F.broadcast(tokens), "hash").groupBy("hash").agg(F.count("*").alias("n"))
-        rank = part.select("words", "item_ids", F.explode("tokens").alias("t")).select("words", "item_ids", "t.at", "t.hash").join(seen, "hash", "left")
-        order = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash", "at")
-        prefix = rank.groupBy("words").agg(F.first("item_ids").alias("item_ids"), F.min(order).alias("t")).where("t.n > 0")
-        prefix = prefix.select(F.col("t.hash").alias("hash"), F.col("t.at").alias("inner_at"), F.col("words").alias("window"), "item_ids")
-        rows = _positions(texts, sizes, outer=True).join(F.broadcast(prefix), "hash", "left")
-        start = F.col("at") - F.col("inner_at")
-        fits = (start >= 0) & (start + F.size("window") <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("window")) == F.col("window"))
-        rows = rows.withColumn("hit", F.coalesce(fits, F.lit(False))).where("hit or at is null or at = 0")
-        span = F.when(F.col("hit"), F.struct(start.alias("start"), (start + F.size("window")).alias("end")))
-        found.append(rows.select("doc_id", "text_key", F.size("w").cast("bigint").alias("n_words"), span.alias("span"), F.when(F.col("hit"), F.col("item_ids")).alias("item_ids")))
-    rows = reduce(DataFrame.unionByName, found)
-    return rows.groupBy("doc_id", "text_key").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids")
-    )
+    stats = named.groupBy("size").agg(F.count("*").alias("count")).collect()  # shingle rows at most
+    sizes, n_windows = sorted(r["size"] for r in stats), sum(r["count"] for r in stats)
+    if sizes:
+        found = _occurrences(texts, named, sizes, n_windows <= most_broadcast, scratch)
+    else:
+        none = F.lit(None)
+        found = texts.select("doc_id", "text_key", F.size("w").cast("bigint").alias("n_words"), none.cast("int").alias("start"), none.cast("int").alias("end"), none.cast("bigint").alias("window_id"))
+    return found, each.join(named.select("words", "window_id"), "words").select("item_id", "window_id")
+
+
+def find(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, most_broadcast: int = 100_000, scratch: Scratch | None = None) -> DataFrame:
+    """Per document: doc_id, text_key, n_words, spans (ascending start, end of window occurrences), item_ids."""
+    scratch = scratch or Scratch(docs.sparkSession, "decontam")
+    key = ["doc_id", "text_key"]
+    found, members = occurrences(docs, items, window, shingle, most_broadcast, scratch)
+    span = F.when(F.col("start").isNotNull(), F.struct("start", "end"))
+    spans = found.groupBy(*key).agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(span)).alias("spans"))
+    which = scratch.table(found.where("window_id is not null").select(*key, "window_id").distinct(), "which")
+    of = scratch.table(members.join(which.groupBy("window_id").agg(F.count("*").alias("many")), "window_id"), "members")
+    got = join_salted(which, of, ["window_id"], F.xxhash64(*key), which.count()).groupBy(*key).agg(F.collect_set("item_id").alias("item_ids"))
+    out = spans.alias("s").join(got.alias("g"), F.col("s.doc_id").eqNullSafe(F.col("g.doc_id")) & F.col("s.text_key").eqNullSafe(F.col("g.text_key")), "left")
+    return out.select("s.doc_id", "s.text_key", "s.n_words", "s.spans", F.coalesce("g.item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
 
 
 def covered(spans: Column) -> Column:
@@ -114,9 +158,12 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, most_broadcast: int = 100_000, scratch: Scratch | None = None) -> DataFrame:
     """The documents, all columns as they are, without those in which an item's window occurs."""
-    bad = find(docs, items, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    scratch = scratch or Scratch(docs.sparkSession, "decontam")
+    found, _ = occurrences(docs, items, window, shingle, most_broadcast, scratch)
+    bad = scratch.table(found.where("window_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "bad")
+    bad = F.broadcast(bad) if bad.count() <= 10 * most_broadcast else bad  # two numbers a row
     return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_key"]), "left_anti")
 
 
