@@ -197,7 +197,93 @@ def test_copies_and_many_unseen_identifiers_keep_a_pattern(spark):
     assert not any(rows[i]["found"] for i in [*range(40), *range(181, 281)])
 
 
+def brute_pieces(t):
+    """(start, end, lower-cased piece) of the runs of letters and digits, or of other marks."""
+    return [(m.start(), m.end(), re.sub("[A-Z]", lambda c: c[0].lower(), m[0])) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\x20\x09-\x0D]+", t)]
+
+
+def brute_discover(texts, rounds=3, confident=0.5, support=5):
+    """Spans that patterns find, straight from the definition."""
+    edges, spans = {}, []
+    for i, t in enumerate(texts):
+        taken = [s for v in brute_spans(t).values() for s in v]
+        mine = [(a, b, 1.0) for a, b in taken]
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", t):
+            own = m[0].strip(pii._TRIM)
+            a = m.start() + len(m[0]) - len(m[0].lstrip(pii._TRIM))
+            b = a + len(own)
+            if own and ("@" in own or sum(c in "0123456789" for c in own) >= 3) and not any(x < b and a < y for x, y in taken):
+                mine.append((a, b, 0.5 if pii.CREDENTIAL.fullmatch(own) else 0.0))
+                spans.append((i, a, b, own.lower()))
+        for a, b, prior in mine:
+            left = [p for _, e, p in brute_pieces(t[:a])][::-1][:3]
+            right = [p for _, _, p in brute_pieces(t[b:])][:3]
+            for side, near in (("left", left), ("right", right)):
+                for n in range(1, len(near) + 1):
+                    by = edges.setdefault((side, tuple(near[:n]), pii.shape(t[a:b])), {})
+                    by[t[a:b].lower()] = max(by.get(t[a:b].lower(), 0.0), prior)
+    prose = {}
+    for t in texts:
+        pieces = [p for _, _, p in brute_pieces(t)]
+        marked = []
+        for a, _, _ in brute_pieces(t):
+            (token,) = [m[0] for m in re.finditer(r"[^\x20\x09-\x0D]+", t) if m.start() <= a < m.end()]
+            marked.append(any(c in "0123456789@" for c in token))
+        for i in range(len(pieces)):
+            for side, step in (("left", -1), ("right", 1)):
+                after = [pieces[i - step * d] if 0 <= i - step * d < len(pieces) else None for d in (1, 2)]
+                if after[0] is not None and marked[i - step]:
+                    continue
+                for n in range(1, 4):
+                    if 0 <= i + step * (n - 1) < len(pieces):
+                        prose.setdefault((side, tuple(pieces[i + step * d] for d in range(n))), set()).add(tuple(after))
+    score = {}
+    for by in edges.values():
+        for token, prior in by.items():
+            score[token] = max(score.get(token, 0.0), prior)
+    for _ in range(rounds):
+        best = {}
+        for (side, near, kind), by in edges.items():
+            own = [max(by[t], score.get((t, "got"), 0.0)) for t in by]
+            if sum(x >= confident for x in own) >= support:
+                p = sum(own) / (sum(own) + len(prose.get((side, near), ())))
+                if p >= confident:
+                    for t in by:
+                        best[t, side] = max(best.get((t, side), 0.0), p)
+        score = {(t, "got"): 1 - (1 - best.get((t, "left"), 0.0)) * (1 - best.get((t, "right"), 0.0)) for t, _ in best}
+    return {(i, a, b) for i, a, b, own in spans if score.get((own, "got"), 0.0) >= confident}
+
+
+@pytest.mark.parametrize("most_broadcast", [1_000_000, 7])
+def test_bootstrapping_against_brute_force(spark, most_broadcast):
+    rng = random.Random(21)
+    word = lambda: rng.choice("the and of it was Here then é, by; (so) no.".split())
+    fill = lambda n=8: " ".join(word() for _ in range(rng.randint(1, n)))
+    number = lambda: str(rng.randrange(10**4, 10**7))
+    make = [
+        lambda: f"call: +1 (212) 555-{rng.randrange(1000, 9999)} now",
+        lambda: f"call: {number()} now",
+        lambda: f"{number()} now is",
+        lambda: f'key = "{rng.getrandbits(160):040x}"',
+        lambda: f'key = "{rng.getrandbits(40):010x}"',
+        lambda: f"{rng.getrandbits(160):040x}",
+        lambda: f"mail of a{rng.randrange(60)}@b.example",
+        lambda: f"the {number()}",
+        lambda: "call: me now",
+        lambda: "key = none",
+    ]
+    texts = [" ".join([fill(), rng.choice(make)(), fill(4), rng.choice(make)(), fill(3)]) for _ in range(120)]
+    texts += texts[:30] + ["", "call: 55512345 now"]
+    rows = {r["doc_id"]: r for r in pii.extract(docs(spark, texts), most_broadcast=most_broadcast).collect()}
+    got = {(i, s["first"], s["last"]) for i in rows for s in rows[i]["found"]}
+    want = brute_discover(texts)
+    assert got == want and len(want) > 20
+
+
 def test_pii_edges(spark):
+    long = "x " * 300_000 + "a@b.example " + "y" * 100_000
+    rows = pii.extract(docs(spark, [long, long])).collect()
+    assert [(r["n_email"], r["base"]) for r in rows] == [(1, f"email:{long.index('a@')}:{long.index('a@') + 11}")] * 2
     assert pii.extract(empty(spark)).count() == 0
     assert pii.extract(odd(spark)).where("base = ''").count() == 9
 

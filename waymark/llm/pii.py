@@ -1,32 +1,44 @@
 """Personal data: fixed patterns, then bootstrapped contextual extraction.
 
-The fixed kinds (email, ip, card, phone) are the seeds.  The words beside them induce
-lexical patterns: a word to the left or to the right.  Every identifier-like token (three
-digits or more, or an @) that no seed covers is a candidate instance.  Patterns and
-instances make a graph that Spark scores in rounds:
+The fixed kinds (email, ip, card, phone) are the seed entities.  Tokens shaped like a
+credential (``CREDENTIAL``) are weak seeds: they count half, and are found only where a pattern
+confirms them.  Every other identifier-like token (three digits or more, or an @) that no seed
+covers is a candidate.
 
-    pattern  = summed scores of the different instances beside it / (that sum + different
-               contexts of its word in prose)
-    instance = 1 - product of (1 - pattern) over its confident patterns; a seed is 1
-
-A pattern is confident from ``confident`` on if ``support`` different instances that
-count carry it.  A context in prose is the two words that follow the word (that come before
-it, for a word to the right) where no instance stands beside it.  Candidates without a score
-count neither for nor against, and copies count once, so no group of copies switches a pattern
-off; common words have more contexts than instances and never become patterns.  After the
-rounds, candidates that score ``confident`` or more are further spans of kind "id".
-
-Only the seeds, candidates and their neighbours leave the texts, and of a word in ``support``
-edges or more as many contexts as decide against it.
+What stands beside a seed or candidate induces lexical patterns: its side, the one, two or three
+pieces next to it (runs of letters and digits, or of other marks, such as ``token``, ``=``, ``"``), and
+the instance's shape.  Patterns and instances make a graph that Spark scores in rounds:
 
-Defined results: null and empty texts have no spans; repeated rows are extracted each;
-null doc_ids stay; an empty table gives no rows; other columns are ignored.
+    pattern  = summed scores of the different instances beside it / (that sum + different
+               contexts of its pieces in prose)
+    instance = 1 - (1 - best pattern on its left) * (1 - best on its right), over confident
+               patterns; a seed is 1, a weak seed 0.5 at least
+
+A pattern is confident from ``confident`` on if ``support`` different instances of that score or
+more carry it.  A context in prose is the two pieces on the pattern's other side where the
+adjacent token has neither a digit nor an @.  Candidates without a score count neither for nor
+against, and copies count once, so no group of copies switches a pattern off; common words have
+more contexts than instances and never become patterns.  After the rounds, candidates that
+patterns give ``confident`` or more are further spans of kind "id".
+
+Only the seeds, candidates and hashes of their neighbours leave the texts. Contexts are counted for
+pieces with ``support`` instances or more, ``most_broadcast`` of them a pass, and in each task only
+up to the number that decides against them. Patterns beside very many instances are joined apart.
+
+Defined results: null and empty texts have no spans; repeated rows are extracted each; spans
+of equal texts are equal; whole texts are read, however long, in linear time; an instance that
+scores exactly ``confident`` counts as found; null doc_ids stay; an empty table gives no rows; other
+columns are ignored, also where their names clash.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import itertools
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import _text
-from waymark.llm._store import Scratch
-from waymark.llm.toxicity import BREAKS
+from waymark.llm._store import Scratch, join_split
 
 KINDS = ("email", "ip", "card", "phone")
 # What the kinds look like.
@@ -47,14 +58,23 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*")
+# What published credential formats look like.
+CREDENTIAL = re.compile(r"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+_HEX = re.compile(r"[0-9a-f]{8,}")
+_NUMBER = re.compile(r"[0-9+(). -]+")
 _TRIM = ".,;:!?()[]{}<>\"'"
-NEAR = 64
+PIECES = 3
 BLOCK_BYTES = 1 << 20
-FOUND = "row string, what string, doc_id bigint, base string, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, first bigint, last bigint, token string, left bigint, right bigint, head bigint, tail bigint"
-_TYPES = {"string": pa.string(), "bigint": pa.int64()}
+FOUND = "row string, what string, doc_id bigint, base string, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, first bigint, last bigint, token binary, shape string, prior double, left array<bigint>, right array<bigint>"
+_TYPES = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64())}
 _COLUMNS = [x.split() for x in FOUND.split(", ")]
+#: Kinds of byte: 0 space, 1 letters, digits and non-ASCII, 2 other marks.
+KIND = np.full(256, 2, np.uint8)
+KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+KIND[list(_text.SPACE_BYTES)] = 0
+DIGIT = np.zeros(256, np.int64)
+DIGIT[[*range(48, 58), 64]] = 1
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -94,47 +114,74 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def _neighbours(text: str, first: int, last: int) -> tuple[str, str, str, str]:
-    """The words before and after a span and its own first and last, lower-cased in ASCII; '' where none is near."""
-    left = _WORD.findall(text, max(0, first - NEAR), first)
-    right = _WORD.search(text, last, last + NEAR)
-    low = lambda w: "".join(c.lower() if c.isascii() else c for c in w)
-    own = _WORD.findall(text, first, last) or [""]
-    return (low(left[-1]) if left else ""), (low(right[0]) if right else ""), low(own[0]), low(own[-1])
+def _kind(c: str) -> int:
+    return int(KIND[ord(c)]) if c.isascii() else 1
+
+
+def _beside(text: str, at: int, step: int) -> list[str]:
+    """The PIECES pieces before (step -1) or from (step 1) a place, nearest first, A-Z lower-cased."""
+    out: list[str] = []
+    i = at if step > 0 else at - 1
+    while 0 <= i < len(text) and len(out) < PIECES:
+        kind, first = _kind(text[i]), i
+        while 0 <= i < len(text) and _kind(text[i]) == kind:
+            i += step
+        if kind:
+            own = text[first:i] if step > 0 else text[i + 1 : first + 1]
+            out.append("".join(c.lower() if c.isascii() else c for c in own))
+    return out
+
+
+def _chain(pieces: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Hashes of one, two, ... pieces, nearest first."""
+    h = np.full(len(pieces[0]), 0x243F6A8885A308D3, np.uint64)
+    for piece in pieces:
+        with np.errstate(over="ignore"):
+            h = _text.mix(h * np.uint64(0x9FB21C651E98DF25) + piece)
+        yield h
 
 
-def _hashes(words: list[str]) -> list[int | None]:
-    raw = [w.encode() for w in words]
-    ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    got = _text.span_hashes(data, ends - [len(w) for w in raw], ends).view(np.int64) if words else np.zeros(0, np.int64)
-    return [int(h) if w else None for h, w in zip(got, words, strict=True)]
+def _context_hashes(near: list[list[str]]) -> list[list[int]]:
+    """For each row of pieces, the hash of its first, first two, first three."""
+    flat = [p.encode() for row in near for p in row]
+    if not flat:
+        return [[] for _ in near]
+    ends = np.cumsum([len(p) for p in flat], dtype=np.int64)
+    own = _text.span_hashes(np.frombuffer(b"".join(flat), np.uint8), ends - [len(p) for p in flat], ends)
+    counts = np.array([len(row) for row in near])
+    at = np.cumsum(counts) - counts
+    columns = [own[np.minimum(at + j, len(own) - 1)] for j in range(PIECES)]
+    hashes = [h.view(np.int64) for h in _chain(columns)]
+    return [[int(h[i]) for h in hashes[: counts[i]]] for i in range(len(near))]
 
 
 def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    taken = sorted(taken)
+    starts = [a for a, _ in taken]
+    reach = list(itertools.accumulate((b for _, b in taken), max))
     for m in _TOKEN.finditer(text):
         token = m[0]
         first = m.start() + len(token) - len(token.lstrip(_TRIM))
         last = m.end() - (len(token) - len(token.rstrip(_TRIM)))
-        if first < last and ("@" in text[first:last] or len(_DIGIT.findall(text, first, last)) >= 3) and not any(a < last and first < b for a, b in taken):
+        before = bisect.bisect_left(starts, last)
+        if first < last and ("@" in text[first:last] or len(_DIGIT.findall(text, first, last)) >= 3) and not (before and reach[before - 1] > first):
             yield first, last
 
 
+def shape(token: str) -> str:
+    return "email" if "@" in token else "number" if _NUMBER.fullmatch(token) else "hex" if _HEX.fullmatch(token.lower()) else "mixed"
+
+
 def _scan(docs: DataFrame) -> DataFrame:
-    """Rows what = doc (base spans), seed or candidate (with neighbours, and their own first and last word)."""
+    """Rows what = doc (base spans), seed or candidate (with the hashes of what stands beside it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
-
-        def batch_of(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], _TYPES[k]) for c, k in _COLUMNS], names=[c for c, _ in _COLUMNS])
-
         for batch in batches:
             for a, b in _text.blocks(batch.column(1), BLOCK_BYTES):
-                column = batch.column(1).slice(a, b - a)
                 rows: list[dict] = []
-                near: list[str] = []
-                for doc_id, text in zip(batch.column(0).slice(a, b - a).to_pylist(), column.to_pylist(), strict=True):
+                near: list[list[str]] = []
+                for doc_id, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
                     text = text or ""
                     spans = find_spans(text)
                     row = f"{part}-{serial}"
@@ -143,24 +190,51 @@ def _scan(docs: DataFrame) -> DataFrame:
                     taken = [s for k in KINDS for s in spans[k]]
                     for what, own in (("seed", taken), ("candidate", _candidates(text, taken))):
                         for x, y in own:
-                            rows.append({"row": row, "what": what, "first": x, "last": y, "token": text[x:y].lower()})
-                            near += _neighbours(text, x, y)
-                hashes = _hashes(near)
-                beside = iter(zip(*[iter(hashes)] * 4, strict=True))
+                            token = text[x:y]
+                            prior = 1.0 if what == "seed" else 0.5 if CREDENTIAL.fullmatch(token) else 0.0
+                            rows.append({"row": row, "what": what, "first": x, "last": y, "token": hashlib.md5(token.lower().encode()).digest(), "shape": shape(token), "prior": prior})
+                            near += [_beside(text, x, -1), _beside(text, y, 1)]
+                hashes = iter(_context_hashes(near))
                 for r in rows:
                     if r["what"] != "doc":
-                        r["left"], r["right"], r["head"], r["tail"] = next(beside)
-                yield batch_of(rows)
+                        r["left"], r["right"] = next(hashes), next(hashes)
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], _TYPES[k]) for c, k in _COLUMNS], names=[c for c, _ in _COLUMNS])
 
     return docs.mapInArrow(run, FOUND)
 
 
 SIDES = ("left", "right")
-
-
-def _pair(word: np.ndarray, other: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _text.mix(_text.mix(word) + other)
+PATTERN = ["side", "context", "shape"]
+
+
+class Pieces:
+    """Pieces of a block of texts: hashes, the text of each, and whether its token has a digit or an @."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        n = len(data)
+        kind = KIND[data]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        new = np.ones(n + 1, bool)
+        new[1:n] = kind[1:] != kind[:-1]
+        new |= edge
+        cuts = np.flatnonzero(new)
+        starts, ends = cuts[:-1], cuts[1:]
+        real = kind[starts] > 0
+        starts, ends = starts[real], ends[real]
+        self.hashes = _text.span_hashes(_text.LOWER[data], starts, ends)
+        self.owner = np.searchsorted(offsets, starts, side="right") - 1
+        tokens = _text.Words(data, offsets)
+        sums = np.concatenate([[0], np.cumsum(DIGIT[data])])
+        marked = sums[tokens.ends] > sums[tokens.starts]
+        self.marked = marked[np.searchsorted(tokens.starts, starts, side="right") - 1]
+
+    def at(self, i: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index, whether it is in the same text) of the piece ``by`` further."""
+        j = i + by
+        inside = (j >= 0) & (j < len(self.hashes))
+        j = np.where(inside, j, 0)
+        return j, inside & (self.owner[j] == self.owner[i])
 
 
 def _among(values: np.ndarray, ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,75 +243,113 @@ def _among(values: np.ndarray, ascending: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, ascending[at] == values if len(ascending) else np.zeros(len(values), bool)
 
 
-def _contexts(docs: DataFrame, edges: DataFrame, beside: DataFrame, confident: float, support: int) -> DataFrame:
-    """side, word, prose: different contexts without an instance, of words that have ``support`` edges or more.
-
-    A word with k edges is no pattern once it has more than k * (1 - confident) / confident contexts,
-    so each task stops at one more than that.
+class _Counter:
+    """Different prose contexts of the asked pieces of one side, up to ``most`` of each."""
+
+    def __init__(self, keys: np.ndarray, most: np.ndarray, step: int):
+        self.keys, self.most, self.step = keys, most, step
+        self.counts, self.seen = np.zeros(len(keys), np.int64), np.zeros(0, np.uint64)
+
+    def add(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """(context, prose context) hashes not seen before."""
+        got_keys, got = [], []
+        every = np.arange(len(pieces.hashes))
+        columns, valid = [], np.ones(len(every), bool)
+        two = [pieces.at(every, -self.step * (d + 1)) for d in range(2)]
+        first, second = (np.where(inside, pieces.hashes[j], np.uint64(0)) for j, inside in two)
+        prose = ~(two[0][1] & pieces.marked[two[0][0]])
+        for n in range(PIECES):
+            j, inside = pieces.at(every, self.step * n)
+            valid = valid & inside
+            columns.append(pieces.hashes[j])
+            *_, chain = _chain(columns)
+            at, hit = _among(chain, self.keys)
+            i = np.flatnonzero(hit & valid & prose)
+            i = i[self.counts[at[i]] < self.most[at[i]]]
+            *_, context = _chain([chain[i], first[i], second[i]])
+            context, index = np.unique(context, return_index=True)
+            group = at[i][index]
+            new = ~_among(context, self.seen)[1]
+            context, group = context[new], group[new]
+            order = np.argsort(group, kind="stable")
+            context, group = context[order], group[order]
+            place = np.arange(len(group)) - np.searchsorted(group, group)
+            fits = place < (self.most - self.counts)[group]
+            context, group = context[fits], group[fits]
+            self.counts += np.bincount(group, minlength=len(self.keys))
+            self.seen = np.sort(np.concatenate([self.seen, context]))
+            got_keys.append(self.keys[group])
+            got.append(context)
+        return np.concatenate(got_keys), np.concatenate(got)
+
+
+def _prose(docs: DataFrame, asked: DataFrame, confident: float, most_broadcast: int, scratch: Scratch) -> DataFrame:
+    """side, context, prose: different contexts in prose of each of the asked (side, context, k).
+
+    With k instances at most, a pattern fails once it has more than k * (1 - confident) / confident
+    contexts, so each task stops at one more than that.
     """
-    asked = edges.groupBy("side", "word").agg(F.count("*").alias("k")).where(F.col("k") >= support)
-    words, near = asked.toArrow(), beside.join(asked, ["side", "word"], "left_semi").toArrow()
-    numbers = lambda t, name: t[name].to_numpy().view(np.uint64)
-    known = []
-    for side in SIDES:
-        own, pairs = (t.filter(pa.compute.equal(t["side"], side)) for t in (words, near))
-        order = np.argsort(numbers(own, "word"))
-        known.append((numbers(own, "word")[order], np.floor(own["k"].to_numpy()[order] * (1 - confident) / confident).astype(np.int64) + 1, np.unique(_pair(numbers(pairs, "word"), numbers(pairs, "other")))))
-    shared = docs.sparkSession.sparkContext.broadcast(known)  # a few numbers an edge
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        seen, counts = [np.zeros(0, np.uint64) for _ in SIDES], [np.zeros(len(k[0]), np.int64) for k in known]
-        for batch in batches:
-            for a, b in _text.blocks(batch.column(0), BLOCK_BYTES):
-                found = _text.Words(*_text.text_bytes(batch.column(0).slice(a, b - a)), BREAKS)
-                h, owner = found.hashes(True), found.owner()
-                for s, (keys, most, pairs) in enumerate(known):
-                    at, hit = _among(h, keys)
-                    i = np.flatnonzero(hit)
-                    i = i[counts[s][at[i]] < most[at[i]]]
-                    step = 1 if SIDES[s] == "left" else -1
-                    one, two = ((np.clip(i + d, 0, len(h) - 1), (i + d >= 0) & (i + d < len(h))) for d in (step, 2 * step))
-                    one, two = (np.where(inside & (owner[j] == owner[i]), h[j], np.uint64(0)) if len(i) else np.zeros(0, np.uint64) for j, inside in (one, two))
-                    pair = _pair(h[i], one)
-                    prose = ~_among(pair, pairs)[1]
-                    context, index = np.unique(_pair(pair[prose], two[prose]), return_index=True)
-                    group = at[i][prose][index]
-                    new = ~_among(context, seen[s])[1]
-                    context, group = context[new], group[new]
-                    order = np.argsort(group, kind="stable")
-                    context, group = context[order], group[order]
-                    place = np.arange(len(group)) - np.searchsorted(group, group)
-                    fits = place < (most - counts[s])[group]
-                    context, group = context[fits], group[fits]
-                    counts[s] += np.bincount(group, minlength=len(keys))
-                    seen[s] = np.sort(np.concatenate([seen[s], context]))
-                    if len(group):
-                        yield pa.RecordBatch.from_arrays([pa.array([SIDES[s]] * len(group)), pa.array(keys[group].view(np.int64)), pa.array(context.view(np.int64))], names=["side", "word", "context"])
-
-    return docs.select("text").mapInArrow(run, "side string, word bigint, context bigint").distinct().groupBy("side", "word").agg(F.count("*").alias("prose"))
-
-
-def discover(docs: DataFrame, found: DataFrame, scratch: Scratch, rounds: int = 3, confident: float = 0.5, support: int = 5) -> DataFrame:
-    """token of every candidate that scores ``confident`` or more."""
-    side = lambda name, other: F.struct(F.lit(name).alias("side"), F.col(name).alias("word"), F.col(other).alias("other"))
-    instances = found.where("what in ('seed', 'candidate')").select((F.col("what") == "seed").alias("seed"), "token", F.explode(F.array(side("left", "head"), side("right", "tail"))).alias("p")).select("seed", "token", "p.side", "p.word", "p.other").where("word is not null")
-    edges = instances.groupBy("side", "word", "token").agg(F.max("seed").alias("seed"))
-    seeded = edges.where("seed").groupBy("side", "word").agg(F.count("*").alias("k"))
-    # A pattern needs instances that count; without any seed beside it, it can only gain some in later rounds.
-    edges = scratch.table(edges, "edges")
-    if seeded.where(F.col("k") >= support).limit(1).count() == 0:
-        return edges.select("token").limit(0)
-    beside = instances.where("other is not null").select("side", "word", "other").distinct()
-    prose = scratch.table(_contexts(docs, edges, beside, confident, support), "prose")
-    scores = edges.groupBy("token").agg(F.max("seed").alias("seed")).select("token", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score"), "seed")
+    asked = scratch.table(asked, "asked")
+    parts = -(-asked.count() // most_broadcast)
+    counted = []
+    for part in range(parts):
+        own = asked.where(F.pmod(F.xxhash64("context"), F.lit(parts)) == part).toArrow()
+        known = []
+        for side in SIDES:
+            mine = own.filter(pyarrow.compute.equal(own["side"], side))
+            keys = mine["context"].to_numpy().view(np.uint64)
+            order = np.argsort(keys)
+            known.append((keys[order], np.floor(mine["k"].to_numpy()[order] * (1 - confident) / confident).astype(np.int64) + 1))
+        shared = docs.sparkSession.sparkContext.broadcast(known)  # two numbers for each of about most_broadcast contexts
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            counters = [_Counter(*known, step) for known, step in zip(shared.value, (-1, 1), strict=True)]
+            for batch in batches:
+                for a, b in _text.blocks(batch.column(0), BLOCK_BYTES):
+                    pieces = Pieces(*_text.text_bytes(batch.column(0).slice(a, b - a)))
+                    for side, counter in zip(SIDES, counters, strict=True):
+                        keys, context = counter.add(pieces)
+                        if len(keys):
+                            yield pa.RecordBatch.from_arrays([pa.array([side] * len(keys)), pa.array(keys.view(np.int64)), pa.array(context.view(np.int64))], names=["side", "context", "at"])
+
+        pairs = docs.select("text").mapInArrow(run, "side string, context bigint, at bigint").distinct()
+        counted.append(pairs.groupBy("side", "context").agg(F.count("*").alias("prose")))
+    none = asked.select("side", "context", F.lit(0).cast("bigint").alias("prose")).limit(0)
+    return scratch.table(reduce(DataFrame.unionByName, counted, none), "prose")
+
+
+def scored_edges(found: DataFrame) -> DataFrame:
+    """side, context, shape, token, prior: each instance beside each pattern, once."""
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("contexts")) for s in SIDES])
+    rows = found.where("what <> 'doc'").select("shape", "token", "prior", F.explode(sides).alias("s")).select("s.side", F.explode("s.contexts").alias("context"), "shape", "token", "prior")
+    return rows.groupBy(*PATTERN, "token").agg(F.max("prior").alias("prior"))
+
+
+def rescore(edges: DataFrame, prose: DataFrame, total: int, confident: float, support: int, scratch: Scratch, name: str) -> DataFrame:
+    """token, got: what confident patterns give to the instances beside them. edges: with score."""
+    good = F.count_if(F.col("score") >= confident)
+    weighed = edges.groupBy(*PATTERN).agg(F.sum("score").alias("weight"), good.alias("good"), F.count("*").alias("many")).where(F.col("good") >= support)
+    pattern = F.col("weight") / (F.col("weight") + F.coalesce("prose", F.lit(0)))
+    patterns = scratch.table(weighed.join(prose, ["side", "context"], "left").select(*PATTERN, "many", pattern.alias("pattern")).where(F.col("pattern") >= confident), f"{name}-patterns")
+    best = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("pattern"))), F.lit(0.0))
+    return join_split(edges.select(*PATTERN, "token"), patterns, PATTERN, total).groupBy("token").agg((1 - (1 - best("left")) * (1 - best("right"))).alias("got"))
+
+
+def _small(df: DataFrame, bound: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= bound else df
+
+
+def discover(docs: DataFrame, found: DataFrame, scratch: Scratch, rounds: int = 3, confident: float = 0.5, support: int = 5, most_broadcast: int = 1_000_000) -> DataFrame:
+    """token of every candidate that confident patterns give ``confident`` or more."""
+    edges = scratch.table(scored_edges(found), "edges")
+    total = edges.count()
+    asked = edges.groupBy(*PATTERN).agg(F.count("*").alias("k")).where(F.col("k") >= support)
+    prose = _prose(docs, asked.groupBy("side", "context").agg(F.max("k").alias("k")), confident, most_broadcast, scratch)
+    scored, got = edges.withColumn("score", F.col("prior")), None
     for i in range(rounds):
-        weighed = edges.drop("seed").join(scores, "token")
-        patterns = weighed.groupBy("side", "word").agg(F.sum("score").alias("weight"), F.count_if(F.col("score") >= confident).alias("k")).where((F.col("weight") > 0) & (F.col("k") >= support))
-        patterns = patterns.join(prose, ["side", "word"], "left").select("side", "word", (F.col("weight") / (F.col("weight") + F.coalesce("prose", F.lit(0)))).alias("pattern")).where(F.col("pattern") >= confident)
-        gained = edges.join(patterns, ["side", "word"]).groupBy("token").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("pattern"), F.lit(1e-9)))))).alias("got"))
-        scores = scratch.table(scores.join(gained, "token", "left").select("token", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("got", F.lit(0.0))).alias("score"), "seed"), f"scores-{i}")
-    return scores.where(~F.col("seed") & (F.col("score") >= confident)).select("token")
+        got = scratch.table(rescore(scored, prose, total, confident, support, scratch, f"round{i}"), f"round{i}")
+        scored = edges.join(_small(got, most_broadcast), "token", "left").withColumn("score", F.greatest("prior", F.coalesce("got", F.lit(0.0)))).drop("got")
+    return got.where(F.col("got") >= confident).select("token")
 
 
 def extract(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
@@ -245,7 +357,7 @@ def extract(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataF
     scratch = scratch or Scratch(docs.sparkSession, "pii")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = scratch.table(_scan(rows), "found")
-    tokens = discover(rows, found, scratch, **options)
+    tokens = _small(scratch.table(discover(rows, found, scratch, **options), "tokens"), 1_000_000)
     more = found.where("what = 'candidate'").join(tokens, "token", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("found"))
     out = found.where("what = 'doc'").join(more, "row", "left")
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base", F.coalesce("found", F.array().cast("array<struct<first:bigint,last:bigint>>")).alias("found"))

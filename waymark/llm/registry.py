@@ -20,7 +20,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.extract(read(spark, sf_dir, "documents"))
     more = F.transform("found", lambda s: F.concat(F.lit("id:"), s["first"].cast("string"), F.lit(":"), s["last"].cast("string")))
     spans = F.array_join(F.filter(F.concat(F.array("base"), more), lambda x: x != ""), ",")
-    return out.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
+    return out.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), F.size("found").cast("bigint").alias("n_id"))
 
 
 # The contract's rules of op3.
