@@ -603,7 +603,7 @@ def test_toxicity_held_out(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
-def test_toxicity_cut_does_not_depend_on_the_sample(spark):
+def test_toxicity_of_more_rows(spark):
     rng = random.Random(19)
     plain, bad = [f"w{i}" for i in range(300)], ["scoundrel", "villain", "rascal", "knave"]
     data = []
@@ -615,11 +615,47 @@ def test_toxicity_cut_does_not_depend_on_the_sample(spark):
         data.append((" ".join(w), y))
     labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(data)], "doc_id bigint, quality int, toxic int")
     df = docs(spark, [t for t, _ in data])
-    rows = toxicity.score(df, toxicity.fit(df, labels, max_unlabelled=400)).collect()
+    rows = toxicity.score(df, toxicity.fit(df, labels)).collect()
     held = [(r["predicted"], data[r["doc_id"]][1]) for r in rows if r["held_out"]]
     assert sum(p for p, y in held if y) >= 0.9 * sum(y for _, y in held) and sum(p for p, y in held if not y) <= 0.03 * len(held)
 
 
+def test_toxicity_risk_and_gradient(spark):
+    """Sums over Spark against the definition, and the gradient against differences."""
+    import math
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(12)}" for _ in range(rng.randint(0, 8))) for _ in range(60)] + [None, "", "w1 W1"]
+    scratch = Scratch(spark, "risk")
+    df = docs(spark, texts).select("text", (F.col("doc_id") % 3 == 0).alias("positive")).repartition(3)
+    hashed = lambda w: int(_text.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] >> np.uint64(64 - toxicity.BITS))
+    vocabulary = np.array(sorted(hashed(f"w{i}") for i in range(8)))
+    n = {r["word"]: (r["n_p"], r["n_u"]) for r in toxicity._counts(df).collect()}
+    assert n[-1] == (21, 63)
+    own = [{hashed(w) for w in words(t)} for t in texts]
+    for w in vocabulary:
+        assert n[w] == (sum(w in x for i, x in enumerate(own) if i % 3 == 0), sum(w in x for x in own))
+    risk = toxicity._unlabelled_risk(scratch.table(toxicity._sets(df, vocabulary), "sets"), 8)
+    weights, bias = np.array([rng.uniform(-1, 1) for _ in range(8)]), 0.3
+    at = lambda w, b: sum(math.log1p(math.exp(b + sum(w[k] for k in range(8) if vocabulary[k] in x))) for x in own)
+    loss, grad, grad_b = risk(weights, bias)
+    assert loss == pytest.approx(at(weights, bias))
+    for k in range(8):
+        step = np.eye(8)[k] * 1e-5
+        assert grad[k] == pytest.approx((at(weights + step, bias) - at(weights - step, bias)) / 2e-5, abs=1e-5)
+    assert grad_b == pytest.approx((at(weights, bias + 1e-5) - at(weights, bias - 1e-5)) / 2e-5, abs=1e-5)
+    scratch.drop()
+
+
+def test_toxicity_negative_risk_and_ties(spark):
+    """A prior far above the truth makes the negatives' risk negative; steps then go back instead of diverging."""
+    ids, offsets = np.array([0, 0, 0]), np.array([0, 1, 2, 3])
+    unlabelled = np.concatenate([ids, np.zeros(0, int)]), np.array([0, 1, 2, 3, 3, 3, 3, 3, 3, 3])
+    w, b = toxicity.descend((ids, offsets), lambda w, b: toxicity.losses(*unlabelled, w, b, -1.0), 9, 1, 0.9, steps=300)
+    assert np.isfinite(w).all() and abs(w[0]) < 20 and abs(b) < 20
+    assert toxicity.score(docs(spark, ["a", None]), toxicity.Model(np.zeros(1 << toxicity.BITS), 0.0)).where("score = 0.5 and predicted = 1").count() == 2
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(4, 1, 1), (5, 1, 0), (None, 1, 1), (8, None, None)], "doc_id bigint, quality int, toxic int")
     assert toxicity.score(odd(spark), toxicity.fit(odd(spark), labels)).count() == 9

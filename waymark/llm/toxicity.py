@@ -3,25 +3,28 @@
 A linear numpy classifier on hashed word presence is trained from confirmed toxic
 examples plus unlabelled text, with the risk estimate
 
-    prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
+    prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
 
-whose second part, the risk of the negatives, is not let fall below zero.
+R+ and R- the mean logistic losses of calling a text toxic or not, whose second part, the risk
+of the negatives, is not let fall below zero: where it would, a step goes against its gradient.
 
-Bounds of the training sample, both parameters: ``max_positive`` toxic rows and
-``max_unlabelled`` rows of any kind, each first by a hash of doc_id, so toxic rows are
-as frequent among the latter as in the corpus.  Labels count only where
-crc32(doc_id as text) mod 5 is not 0.  The cut at 0.5 is set from the margins of all
-rows that are not held out.  Every whole text is scored.
+The unlabelled set is every document that is not held out, the toxic ones among them, as the
+risk asks.  Word counts, risk and gradient are sums over all of them, by Spark; one small job
+a step reads each text's counted words, which are written once.  The one bound of the
+training, a parameter, is ``max_positive`` toxic labelled rows, first by a hash of doc_id, which the
+driver holds.  Labels count only where crc32(doc_id as text) mod 5 is not 0; the prior is
+their share of toxic ones.  The model estimates log odds, so the cut is at odds of one: score 0.5.
 
 Defined results: a null or empty text scores as one without words; repeated rows
-score alike; several labels of a document count as toxic if one does; without
-toxic labels every score is 0; an empty table gives no rows.
+score alike, and count as often as they occur; very long texts count each word once; a margin of
+exactly 0 is a score of 0.5 and predicted 1; several labels of a document count as toxic if one
+does; without toxic labels every score is 0; an empty table gives no rows; other columns are
+ignored, also where their names clash.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import _text
+from waymark.llm._store import Scratch
 
 BITS = 18
 BLOCK_BYTES = 1 << 20
@@ -59,106 +63,162 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, batch: int = 512, rate: float = 0.02, least_docs: int = 3, least_z: float = 3.0, l2: float = 1e-5, seed: int = 3) -> Model:
-    """Adam on the non-negative risk with the logistic loss.
+def select(n_p: np.ndarray, n_u: np.ndarray, positives: int, unlabelled: int, least_docs: int = 3, least_z: float = 2.5) -> np.ndarray:
+    """Words that take part: ``least_docs`` positives have them, and positives have them more often by ``least_z`` standard errors.
 
-    A word takes part if at least ``least_docs`` positives have it and positives
-    have it more often than unlabelled texts by ``least_z`` standard errors.
+    Words that are rarer among positives are left out: any large group of copies makes such.
     """
-    dims = 1 << BITS
-    count = lambda rows: np.bincount(np.concatenate(rows) if rows else np.zeros(0, np.int64), minlength=dims)
-    p, u = count(positive), count(unlabelled)
-    of_p, of_u = (p + 0.5) / (len(positive) + 1), (u + 0.5) / (len(unlabelled) + 1)
-    z = (of_p - of_u) / np.sqrt(of_p * (1 - of_p) / (len(positive) + 1) + of_u * (1 - of_u) / (len(unlabelled) + 1))
-    scale = ((p >= least_docs) & (z >= least_z)).astype(float)
-    rng = np.random.default_rng(seed)
-    w, b = np.zeros(dims), 0.0
-    m, v, mb, vb, t = np.zeros(dims), np.zeros(dims), 0.0, 0.0, 0
-    pos = [x[scale[x] > 0] for x in positive]
-    unl = [x[scale[x] > 0] for x in unlabelled]
-    flat = lambda rows: (np.concatenate(rows) if rows else np.zeros(0, np.int64), np.array([len(x) for x in rows]))
-    steps = max(1, len(unl) // batch)
-    for _ in range(epochs):
-        order_u, order_p = rng.permutation(len(unl)), rng.permutation(len(pos))
-        for own_u, own_p in zip(np.array_split(order_u, steps), np.array_split(np.resize(order_p, max(len(pos), 64 * steps)), steps), strict=True):
-            ip, np_ = flat([pos[i] for i in own_p])
-            iu, nu = flat([unl[i] for i in own_u])
-            total = lambda i, n: np.bincount(np.repeat(np.arange(len(n)), n), (w * scale)[i], minlength=len(n)) + b
-            gp, gu = total(ip, np_), total(iu, nu)
-            # logistic loss: l(+) = log(1 + exp(-g)), l(-) = log(1 + exp(g))
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            dp_plus, dp_minus, du_minus = -_sigmoid(-gp) / len(gp), _sigmoid(gp) / len(gp), _sigmoid(gu) / len(gu)
-            if negative >= 0:
-                dp, du = prior * dp_plus - prior * dp_minus, du_minus
-            else:  # step back on the negatives' risk only
-                dp, du = prior * dp_minus, -du_minus
-            grad = np.bincount(ip, np.repeat(dp, np_), minlength=dims) + np.bincount(iu, np.repeat(du, nu), minlength=dims)
-            grad = grad * scale + l2 * w
-            gb = dp.sum() + du.sum()
-            t += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-            mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return Model(w * scale, float(b))
-
-
-#: Margins are counted in bins this many to the unit.
-MARGIN_BINS = 1024
-
-
-def calibrate(model: Model, docs: DataFrame, prior: float) -> Model:
-    """Moves the bias so that a share ``prior`` of all ``docs`` (text), as near as the bins allow, scores above 0.5; a text without any word that counts stays below."""
-    weights = docs.sparkSession.sparkContext.broadcast(model)
+    of_p, of_u = (n_p + 0.5) / (positives + 1), (n_u + 0.5) / (unlabelled + 1)
+    z = (of_p - of_u) / np.sqrt(of_p * (1 - of_p) / (positives + 1) + of_u * (1 - of_u) / (unlabelled + 1))
+    return np.flatnonzero((n_p >= least_docs) & (z >= least_z))
+
+
+def losses(ids: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: float, sign: float) -> tuple[float, np.ndarray, float]:
+    """Sums over texts, given as rows of word numbers: log(1 + exp(-sign * margin)), and its gradient by weights and bias."""
+    margins = sign * (np.diff(np.concatenate([[0.0], np.cumsum(weights[ids])])[offsets]) + bias)
+    slope = -sign * _sigmoid(-margins)
+    return float(np.logaddexp(0, -margins).sum()), np.bincount(ids, np.repeat(slope, np.diff(offsets)), minlength=len(weights)), float(slope.sum())
+
+
+def descend(positive: tuple[np.ndarray, np.ndarray], unlabelled: Callable[[np.ndarray, float], tuple[float, np.ndarray, float]], n_unlabelled: int, dims: int, prior: float, steps: int = 60, rate: float = 0.12, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the whole risk, at ``rate`` for three quarters of the steps, then falling to none; ``unlabelled`` gives the sums of the negatives' loss over all texts."""
+    w, b = np.zeros(dims), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros((2, dims + 1))
+    n_p = len(positive[1]) - 1
+    for t in range(1, steps + 1):
+        (_, plus, plus_b), (risk_p, minus, minus_b), (risk_u, own, own_b) = losses(*positive, w, b, 1.0), losses(*positive, w, b, -1.0), unlabelled(w, b)
+        negative = np.append(own, own_b) / n_unlabelled - prior * np.append(minus, minus_b) / n_p
+        if risk_u / n_unlabelled - prior * risk_p / n_p >= 0:
+            grad = prior * np.append(plus, plus_b) / n_p + negative
+        else:  # step back on the negatives' risk only
+            grad = -negative
+        grad[:-1] += l2 * w
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+        step = rate * min(1.0, (1 - (t - 1) / steps) / 0.25) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w, b = w - step[:-1], b - float(step[-1])
+    return w, b
+
+
+def held_out(column: str = "doc_id"):
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def _counts(docs: DataFrame) -> DataFrame:
+    """word, n_p, n_u over docs (text, positive): how many positives and texts have a word; word -1 counts the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = weights.value
+        sums = np.zeros((2, (1 << BITS) + 1), np.int64)
         for batch in batches:
             for a, b in _text.blocks(batch.column(0), BLOCK_BYTES):
-                margins = own.margins(*features(batch.column(0).slice(a, b - a)))
-                bins, n = np.unique(np.floor(margins * MARGIN_BINS).astype(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n)], names=["bin", "n"])
+                ids, at = features(batch.column(0).slice(a, b - a))
+                positive = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)
+                sums[0, :-1] += np.bincount(ids, np.repeat(positive, np.diff(at)), 1 << BITS).astype(np.int64)
+                sums[1, :-1] += np.bincount(ids, minlength=1 << BITS)
+                sums[:, -1] += positive.sum(), b - a
+        words = np.flatnonzero(sums[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(words == 1 << BITS, -1, words)), pa.array(sums[0, words]), pa.array(sums[1, words])], names=["word", "n_p", "n_u"])
 
-    counts = sorted((r["bin"], r["n"]) for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect())
-    bins, n = np.array(counts, np.int64).reshape(-1, 2).T
-    if not len(bins):
-        return model
-    above = np.cumsum(n[::-1])[::-1]  # texts in this bin or a higher one
-    cut = bins[np.argmin(np.abs(above - prior * n.sum()))] / MARGIN_BINS
-    return Model(model.weights, model.bias - max(float(cut), model.bias + 0.1))
+    return docs.mapInArrow(run, "word bigint, n_p bigint, n_u bigint").groupBy("word").agg(F.sum("n_p").alias("n_p"), F.sum("n_u").alias("n_u"))
 
 
-def held_out(column: str = "doc_id"):
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+SETS = "ids binary, offsets binary, positive binary"
+
+
+def _sets(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """Blocks of texts (text, positive) as rows of numbers of the selected ``words``."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # 2 ** BITS numbers at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            for a, b in _text.blocks(batch.column(0), BLOCK_BYTES):
+                ids, at = features(batch.column(0).slice(a, b - a))
+                number = np.minimum(np.searchsorted(words, ids), max(len(words) - 1, 0))
+                mine = words[number] == ids if len(words) else np.zeros(len(ids), bool)
+                offsets = np.concatenate([[0], np.cumsum(mine)])[at]
+                positive = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([_text.pack(x)], pa.binary()) for x in (number[mine].astype(np.int32), offsets.astype(np.int64), positive)], names=["ids", "offsets", "positive"])
+
+    return docs.mapInArrow(run, SETS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 5000, max_unlabelled: int = 15000) -> Model | None:
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _text.unpack(row["ids"], np.int32), _text.unpack(row["offsets"], np.int64), _text.unpack(row["positive"], np.uint8) > 0
+
+
+def _rows(ids: np.ndarray, offsets: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(offsets)
+    return ids[np.repeat(take, n)], np.concatenate([[0], np.cumsum(n[take])])
+
+
+def _unlabelled_risk(sets: DataFrame, dims: int) -> Callable[[np.ndarray, float], tuple[float, np.ndarray, float]]:
+    """Sums of the negatives' loss and of its gradient over all texts; place dims is the bias, dims + 1 the loss."""
+
+    def at(weights: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+        shared = sets.sparkSession.sparkContext.broadcast((weights, bias))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w, b = shared.value
+            sums = np.zeros(dims + 2)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    ids, offsets, _ = _unpacked(row)
+                    loss, grad, grad_b = losses(ids, offsets, w, b, -1.0)
+                    sums += np.concatenate([grad, [grad_b, loss]])
+            some = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["at", "x"])
+
+        got = sets.mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()  # dims + 2 rows at most
+        sums = np.zeros(dims + 2)
+        sums[got["at"].to_numpy()] = got["x"].to_numpy()
+        shared.destroy()
+        return float(sums[-1]), sums[:dims], float(sums[dims])
+
+    return at
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 5000, steps: int = 60, scratch: Scratch | None = None) -> Model | None:
     """Model, or None where no toxic label may be learnt from."""
     spark = docs.sparkSession
+    scratch = scratch or Scratch(spark, "toxicity")
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     prior = own.agg(F.avg("toxic")).first()[0]
     if not prior:
         return None
-    by = [F.xxhash64("doc_id"), F.col("doc_id")]
-    positive = {r[0] for r in own.where("toxic = 1").orderBy(*by).select("doc_id").limit(max_positive).collect()}
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out())
-    unlabelled = {r[0] for r in ids.orderBy(*by).limit(max_unlabelled).collect()}
-    wanted = F.broadcast(spark.createDataFrame([(x,) for x in sorted(positive | unlabelled)], "doc_id bigint"))  # max_positive + max_unlabelled rows at most
+    wanted = own.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(max_positive).collect()
+    positive = F.broadcast(spark.createDataFrame([(r[0], True) for r in wanted], "doc_id bigint, positive boolean"))  # max_positive rows at most
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNull() | ~held_out())
+    rows = rows.join(positive, "doc_id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive"))
+    counts = _counts(rows).toArrow()  # 2 ** BITS + 1 rows at most
+    n_p, n_u = np.zeros((2, (1 << BITS) + 1), np.int64)
+    n_p[counts["word"].to_numpy()], n_u[counts["word"].to_numpy()] = counts["n_p"].to_numpy(), counts["n_u"].to_numpy()
+    if not n_p[-1]:
+        return None
+    words = select(n_p[:-1], n_u[:-1], int(n_p[-1]), int(n_u[-1]))
+    sets = scratch.table(_sets(rows, words), "sets")
+    has = [_rows(*_unpacked(r)[:2], _unpacked(r)[2]) for r in _positive_blocks(sets).collect()]
+    sizes = np.concatenate([np.diff(offsets) for _, offsets in has])
+    known = np.concatenate([ids for ids, _ in has]), np.concatenate([[0], np.cumsum(sizes)])
+    prior = min(float(prior), 0.999)
+    w, b = descend(known, _unlabelled_risk(sets, len(words)), int(n_u[-1]), len(words), prior, steps)
+    weights = np.zeros(1 << BITS)
+    weights[words] = w
+    scratch.drop()
+    return Model(weights, b)
+
+
+def _positive_blocks(sets: DataFrame) -> DataFrame:
+    """The positives' rows of each block that has some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _text.blocks(batch.column(1), BLOCK_BYTES):
-                part = batch.slice(a, b - a)
-                got, at = features(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_text.pack(got[at[i] : at[i + 1]]) for i in range(len(part))], pa.binary())], names=["doc_id", "words"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").mapInArrow(run, "doc_id bigint, words binary").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    words = [(r["doc_id"], _text.unpack(r["words"], np.int32)) for r in rows]
-    pos, unl = [w for i, w in words if i in positive], [w for i, w in words if i in unlabelled]
-    if not pos:
-        return None
-    return calibrate(train(pos, unl, float(prior)), docs.where(F.col("doc_id").isNotNull() & ~held_out()), float(prior))
+            for row in batch.to_pylist():
+                ids, offsets, positive = _unpacked(row)
+                if positive.any():
+                    ids, offsets = _rows(ids, offsets, positive)
+                    yield pa.RecordBatch.from_arrays([pa.array([_text.pack(x)], pa.binary()) for x in (ids, offsets, positive[positive].astype(np.uint8))], names=["ids", "offsets", "positive"])
+
+    return sets.mapInArrow(run, SETS)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
