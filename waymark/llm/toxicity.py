@@ -95,7 +95,7 @@ def descend(positive: tuple[np.ndarray, np.ndarray], unlabelled: Callable[[np.nd
         grad[:-1] += l2 * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = rate * min(1.0, (1 - (t - 1) / steps) / 0.25) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1], b - float(step[-1])
+        w, b = w - step[:-1], b - 0.25 * float(step[-1])  # the bias starts near its place
     return w, b
 
 
