@@ -49,10 +49,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waymark.llm import _text
-from waymark.llm._store import Scratch
+from waymark.llm._store import Scratch, join_salted, join_split
 
 BITS = 48
-BLOCK_BYTES = 2 << 20
+#: Ids of spare documents that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 BINS = 32
 NO_ID = np.iinfo(np.int64).min
 SENT = "kind int, bucket int, chunk string, a binary, b binary, c binary, d binary"
@@ -88,14 +89,14 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], owner[new]
 
 
-def _send(docs: DataFrame, size: int, n_buckets: int) -> DataFrame:
+def _send(docs: DataFrame, size: int, n_buckets: int, block_bytes: int) -> DataFrame:
     schema = _arrow_schema(SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
         edges = (np.arange(n_buckets + 1, dtype=object) * (1 << BITS) // n_buckets).astype(np.uint64)
         for batch in batches:
-            for a, b in _text.blocks(batch.column(1), BLOCK_BYTES):
+            for a, b in _text.blocks(batch.column(1), block_bytes):
                 ids = batch.column(0).slice(a, b - a).fill_null(NO_ID).to_numpy()
                 grams, owner = shingle_sets(batch.column(1).slice(a, b - a), size)
                 chunk = f"{part}-{serial}"
@@ -264,12 +265,15 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     n_buckets = _text.bucket_count(n_bytes)
-    answers = _send(rows, size, n_buckets).groupBy("kind", "bucket").applyInArrow(_answer, ANSWERS)
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = scratch.table(rows, "texts")  # blocks are named by place, so a lost task must find the same rows there
+    answers = _send(rows, size, n_buckets, _text.block_bytes(n_bytes)).groupBy("kind", "bucket").applyInArrow(_answer, ANSWERS)
     members = scratch.table(answers.groupBy("chunk").applyInArrow(_gather(num, den), DOCS), "members")
 
     nodes = members.where("keys is not null")
     tokens = scratch.table(nodes.select(F.col("doc_id").alias("id"), "n", "own", "shared", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + F.col("own")), "tokens")
-    lists = tokens.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("own", "id", "n", "shared", "at")).alias("hub")).where("many > 1")
+    lists = scratch.table(tokens.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("own", "id", "n", "shared", "at")).alias("hub")).where("many > 1"), "lists")
+    total = tokens.count()
 
     def may_link(x: str, y: str):
         """Length filter, shared-size filter and positional filter, as integers: overlap * (num + den) >= num * (n + n)."""
@@ -288,22 +292,26 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         ready = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bins_a", "bins_b", "keys_a", "keys_b")
         return scratch.table(ready.mapInArrow(_verify(num, den, every), "a bigint, b bigint, both bigint, links boolean"), name)
 
-    to_hub = tokens.alias("y").join(lists.select("token", "hub").alias("l"), "token").select(F.col("l.hub").alias("x"), F.struct("y.id", "y.n", "y.shared", "y.at").alias("y")).where("x.id <> y.id").where(may_link("x", "y"))
+    in_lists = join_split(tokens, lists, ["token"], total)
+    to_hub = in_lists.select(F.col("hub").alias("x"), F.struct("id", "n", "shared", "at").alias("y")).where("x.id <> y.id").where(may_link("x", "y"))
     compared = verified(to_hub.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "hub-overlaps", True)
     edges = compared.where("links").select("a", "b")
     labels = components(edges, scratch, "hub")
 
-    placed = tokens.join(lists.select("token", F.col("hub.id").alias("hub"), F.col("hub.at").alias("hub_at")), "token").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+    placed = in_lists.select("token", "id", "n", "shared", "at", F.col("hub.id").alias("hub")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    placed = scratch.table(placed, "in-lists")
+    mixed = scratch.table(placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("many")).where("low < high").select("token", "many"), "mixed")
     # Of what x shares with the hub, what lies at a common prefix shingle or after it.
     common = compared.select("a", "b", "both").join(tokens.select(F.col("id").alias("b"), "token", "at"), "b").join(tokens.select(F.col("id").alias("a"), "token"), ["a", "token"])
     before = F.row_number().over(Window.partitionBy("a", "b").orderBy("at", "token")) - 1
     known = common.select(F.col("a").alias("hub"), F.col("b").alias("id"), "token", (F.col("both") - before).alias("in_hub"))
-    placed = placed.where("id <> hub").join(mixed, "token", "left_semi").join(known, ["hub", "id", "token"], "left")
-    placed = scratch.table(placed.withColumn("outside", F.col("n") - F.col("at") - F.col("in_hub")).select("token", "id", "n", "shared", "at", "label", "in_hub", "outside"), "placed")
+    placed = join_split(placed, mixed, ["token"], total).where("id <> hub").join(known, ["hub", "id", "token"], "left")
+    placed = scratch.table(placed.withColumn("outside", F.col("n") - F.col("at") - F.col("in_hub")).select("token", "many", "id", "n", "shared", "at", "label", "in_hub", "outside"), "placed")
     bound = F.least("x.in_hub", "y.in_hub") + F.least("x.outside", "y.outside")
     by_hub = bound.isNull() | (bound * (num + den) >= num * (F.col("x.n") + F.col("y.n")))  # least() skips nulls; one side alone is a bound too
-    across = placed.alias("x").join(placed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")) & may_link("x", "y") & by_hub)
+    member = F.struct("id", "n", "shared", "at", "label", "in_hub", "outside")
+    across = join_salted(placed.select("token", member.alias("x")), placed.select("token", "many", member.alias("y")), ["token"], F.xxhash64("x.id"), total)
+    across = across.where((F.col("x.label") < F.col("y.label")) & may_link("x", "y") & by_hub)
     more = verified(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "cross-links", False).select("a", "b")
     labels = components(edges.union(more), scratch, "all")
     out = members.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(labels, F.col("rep") == F.col("id"), "left")
@@ -311,8 +319,13 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
 
 def keep_first(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
-    """The documents, all columns as they are, without those that reach a smaller doc_id by links."""
-    spare = link_components(docs, size, num, den, scratch).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    """The documents, all columns as they are, without those that reach a smaller doc_id by links.
+
+    Rows of the same doc_id stay or go together; rows of a null doc_id stay.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
+    spare = scratch.table(link_components(docs, size, num, den, scratch).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "spare")
+    spare = F.broadcast(spare) if spare.count() <= MOST_BROADCAST else spare
     return docs.join(spare, docs["doc_id"].cast("bigint") == spare["_id"], "left_anti")
 
 

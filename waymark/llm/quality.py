@@ -3,10 +3,11 @@
 Rule statistics of each whole text feed a forest of random axis-parallel splits,
 grown on a bounded sample of rows labelled good; a document that the splits
 isolate in few steps is anomalous.  The path length below which a document is
-rejected is calibrated on the scores of all labelled rows.
+rejected is calibrated on the labelled rows that the forest has not seen.
 
 Defined results: a null or empty text has zero statistics and fails the base
-rules; repeated rows are judged alike, each on its own; without labels the
+rules; repeated rows are judged alike, each on its own; a score in the threshold's own
+bin is rejected; long texts are read whole, in blocks; without labels the
 forest grows on a sample of the rows that pass the base rules, and nothing but the
 base rules rejects; an empty table gives no rows; other columns are ignored, or
 passed through by ``keep_good``.
@@ -135,9 +136,6 @@ class Forest:
             total += self.length[t][at]
         return 2.0 ** (-total / len(self.feature) / self.norm)
 
-    def rejects(self, x: np.ndarray) -> np.ndarray:
-        return self.anomaly(x) > self.threshold if self.threshold > 0 else np.zeros(len(x), bool)
-
 
 def _usual(n: int) -> float:
     return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
@@ -177,16 +175,19 @@ SCORE_BINS = 1000
 def fit(stats: DataFrame, labels: DataFrame, sample: int = 8192, trees: int = 100, subsample: int = 256, margin: float = 0.25, good_cost: float = 10.0, seed: int = 7) -> Forest | None:
     """Forest and threshold; None where no row passes the base rules.
 
-    The forest grows on at most ``sample`` rows labelled good that pass the base
-    rules, first by a hash of doc_id.  The threshold is chosen on all labelled
-    rows that pass, from counts in SCORE_BINS score bins: the one of least
-    ``good_cost`` * good rejected + bad kept.
+    Labelled rows that pass the base rules fall into two halves by a hash of doc_id.  The forest
+    grows on at most ``sample`` good ones of the first, in the order of another hash.  The
+    threshold is chosen on the whole second half, which the forest has not seen, from counts in
+    SCORE_BINS score bins: the one of least ``good_cost`` * good rejected + bad kept.  Without
+    good rows in the first half it grows on unlabelled ones; without good or bad rows in the
+    second nothing but the base rules rejects.
     """
     marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
     passed = stats.where("not base_failed")
     rows = passed.join(marked, "doc_id")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2))
     take = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").select(*FEATURES).limit(sample).toPandas().to_numpy(float)
-    x = take(rows.where("quality = 1"))
+    x = take(rows.where("quality = 1").where(half == 0))
     calibrated = len(x) > 0
     if not calibrated:
         x = take(passed)
@@ -195,14 +196,14 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = 8192, trees: int = 10
     forest = grow(x, trees, subsample, margin, seed)
     if not calibrated:
         return forest
-    counts = _scored(rows.select("quality", *FEATURES), forest).groupBy("bin", "quality").count().collect()
+    counts = _scored(rows.where(half == 1).select("quality", *FEATURES), forest).groupBy("bin", "quality").count().collect()
     good, bad = np.zeros(SCORE_BINS + 1), np.zeros(SCORE_BINS + 1)
     for r in counts:
         (good if r["quality"] == 1 else bad)[r["bin"]] += r["count"]
     # rejected: bins from k on
     cost = good_cost * np.concatenate([np.cumsum(good[::-1])[::-1], [0]]) + np.concatenate([[0], np.cumsum(bad)])
     k = len(cost) - 1 - int(np.argmin(cost[::-1]))
-    if bad.sum():
+    if bad.sum() and good.sum():
         forest.threshold = k / SCORE_BINS
     return forest
 
@@ -217,16 +218,16 @@ def _scored(rows: DataFrame, forest: Forest) -> DataFrame:
 
 
 def judge(stats: DataFrame, forest: Forest | None) -> DataFrame:
-    """Base columns plus anomaly and kept."""
+    """Base columns plus kept and anomaly."""
     keys = ["doc_id", *BASE, "base_failed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = _text.columns(batch)
             anomaly, kept = _verdict(c["base_failed"].to_numpy(zero_copy_only=False), {f: c[f].to_numpy(zero_copy_only=False) for f in FEATURES}, forest)
-            yield pa.RecordBatch.from_arrays([*(c[k] for k in keys), pa.array(anomaly), pa.array(kept)], names=[*keys, "anomaly", "kept"])
+            yield pa.RecordBatch.from_arrays([*(c[k] for k in keys), pa.array(kept), pa.array(anomaly)], names=[*keys, "kept", "anomaly"])
 
-    return stats.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in BASE) + ", base_failed boolean, anomaly double, kept boolean")
+    return stats.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in BASE) + ", base_failed boolean, kept boolean, anomaly double")
 
 
 def _verdict(failed: np.ndarray, features: dict[str, np.ndarray], forest: Forest | None) -> tuple[np.ndarray, np.ndarray]:

@@ -109,7 +109,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], min_context: int
     best = bins.withColumn("right", F.round(right, 9)).withColumn("below", gap).where("right is not null").agg(F.max(F.struct("right", "bin", "below")).alias("b")).first()["b"]
     threshold = (best["bin"] + best["below"] + 1) * BIN // 2 if best else 0
     out = rows.join(sums, "s", "left")
-    by_score = F.when(F.coalesce("score", F.lit(0)) >= threshold, "allow").otherwise("block")
+    by_score = F.when((F.col("s") == "") | (F.coalesce("score", F.lit(0)) >= threshold), "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", "action", "score", F.coalesce("action", by_score).alias("verdict"))
 
 
@@ -140,5 +140,5 @@ score AS (SELECT s, CAST(floor(sum(diff) / count(*)) AS BIGINT) AS score FROM gr
 bins AS (SELECT CAST(floor(greatest(least(coalesce(score, 0), {20 * MILLION}), {-20 * MILLION}) / {BIN}) AS BIGINT) AS bin, sum(times) FILTER (action = 'allow') AS a, sum(times) FILTER (action = 'block') AS r FROM texts LEFT JOIN score USING (s) WHERE action IS NOT NULL GROUP BY 1),
 cut AS (SELECT bin, coalesce(lag(bin) OVER (ORDER BY bin), bin) AS below, round(coalesce(sum(coalesce(r, 0)) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT nullif(sum(r), 0) FROM bins) + 1 - coalesce(sum(coalesce(a, 0)) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT nullif(sum(a), 0) FROM bins), 9) AS fit FROM bins),
 t AS (SELECT coalesce((SELECT (bin + below + 1) * {BIN // 2} FROM cut WHERE fit IS NOT NULL ORDER BY fit DESC, bin DESC LIMIT 1), 0) AS threshold)
-SELECT page_id, host, path, rule, coalesce(action, CASE WHEN coalesce(score, 0) >= (SELECT threshold FROM t) THEN 'allow' ELSE 'block' END) AS verdict FROM r LEFT JOIN score USING (s)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN r.s = '' OR coalesce(score, 0) >= (SELECT threshold FROM t) THEN 'allow' ELSE 'block' END) AS verdict FROM r LEFT JOIN score USING (s)
 """
