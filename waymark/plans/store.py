@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import uuid
@@ -10,6 +11,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: set[str] = set()
+_left: dict[str, Scratch] = {}
+
+
+@atexit.register
+def _drop_all() -> None:
+    for scratch in list(_left.values()):
+        with contextlib.suppress(Exception):  # the session may have ended
+            if scratch.spark.sparkContext._jsc is not None:
+                scratch.drop()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,12 +44,13 @@ class Scratch:
     """Tables that one operator call writes to cut its lineage.
 
     They must outlive the lazily read result, so whoever has consumed that
-    result calls drop(); the pipeline does so between its stages.
+    result calls drop(), as the pipeline does between its stages; what is left goes when Python ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _left[self.path] = self
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Writes a step of a longer plan and goes on from what was written."""
@@ -55,6 +66,7 @@ class Scratch:
         self._delete(f"{self.path}/{name}")
 
     def drop(self) -> None:
+        _left.pop(self.path, None)
         self._delete(self.path)
 
     def _delete(self, path: str) -> None:
