@@ -2,10 +2,21 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the
 columns of documents; the last returns their piece ids.
+
+Every stage handles null and empty texts, very long ones, ties, repeated rows, empty tables and
+extra columns, also with clashing names, which pass through all but the last stage:
+
+* quality_rules: a null or empty text fails the base rules and goes; repeated rows are judged alike.
+* line_dedup: a null or blank text stays as it is; rows of equal doc_id and text are one document.
+* near_duplicates: texts without words link with nothing and stay; rows of equal doc_id stay or
+  go together; rows of a null doc_id are never spare.
+* decontamination: texts without words stay; rows of equal doc_id and text are judged alike.
+* sentencepiece: a null text has null ids, an empty one none.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,18 +25,17 @@ from pyspark.sql import functions as F
 from waymark.llm import decontam, jaccard, linededup, pieces, quality
 from waymark.llm._store import Scratch, bounded_batches, read
 
-_open: list[Scratch] = []
+_open = threading.local()  # the scratch tables of the last stage that a thread began, by session
 
 
 def _scratch(spark: SparkSession, name: str) -> Scratch:
     """Tables for one stage. Its predecessors' results are written by now, so theirs go."""
     bounded_batches(spark)
-    while _open:
-        old = _open.pop()
-        if old.spark is spark:
-            old.drop()
-    _open.append(Scratch(spark, name))
-    return _open[-1]
+    own = _open.__dict__.setdefault("tables", {})
+    if id(spark) in own:
+        own.pop(id(spark)).drop()
+    own[id(spark)] = Scratch(spark, name)
+    return own[id(spark)]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark window occurs go."""
-    _scratch(spark, "decontam")
-    return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark"), scratch=_scratch(spark, "decontam"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
