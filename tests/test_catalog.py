@@ -43,9 +43,9 @@ def test_query(spark, sf_dir, name):
 
 
 def test_resolve_batch_asks_every_object(spark, sf_dir):
-    addresses = {r["code"]: r["address"] for r in catalog.address_format(spark, sf_dir).collect()}
+    records = {r["code"]: r["address"] for r in catalog.address_format(spark, sf_dir).collect()}
     got = {r["q_id"]: r for r in catalog.QUERIES["resolve_batch"](spark, sf_dir).collect()}
-    assert set(got) == set(addresses)
+    assert set(got) == set(records)
     assert {q // 1_000_000 for q, r in got.items() if r["code"] is not None} == {105, 106, 108, 109, 113}
     # Flats of one building can share an address, so one of the twins answers.
     twin = [q for q, r in got.items() if q // 1_000_000 == 109 and r["code"] is not None]

@@ -78,15 +78,15 @@ def test_search_ranks_and_filters(spark, index, paths, history):
     assert ask(spark, index, paths, history, "vilandes iela 18 1 riga")[0] == (8, 0)
     assert ask(spark, index, paths, history, "kirova")[0] == (6, 0)
     assert {c for c, _ in ask(spark, index, paths, history, "18 riga", filters.of_types(paths, [g.NLT]))} == {7, 11}
-    assert {c for c, _ in ask(spark, index, paths, history, "vilandes", filters.post_addresses(paths))} == {8, 9}
+    assert {c for c, _ in ask(spark, index, paths, history, "vilandes", filters.postal_objects(paths))} == {8, 9}
     assert ask(spark, index, paths, history, "vilandez iela 18 1")[0] == (8, 1)
     assert len(ask(spark, index, paths, history, "riga", limit=3)) == 3
 
 
 def test_resolve(spark, index, paths, history):
-    addresses = g.address(paths, ()).select("code", "address")
+    records = g.address(paths, ()).select("code", "address")
     asked = spark.createDataFrame([(1, "Ancīši, Ancene, Asares pag., Aknīstes nov."), (2, "Vīlandes iela 18 - 1, Rīga"), (3, "qqqq, Rīga"), (4, "zzzz")], "q_id bigint, text string")
-    rows = {r["q_id"]: r["code"] for r in resolve.resolve(asked, index, search.ranking_words(paths, history), addresses).collect()}
+    rows = {r["q_id"]: r["code"] for r in resolve.resolve(asked, index, search.ranking_words(paths, history), records).collect()}
     assert rows == {1: 4, 2: 8, 3: 5, 4: None}
 
 
@@ -206,14 +206,14 @@ def test_sinks_and_refresh(spark, paths, tmp_path):
     seen = []
 
     def run():
-        refresh.watch(spark, str(versions), root, lambda v: {"addresses": a.withColumn("v", F.lit(v))} if v != "30" else 1 / 0, str(tmp_path / "check"), seen.append).awaitTermination()
+        refresh.watch(spark, str(versions), root, lambda v: {"records": a.withColumn("v", F.lit(v))} if v != "30" else 1 / 0, str(tmp_path / "check"), seen.append).awaitTermination()
 
     write(versions / "a.txt", ["10", "20"])
     run()
     write(versions / "b.txt", ["15"])
     run()
     assert seen == ["20"] and sinks.current_version(spark, root) == "20"
-    assert sinks.load_snapshot(spark, root, ["addresses"])["addresses"].first()["v"] == "20"
+    assert sinks.load_snapshot(spark, root, ["records"])["records"].first()["v"] == "20"
     write(versions / "c.txt", ["30"])
     with pytest.raises(Exception):
         run()

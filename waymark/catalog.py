@@ -288,7 +288,7 @@ def type_filter(spark, sf_dir):
 
 @query("post_filter", f"{_WITH} SELECT code, typ, address FROM addr WHERE is_leaf AND typ IN (108, 109)")
 def post_filter(spark, sf_dir):
-    return g.address(filters.post_addresses(_paths(spark, sf_dir)), ()).select("code", "typ", "address")
+    return g.address(filters.postal_objects(_paths(spark, sf_dir)), ()).select("code", "typ", "address")
 
 
 @query("big_filter", f"{_WITH} SELECT code, typ, address FROM addr WHERE typ IN (104, 113, 105, 106)")
@@ -346,9 +346,9 @@ def bounding_box(spark, sf_dir):
 def resolve_batch(spark, sf_dir):
     paths = _paths(spark, sf_dir)
     index = search.Index.build(g.index_strings(paths))
-    addresses = index.scratch.keep(g.address(paths, ()).select("code", "address"))
-    asked = addresses.select(F.col("code").alias("q_id"), F.replace("address", F.lit("\n"), F.lit(", ")).alias("text"))
-    return resolve.resolve(asked, index, index.scratch.keep(search.ranking_words(paths)), addresses)
+    records = index.scratch.keep(g.address(paths, ()).select("code", "address"))
+    asked = records.select(F.col("code").alias("q_id"), F.replace("address", F.lit("\n"), F.lit(", ")).alias("text"))
+    return resolve.resolve(asked, index, index.scratch.keep(search.ranking_words(paths)), records)
 
 
 @query(

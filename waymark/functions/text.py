@@ -116,6 +116,11 @@ def file_name(url: Column) -> Column:
     return F.substring_index(url, "/", -1)
 
 
+def shown_version(path: Column) -> Column:
+    """The last part of a version's path; a text of its own where there is none."""
+    return F.coalesce(F.regexp_extract(path, r"([^/\\]*)[/\\]*$", 1), F.lit("<Not initialized>"))
+
+
 def version_of(name: Column) -> Column:
     """The part of a file name before its first dot."""
     return F.substring_index(name, ".", 1)

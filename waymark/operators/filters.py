@@ -13,7 +13,7 @@ def of_types(objects: DataFrame, types: list[int] | None) -> DataFrame:
     return objects if not types else objects.where(F.col("typ").isin(*types))
 
 
-def post_addresses(objects: DataFrame) -> DataFrame:
+def postal_objects(objects: DataFrame) -> DataFrame:
     return objects.where(gazetteer.is_post_address(F.col("is_leaf"), F.col("typ")))
 
 

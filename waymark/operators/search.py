@@ -8,20 +8,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waymark.functions import text
 from waymark.plans import index as plan
 from waymark.plans.store import Scratch
+from waymark.sources import sinks
 
 # How many results, merges, corrections and combinations a search considers.
 MAX_REFS = 1024
 MAX_MERGES = 32
 MAX_INTERSECTIONS = 1024
 MAX_PRODUCTIVE = 32
-MAX_SPLITS = 4
 SALTS = 32
 
 
@@ -46,6 +46,17 @@ class Index:
         posting = scratch.table(plan.postings(strings, synonyms), "posting")
         return cls(posting, scratch.table(plan.vocabulary(posting), "vocab"), strings, scratch)
 
+    def save(self, root: str, version: str) -> None:
+        """The tables as a version under ``root``, postings laid out by token, and then the current one."""
+        parts = int(self.posting.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sinks.save_snapshot({"posting": plan.clustered(self.posting, parts), "vocab": self.vocab, "strings": self.strings}, root, version)
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str, version: str | None = None) -> Index:
+        """A saved version, the current one unless named."""
+        t = sinks.load_snapshot(spark, root, ["posting", "vocab", "strings"], version)
+        return cls(t["posting"], t["vocab"], t["strings"], Scratch(spark, "index"))
+
 
 def token_lookup(tokens: DataFrame, posting: DataFrame) -> DataFrame:
     """q_id, token, mult, idx, exact of (q_id, token, mult)."""
@@ -140,18 +151,19 @@ def _in_common(readings: DataFrame, index: Index, open_last: bool) -> DataFrame:
     return readings.join(shared.groupBy(*key).agg(F.count("*").alias("n_refs")), key)
 
 
-def split_tokens(tokens: DataFrame, index: Index, max_splits: int = MAX_SPLITS) -> DataFrame:
+def split_tokens(tokens: DataFrame, index: Index) -> DataFrame:
     """Ways to read a token without any correction as several words: token, mult, words, edit_distance, splits, n_refs.
 
     Each step cuts a head that is a whole word within its own allowed distance, at
     one more for the space, and looks the rest up as a fuzzy token; some string must
-    have all words.
+    have all words. Steps go on until no rest is left; each makes it shorter.
     """
     keep = index.scratch.keep
     start = keep(tokens.distinct().join(fuzzy_tokens(tokens, index.vocab).select("token", "mult").distinct(), ["token", "mult"], "left_anti"))
     front = start.select("token", "mult", "most", F.col("token").alias("rest"), F.array().cast("array<string>").alias("words"), F.lit(0).alias("edit_distance"))
-    found = None
-    for step in range(max_splits):
+    found, step = None, -1
+    while not front.isEmpty() or found is None:
+        step += 1
         bound = F.least(F.col("most"), text.max_edit_distance(F.col("rest")))
         if step:  # the rest as one word
             looked = front.withColumn("bound", bound)
@@ -161,8 +173,6 @@ def split_tokens(tokens: DataFrame, index: Index, max_splits: int = MAX_SPLITS)
             ends = ends.select("token", "mult", F.concat("words", F.array("word")).alias("words"), (F.col("edit_distance") + F.col("own")).alias("edit_distance"), F.lit(step).alias("splits"))
             ends = keep(_in_common(ends, index, open_last=True))
             found = ends if found is None else found.unionByName(ends)
-        if step == max_splits - 1:
-            break
         cut = front.where(F.length("rest") > 1).withColumn("bound", bound if step else F.col("most"))
         cut = cut.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("rest") - 1))).withColumn("head", F.substr("rest", F.lit(1), F.col("i"))).withColumn("tail", F.substr("rest", F.col("i") + 1))
         heads = _pairs_within(cut.select(F.col("head").alias("token"), "mult", F.lit(2).alias("most")).distinct(), index.vocab, 2).select(F.col("token").alias("head"), "mult", "word", F.col("edit_distance").alias("own"))
@@ -265,7 +275,8 @@ def search(queries: DataFrame, index: Index, ranked: DataFrame, allowed: DataFra
     asked = queries.withColumn("words", text.normalize(text.cut_query(F.col("text")))).where(F.size("words") > 0)
     exact = index.scratch.keep(exact_search(asked, index, allowed))
     left = index.scratch.keep(asked.join(exact.select("q_id").distinct(), "q_id", "left_anti"))
-    return top_codes(exact.unionByName(fuzzy_search(left, index, allowed)), asked, index, ranked, limit)
+    hits = exact if left.isEmpty() else exact.unionByName(fuzzy_search(left, index, allowed))
+    return top_codes(hits, asked, index, ranked, limit)
 
 
 def ranking_words(paths: DataFrame, history: DataFrame | None = None) -> DataFrame:

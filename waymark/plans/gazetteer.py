@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waymark.functions import text
+from waymark.plans.store import Scratch
 
 # Object types, with their order in the index and in a written address.
 PIL, NOV, PAG, CIE, IEL, NLT, DZI = 104, 113, 105, 106, 107, 108, 109
@@ -18,7 +19,7 @@ INDEX_ORDER = {NOV: 1, PIL: 2, PAG: 3, CIE: 4, IEL: 5, NLT: 6, DZI: 7}
 WRITTEN_ORDER = {IEL: 0, NLT: 1, DZI: 2, CIE: 3, PIL: 4, PAG: 5, NOV: 6}
 SHORT = {PIL: "pil", NOV: "nov", PAG: "pag", CIE: "cie", IEL: "iel", NLT: "nlt", DZI: "dzv"}
 BIG = (PIL, NOV, PAG, CIE)
-ADDRESSES = (NLT, DZI)
+POSTAL = (NLT, DZI)
 MAX_DEPTH = 7
 
 
@@ -33,14 +34,18 @@ def known_types(objects: DataFrame) -> DataFrame:
     return objects.where(F.col("typ").isin(*SHORT))
 
 
-def with_paths(objects: DataFrame) -> DataFrame:
+def with_paths(objects: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
     """Adds ``path``: the object and its ancestors, itself first, at most MAX_DEPTH.
 
     One equi-join a level; each goes up by the last object's parent and stops
-    where none is left.
+    where none is left. Only objects that are somebody's parent are joined: broadcast up to
+    ``most_broadcast`` of them, else shuffled, where AQE splits a parent of very many.
     """
     node = F.struct("code", "typ", "name", "super_code", "zip_code", "lat", "long", "atvk")
-    parents = objects.select(F.col("code").alias("_up"), node.alias("_node"))
+    named = objects.where("super_code is not null").select(F.col("super_code").alias("code")).distinct()
+    parents = objects.join(named, "code", "left_semi").select(F.col("code").alias("_up"), node.alias("_node"))
+    if named.count() <= most_broadcast:
+        parents = F.broadcast(parents)
     out = objects.withColumn("path", F.array(node)).withColumn("_next", F.col("super_code"))
     for _ in range(MAX_DEPTH - 1):
         out = out.join(parents, F.col("_next") == F.col("_up"), "left")
@@ -79,21 +84,22 @@ def index_strings(paths: DataFrame, history: DataFrame | None = None) -> DataFra
     else:
         rows = rows.withColumn("texts", F.array("name"))
     rows = rows.select("code", "w", "key", F.posexplode("texts").alias("at", "text"))
-    return number(rows.withColumn("n", F.length("key")), ["w", "n"], ["key", "code", "at"], "idx").select("idx", "code", "text")
+    return number(rows.withColumn("n", F.length("key")), ["w", "n", "key", "code", "at"], "idx").select("idx", "code", "text")
 
 
-def number(rows: DataFrame, coarse: list[str], fine: list[str], name: str) -> DataFrame:
-    """Adds a dense number from 0 in the order of ``coarse``, then ``fine``.
+def number(rows: DataFrame, order: list[str], name: str, scratch: Scratch | None = None) -> DataFrame:
+    """Adds a dense number from 0 in the order of columns that tell all rows apart.
 
-    Rows are numbered within each coarse key and shifted by the rows before it, so no
-    task sorts all of them.  There must be few coarse keys: their counts go through one
-    task and are broadcast.
+    Rows are dealt by ranges of the whole order, so no task gets a share that grows with a
+    key, and written; the parts' sizes, a row each, shift the numbers within them.
     """
-    sizes = rows.groupBy(*coarse).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(*coarse).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = sizes.withColumn("_before", before).drop("_n")
-    own = F.row_number().over(Window.partitionBy(*coarse).orderBy(*fine))
-    return rows.withColumn("_own", own).join(F.broadcast(shift), coarse).withColumn(name, (F.col("_before") + F.col("_own") - 1).cast("bigint")).drop("_own", "_before")
+    scratch = scratch or Scratch(rows.sparkSession, "number")
+    dealt = scratch.table(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    out = dealt.withColumn("_own", own).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return out.withColumn(name, (F.col("_before") + F.col("_own") - 1).cast("bigint")).drop("_own", "_before", "_part")
 
 
 def inherited(path: Column, field: str) -> Column:
@@ -138,11 +144,11 @@ def address(paths: DataFrame, fields: tuple[str, ...] = ("struct", "lks_koord",
 
 
 def is_post_address(leaf: Column, typ: Column) -> Column:
-    return leaf & typ.isin(*ADDRESSES)
+    return leaf & typ.isin(*POSTAL)
 
 
 def synthetic(spark, sf_dir: str) -> DataFrame:
-    """Objects made of the driver's tables, which have no addresses.
+    """Objects made of the driver's tables, which have no address.
 
     region: municipality, nation: parish, supplier: village, customer: building,
     orders: flat; codes are the type's number and a key of six digits.

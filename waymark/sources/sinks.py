@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def csv_lines(addresses: DataFrame, types: list[int] | None = None) -> DataFrame:
+def csv_lines(records: DataFrame, types: list[int] | None = None) -> DataFrame:
     """value: code;address;typ;zipCode;lat;long, with 'null' for nulls and ', ' for line ends and '|' in the address."""
-    rows = addresses if not types else addresses.where(F.col("typ").isin(*types))
+    rows = records if not types else records.where(F.col("typ").isin(*types))
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     address = F.regexp_replace("address", r"[\n|;]", ", ")
     return rows.select(F.concat_ws(";", shown("code"), F.coalesce(address, F.lit("null")), shown("typ"), shown("zipCode"), shown("lksLat"), shown("lksLong")).alias("value"))
