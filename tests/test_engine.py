@@ -171,6 +171,38 @@ def test_open_data_files(spark, tmp_path):
     assert opendata.load_history(spark, [past]).count() == 3 and opendata.load_objects(spark, []).count() == 0
 
 
+def test_short_lines_go_and_the_last_line_of_a_code_stays(spark, tmp_path):
+    rows = [line(13, _0="h"), line(13, _0="5", _1="104", _2="first", _7="EKS"), line(13, _0="5", _1="104", _2='"last, one"', _7="EKS"), "6,104,short,,,,,EKS", '6,104,"a,b,c,d,e,f",,,,,EKS']
+    got = opendata.load_objects(spark, [write(tmp_path / "AW_PILSETA.csv", rows)]).collect()
+    assert [(r["code"], r["name"]) for r in got] == [(5, "last, one")]
+
+
+def test_archive_keeps_its_letters(spark, tmp_path):
+    import zipfile
+
+    row = ";".join(["#5#", "#104#", "#Ķegums#", "", "", "", "", "#EKS#"] + [""] * 5)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("AW_PILSETA.CSV", f"h\n{row}\n".encode("cp1257"))
+    (name,) = opendata.extract_zip(spark, str(tmp_path / "a.zip"), str(tmp_path / "out"), "cp1257")
+    (got,) = opendata.load_archive(spark, {"AW_PILSETA": f"{tmp_path}/out/name={name}"}, decoded=True).collect()
+    assert (got["code"], got["name"]) == (5, "Ķegums")
+
+
+def test_saved_index_answers_alike(spark, index, paths, history, tmp_path):
+    index.save(str(tmp_path / "saved"), "1")
+    again = search.Index.load(spark, str(tmp_path / "saved"))
+    assert ask(spark, again, paths, history, "brivibas iela 18") == ask(spark, index, paths, history, "brivibas iela 18")
+
+
+def test_number_counts_in_order(spark):
+    rows = spark.range(500).selectExpr("(id * 7919) % 500 AS a", "id % 3 AS b").repartition(7)
+    assert all(r["i"] == r["a"] for r in g.number(rows, ["a", "b"], "i").collect())
+
+
+def test_register_has_a_remote_name_for_each_table():
+    assert register.REMOTE == {t: f"AK.{t.upper()}" for t in register.TABLES}
+
+
 def test_archive_database_and_synonyms(spark, tmp_path):
     f = tmp_path / "pil.csv"
     f.write_bytes(("\n".join(["h", ";".join(["#5#", "#104#", "#Rīga#", "", "", "", "", "#EKS#"] + [""] * 4 + ["#1#"])]) + "\n").encode("cp1257"))
