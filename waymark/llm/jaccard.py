@@ -22,8 +22,9 @@ A group of thousands of near copies does not meet in all pairs.  First each
 posting list joins its members only to a hub, the one with the fewest shingles of its
 own, and the verified links make components.  Then members of one list that
 are in different components meet, so no link between components is lost; links
-within one component cannot change it.  There the overlaps with the hub bound the
-members' own: if shingle t is the first that x and y share, what they share lies at t or
+within one component cannot change it.  Members that share half with the hub meet by what
+they differ in from it (``near_hub_links``); for the others the overlaps with the hub bound
+their own: if shingle t is the first that x and y share, what they share lies at t or
 after it, and either in the hub, at most the smaller of their overlaps with it, or
 outside, at most the smaller of what each has outside the hub at t or after it.
 
@@ -211,8 +212,8 @@ def _gather(num: int, den: int):
     return run
 
 
-def _verify(num: int, den: int, every: bool):
-    """a, b, both (shared shingles), links of each pair; only pairs that link unless ``every``."""
+def _verify(num: int, den: int, hub: bool):
+    """a, b of each pair that links. hub: of every pair, with both (shared shingles), links, and what b lacks of the hub a and has beside it, if they share half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
@@ -221,21 +222,61 @@ def _verify(num: int, den: int, every: bool):
             c = {k: v.to_pylist() for k, v in _text.columns(batch).items()}
             for a, b, na, nb, bins_a, bins_b, keys_a, keys_b in zip(*(c[k] for k in ("a", "b", "na", "nb", "bins_a", "bins_b", "keys_a", "keys_b")), strict=True):
                 links = lambda both: den * both >= num * (na + nb - both)  # noqa: B023, E731
-                if not every and not links(int(np.minimum(np.frombuffer(bins_a, np.uint32), np.frombuffer(bins_b, np.uint32)).sum())):
+                if not hub and not links(int(np.minimum(np.frombuffer(bins_a, np.uint32), np.frombuffer(bins_b, np.uint32)).sum())):
                     continue
                 if last != (a, na, keys_a):
                     last, known = (a, na, keys_a), _text.unpack_sorted(keys_a)
                 other = _text.unpack_sorted(keys_b)
                 at = np.searchsorted(known, other)
                 at[at == len(known)] = 0
-                both = int((known[at] == other).sum()) if len(known) else 0
-                if every or links(both):
-                    got.append((a, b, both, links(both)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "both", "links"])
+                same = known[at] == other if len(known) else np.zeros(len(other), bool)
+                both = int(same.sum())
+                if hub:
+                    lost = added = None
+                    if 2 * both >= max(len(known), len(other)):
+                        lost, added = np.delete(known, at[same]).astype(np.int64), other[~same].astype(np.int64)
+                    got.append((a, b, both, links(both), lost, added))
+                elif links(both):
+                    got.append((a, b))
+            kinds = HUB if hub else HUB[:2]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], k) for i, (_, k) in enumerate(kinds)], names=[c for c, _ in kinds])
 
     return run
 
 
+HUB = [("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("links", pa.bool_()), ("lost", pa.list_(pa.int64())), ("added", pa.list_(pa.int64()))]
+
+
+def near_hub_links(near: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """a, b of members of one hub that link across labels, exactly, by what they differ in from it.
+
+    near: hub, size (the hub's shared shingles), id, label, n, own, lost, added.  What x and y share is
+    size - lost_x - lost_y + their common differences, so to link they need r of those in common.  r is
+    1 or more where one of them does not link with the hub, and the least the group allows
+    is known for each member, so common differences are found by a rare-first prefix.
+    """
+    each = near.withColumn("n_lost", F.size("lost")).withColumn("diff", F.concat("lost", "added"))
+    slack = F.min(num * (F.col("own") + F.size("added")) + den * F.col("n_lost")).alias("slack")
+    groups = each.groupBy("hub").agg(slack, F.count("*").alias("many"), F.count_distinct("label").alias("labels")).where("labels > 1").drop("labels")
+    each = join_split(each, scratch.table(groups, "hub-groups"), ["hub"], near.count())
+    need = F.ceil((num * (F.col("n") + F.col("size")) + F.col("slack") - (num + den) * (F.col("size") - F.col("n_lost"))) / F.lit(num + den))
+    each = scratch.table(each.withColumn("need", F.greatest(F.lit(1), need)).where(F.size("diff") >= F.col("need")).drop("many", "slack"), "hub-members")
+    rows = each.select("hub", "id", "label", "need", F.size("diff").alias("n_diff"), F.explode("diff").alias("key"))
+    found = scratch.table(rows.groupBy("hub", "key").agg(F.count("*").alias("many")), "hub-keys")
+    total = rows.count()
+    ranked = join_split(rows, found, ["hub", "key"], total)
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("hub", "id").orderBy("many", "key")))
+    prefix = scratch.table(ranked.where((F.col("place") <= F.col("n_diff") - F.col("need") + 1) & (F.col("many") > 1)), "hub-prefixes")
+    member = F.struct("id", "label", "need", F.col("n_diff").alias("n"), "place")
+    met = join_salted(prefix.select("hub", "key", member.alias("x")), prefix.select("hub", "key", "many", member.alias("y")), ["hub", "key"], F.xxhash64("x.id"), total)
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
+    met = met.where((F.col("x.label") < F.col("y.label")) & (left >= F.greatest("x.need", "y.need"))).select("hub", F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    side = lambda k: each.select("hub", F.col("id").alias(k), F.struct("n", "n_lost", "diff", "size").alias(f"of_{k}"))
+    both = met.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
+    shared = F.col("of_a.size") - F.col("of_a.n_lost") - F.col("of_b.n_lost") + F.size(F.array_intersect("of_a.diff", "of_b.diff"))
+    return both.where(shared * (num + den) >= num * (F.col("of_a.n") + F.col("of_b.n"))).select("a", "b")
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """id, label: the smallest id that edges (a, b) reach, for every id on an edge.
 
@@ -288,9 +329,9 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     def side(k: str) -> DataFrame:
         return nodes.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("bins").alias(f"bins_{k}"), F.col("keys").alias(f"keys_{k}"))
 
-    def verified(pairs: DataFrame, name: str, every: bool) -> DataFrame:
+    def verified(pairs: DataFrame, name: str, hub: bool) -> DataFrame:
         ready = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bins_a", "bins_b", "keys_a", "keys_b")
-        return scratch.table(ready.mapInArrow(_verify(num, den, every), "a bigint, b bigint, both bigint, links boolean"), name)
+        return scratch.table(ready.mapInArrow(_verify(num, den, hub), "a bigint, b bigint" + (", both bigint, links boolean, lost array<bigint>, added array<bigint>" if hub else "")), name)
 
     in_lists = join_split(tokens, lists, ["token"], total)
     to_hub = in_lists.select(F.col("hub").alias("x"), F.struct("id", "n", "shared", "at").alias("y")).where("x.id <> y.id").where(may_link("x", "y"))
@@ -306,13 +347,20 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     before = F.row_number().over(Window.partitionBy("a", "b").orderBy("at", "token")) - 1
     known = common.select(F.col("a").alias("hub"), F.col("b").alias("id"), "token", (F.col("both") - before).alias("in_hub"))
     placed = join_split(placed, mixed, ["token"], total).where("id <> hub").join(known, ["hub", "id", "token"], "left")
-    placed = scratch.table(placed.withColumn("outside", F.col("n") - F.col("at") - F.col("in_hub")).select("token", "many", "id", "n", "shared", "at", "label", "in_hub", "outside"), "placed")
+    close = compared.where("lost is not null").select(F.col("a").alias("hub"), F.col("b").alias("id"), "lost", "added")
+    placed = placed.join(close.select("hub", "id", F.lit(True).alias("near")), ["hub", "id"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    placed = scratch.table(placed.withColumn("outside", F.col("n") - F.col("at") - F.col("in_hub")).select("token", "many", "id", "n", "shared", "at", "label", "near", "in_hub", "outside"), "placed")
     bound = F.least("x.in_hub", "y.in_hub") + F.least("x.outside", "y.outside")
     by_hub = bound.isNull() | (bound * (num + den) >= num * (F.col("x.n") + F.col("y.n")))  # least() skips nulls; one side alone is a bound too
-    member = F.struct("id", "n", "shared", "at", "label", "in_hub", "outside")
-    across = join_salted(placed.select("token", member.alias("x")), placed.select("token", "many", member.alias("y")), ["token"], F.xxhash64("x.id"), total)
-    across = across.where((F.col("x.label") < F.col("y.label")) & may_link("x", "y") & by_hub)
-    more = verified(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "cross-links", False).select("a", "b")
+    member = F.struct("id", "n", "shared", "at", "label", "near", "in_hub", "outside")
+    # One of a pair at least is far from the hub; two that are near meet by their differences below.
+    across = join_salted(placed.where("not near").select("token", member.alias("x")), placed.select("token", "many", member.alias("y")), ["token"], F.xxhash64("x.id"), total)
+    once = F.when(F.col("y.near"), F.col("x.label") != F.col("y.label")).otherwise(F.col("x.label") < F.col("y.label"))
+    across = across.where(once & may_link("x", "y") & by_hub)
+    more = verified(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "cross-links", False)
+    of = nodes.select(F.col("doc_id").alias("id"), "n", "own").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    near = scratch.table(close.join(nodes.select(F.col("doc_id").alias("hub"), F.col("shared").alias("size")), "hub").join(of, "id"), "near")
+    more = more.unionByName(near_hub_links(near, num, den, scratch))
     labels = components(edges.union(more), scratch, "all")
     out = members.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(labels, F.col("rep") == F.col("id"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
