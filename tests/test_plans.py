@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from waymark import catalog
+from waymark import catalog, catalog_io  # noqa: F401
 from waymark.operators import search
 
 
@@ -13,7 +13,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in ("refresh_stream", "resolve_batch", "fuzzy_search", "split_tokens")])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in ("refresh_stream", "version_refresh", "resolve_batch", "fuzzy_search", "split_tokens")])
 def test_no_nested_loops(spark, sf_dir, name):
     assert not re.search("CartesianProduct|NestedLoopJoin|PythonUDF|BatchEvalPython", plan(catalog.QUERIES[name](spark, sf_dir)))
 
@@ -27,6 +27,11 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert re.search(r"PushedFilters: \[.*LessThan\(o_orderdate", plan(catalog.QUERIES["sync_apply_diff"](spark, sf_dir)))
 
 
+def test_parents_are_broadcast_and_numbers_dealt_by_ranges(spark, sf_dir):
+    assert "SortMergeJoin" not in plan(catalog.QUERIES["hierarchy_path"](spark, sf_dir))
+    assert not re.search(r"Window \[[^\n]*partitionBy|hashpartitioning\((w|n)#", plan(catalog.QUERIES["index_order"](spark, sf_dir)))
+
+
 def test_row_numbers_cut_early(spark):
     strings = spark.createDataFrame([(i, i, "a b" if i % 2 else "ab") for i in range(200)], "idx bigint, code bigint, text string")
     index = search.Index.build(strings)
