@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables."""
+"""The operators as queries over the driver's tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, decontam, jaccard, linededup, lm, pieces, pii, quality, toxicity, urls
+from waymark.llm import chat, decontam, fim, jaccard, linededup, lm, pieces, pii, quality, tokens, toxicity, urls
 from waymark.llm._store import Scratch, read
 
 
@@ -70,6 +70,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    compiled = tokens.Compiled(str(public_tokenizers.path("byte_bpe_50k.json")))
+    return tokens.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), compiled).drop("text")
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
@@ -81,5 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_decontamination": op10_decontamination,
+    "op11_token_counts": op11_token_counts,
+    "op12_fim": op12_fim,
 }
-ORACLES: dict[str, str] = {"op3_url_filter": urls.sql(URL_RULES), "op4_jaccard_join": jaccard.sql(4, 85, 100), "op7_line_dedup": linededup.SQL, "op9_chat_format": chat.SQL, "op10_decontamination": decontam.SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": urls.sql(URL_RULES), "op4_jaccard_join": jaccard.sql(4, 85, 100), "op7_line_dedup": linededup.SQL, "op9_chat_format": chat.SQL, "op10_decontamination": decontam.SQL, "op12_fim": fim.SQL}
