@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, decontam, fim, jaccard, linededup, lm, pieces, pii, quality, tokens, toxicity, urls
+from waymark.llm import chat, decontam, fim, hardneg, jaccard, linededup, lm, pieces, pii, quality, tokens, toxicity, urls
 from waymark.llm._store import Scratch, read
 
 
@@ -83,6 +83,12 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hardneg.usable(read(spark, sf_dir, "embeddings"), "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v")), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
@@ -96,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_token_counts": op11_token_counts,
     "op12_fim": op12_fim,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLES: dict[str, str] = {"op3_url_filter": urls.sql(URL_RULES), "op4_jaccard_join": jaccard.sql(4, 85, 100), "op7_line_dedup": linededup.SQL, "op9_chat_format": chat.SQL, "op10_decontamination": decontam.SQL, "op12_fim": fim.SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": urls.sql(URL_RULES), "op4_jaccard_join": jaccard.sql(4, 85, 100), "op7_line_dedup": linededup.SQL, "op9_chat_format": chat.SQL, "op10_decontamination": decontam.SQL, "op12_fim": fim.SQL, "op13_hard_negatives": hardneg.SQL}
