@@ -20,12 +20,6 @@ def json_result(columns: list[str]) -> Column:
     return F.to_json(F.struct(*own))
 
 
-def write_database(df: DataFrame, url: str, table: str, batch: int = 50_000, overwrite: bool = False, **options: str) -> None:
-    """Rows to a table over JDBC, in batches; overwrite empties it first and keeps its definition."""
-    writer = df.withColumn("sync_synced", F.current_timestamp()).write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), truncate="true", **options)
-    writer.mode("overwrite" if overwrite else "append").save()
-
-
 def save_snapshot(tables: dict[str, DataFrame], root: str, version: str) -> None:
     """Writes the tables under the version and then the pointer that makes it current."""
     for name, df in tables.items():
