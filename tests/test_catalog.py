@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from waymark import catalog, catalog_database, catalog_index, catalog_io, catalog_streams  # noqa: F401
+from waymark import catalog, catalog_database, catalog_fetched, catalog_index, catalog_io, catalog_streams  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

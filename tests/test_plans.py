@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from waymark import catalog, catalog_database, catalog_index, catalog_io, catalog_streams  # noqa: F401
+from waymark import catalog, catalog_database, catalog_fetched, catalog_index, catalog_io, catalog_streams  # noqa: F401
 from waymark.operators import search
 
 

@@ -214,3 +214,15 @@ def test_synonyms(spark):
 def test_token_bounds(spark):
     df = spark.createDataFrame([("12", 1), ("ab", 1), ("abc", 1), ("abcdef", 1), ("215", 2), ("123456", 1)], "t string, m int")
     assert [r[0] for r in df.select(text.token_edit_distance(F.col("t"), F.col("m"))).collect()] == [0, 0, 1, 2, 1, 0]
+
+
+def test_a_token_of_equal_letters_does_not_multiply(spark):
+    """Readings that differ in their words' order alone go on as one."""
+    strings = spark.createDataFrame([(0, 0, "a aa aaa")], "idx bigint, code bigint, text string")
+    index = search.Index.build(strings)
+    rows = {}
+    for n in (6, 10):
+        asked = spark.createDataFrame([("a" * n, 1, 2)], "token string, mult int, most int")
+        rows[n] = search.split_tokens(asked, index).select("words", "edit_distance").collect()
+    assert len(rows[6]) < 54 and len(rows[10]) < 400
+    assert min(r["edit_distance"] for r in rows[6]) == 1 and ["aaa", "aaa"] in [r["words"] for r in rows[6]]

@@ -183,7 +183,26 @@ def fuzzy_tokens(spark, sf_dir):
     return search.fuzzy_tokens(asked, plan.vocabulary(plan.postings(_parts(spark, sf_dir)))).select("token", "word", "edit_distance", "n_refs")
 
 
-@query("split_tokens")
+_MOST = "CASE WHEN regexp_full_match({0}, '[0-9]*') THEN 0 WHEN length({0}) <= 2 THEN 0 WHEN length({0}) <= 5 THEN 1 ELSE 2 END"
+# Corrections and readings as several words of tok (token, mult, most). A reading carries the strings that have all its words.
+_READINGS = f"""
+lists AS (SELECT mult, token, list(DISTINCT idx) FILTER (exact) AS ex, list(DISTINCT idx) FILTER (NOT exact) AS ap, count(*) FILTER (exact) AS n_exact, count(*) FILTER (NOT exact) AS n_approx FROM posting GROUP BY ALL),
+direct AS (SELECT t.token, t.mult, t.token AS word, 0 AS ed, CASE WHEN n_exact > 0 THEN n_exact ELSE n_approx END AS n_refs FROM tok t JOIN lists v USING (token, mult)
+  UNION ALL SELECT t.token, t.mult, v.token, levenshtein(t.token, v.token), n_exact FROM tok t JOIN lists v ON v.mult = t.mult AND n_exact > 0 AND levenshtein(t.token, v.token) BETWEEN 1 AND most),
+front AS (SELECT token, mult, most, token AS rest, CAST([] AS VARCHAR[]) AS words, 0 AS ed, 0 AS step, CAST(NULL AS BIGINT[]) AS ids FROM tok ANTI JOIN direct USING (token, mult)
+  UNION ALL SELECT f.token, f.mult, most, rest[i + 1:], list_append(words, v.token), ed + 1 + levenshtein(rest[1:i], v.token), step + 1, CASE WHEN ids IS NULL THEN ex ELSE list_intersect(ids, ex) END
+  FROM (SELECT *, unnest(range(1, length(rest))) AS i FROM front) f JOIN lists v ON v.mult = f.mult AND n_exact > 0 AND levenshtein(rest[1:i], v.token) <= least(2, {_MOST.format('v.token')}, CASE WHEN step = 0 THEN most ELSE least(most, {_MOST.format('rest')}) END)
+  WHERE ids IS NULL OR len(list_intersect(ids, ex)) > 0),
+split0 AS (SELECT f.token, f.mult, list_append(words, v.token) AS words, ed + levenshtein(rest, v.token) AS ed, step AS splits, len(list_intersect(ids, CASE WHEN n_exact > 0 THEN ex ELSE ap END)) AS n_refs
+  FROM front f JOIN lists v ON v.mult = f.mult AND (v.token = rest OR (n_exact > 0 AND levenshtein(rest, v.token) BETWEEN 1 AND least(most, {_MOST.format('rest')}))) WHERE step > 0),
+split AS (SELECT token, mult, words, min(ed) AS ed, any_value(splits) AS splits, any_value(n_refs) AS n_refs FROM split0 WHERE n_refs > 0 GROUP BY token, mult, words)"""
+
+
+@query(
+    "split_tokens",
+    f"""WITH RECURSIVE {_PREFIXES}, jn AS (SELECT DISTINCT array_to_string({_WORDS.format('p_name')}, '') AS token FROM part), tok AS (SELECT token, 1 AS mult, {_MOST.format('token')} AS most FROM jn), {_READINGS}
+SELECT token, array_to_string(words, ' ') AS words, CAST(ed AS INTEGER) AS edit_distance, CAST(splits AS INTEGER) AS splits, CAST(n_refs AS BIGINT) AS n_refs FROM split""",
+)
 def split_tokens(spark, sf_dir):
     joined = _names(spark, sf_dir).select(F.array_join(text.normalize(F.col("p_name")), "").alias("token")).distinct()
     asked = joined.select("token", F.lit(1).alias("mult"), text.token_edit_distance(F.col("token"), F.lit(1)).alias("most"))
@@ -212,7 +231,40 @@ def rank_search(spark, sf_dir):
     return search.search(asked, index, _ranked(index), limit=20)
 
 
-@query("fuzzy_search")
+_TYPED = f"SELECT min(p_partkey) AS q_id, list_transform({_WORDS.format('p_name')}, lambda w: w[1:1] || w[3:]) AS typed FROM part GROUP BY p_name"
+
+
+@query(
+    "fuzzy_search",
+    f"""WITH RECURSIVE {_PREFIXES},
+q AS (SELECT q_id, {_WORDS.format("array_to_string(typed, ' ')")} AS words FROM ({_TYPED})),
+qb AS (SELECT q_id, words, unnest(range(0, least(32, 1 << (len(words) - 1)))) AS v FROM q WHERE len(words) > 0),
+qs AS (SELECT q_id, v, len(words) AS n, list_filter(string_split(string_agg(CASE WHEN i = 1 OR (v >> (len(words) - i)) & 1 = 1 THEN words[i] ELSE ' ' || words[i] END, '' ORDER BY i), ' '), lambda x: x <> '') AS words FROM (SELECT q_id, v, words, unnest(range(1, len(words) + 1)) AS i FROM qb) GROUP BY q_id, v, words),
+qw AS (SELECT q_id, v, words[i] AS w, i FROM (SELECT q_id, v, words, unnest(range(1, len(words) + 1)) AS i FROM qs)), {_ASKED},
+first AS (SELECT q_id, min(v) AS v FROM hit GROUP BY q_id),
+plain AS (SELECT hit.q_id, v, qs.n - len(qs.words) AS ed, idx, pos FROM hit JOIN first USING (q_id, v) JOIN qs USING (q_id, v)),
+own AS (SELECT st.q_id, w AS token, st.mult, (SELECT min(i) FROM qw WHERE qw.q_id = st.q_id AND qw.v = 0 AND qw.w = st.w) AS nth FROM st WHERE v = 0 AND NOT EXISTS (SELECT 1 FROM first f WHERE f.q_id = st.q_id)),
+tok AS (SELECT DISTINCT token, mult, CASE WHEN mult > 1 THEN CASE WHEN length(token) <= 2 THEN 0 WHEN length(token) <= 5 THEN 1 ELSE 2 END ELSE {_MOST.format('token')} END AS most FROM own), {_READINGS},
+reading AS (SELECT *, row_number() OVER (PARTITION BY token, mult ORDER BY ed, splits DESC, n_refs DESC, words) - 1 AS place FROM (
+  SELECT token, mult, [word] AS words, CASE WHEN ed > 0 THEN [word] ELSE CAST([] AS VARCHAR[]) END AS whole, ed, 0 AS splits, n_refs FROM direct UNION ALL SELECT token, mult, words, CAST([] AS VARCHAR[]), ed, splits, n_refs FROM split)),
+slot AS (SELECT q_id, dense_rank() OVER (PARTITION BY q_id ORDER BY nth) AS k, count(*) OVER (PARTITION BY q_id) AS n, token, mult FROM own),
+combo AS (SELECT q_id, 1 AS k, n, r.ed, r.place, r.words, r.whole FROM slot JOIN reading r USING (token, mult) WHERE k = 1
+  UNION ALL SELECT c.q_id, c.k + 1, c.n, c.ed + r.ed, c.place + r.place, c.words || r.words, c.whole || r.whole FROM combo c JOIN slot s ON s.q_id = c.q_id AND s.k = c.k + 1 JOIN reading r ON r.token = s.token AND r.mult = s.mult),
+fq AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY ed, place, words) - 1 AS v FROM combo WHERE k = n QUALIFY v < 1024),
+fw AS (SELECT q_id, v, words[i] AS w, i, list_contains(whole, words[i]) AS strict FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM fq)),
+fst AS (SELECT a.q_id, a.v, a.w, any_value(a.strict) AS strict, max(1 + (SELECT count(*) FROM fw b WHERE b.q_id = a.q_id AND b.v = a.v AND b.i <> a.i AND starts_with(b.w, a.w) AND (length(b.w) > length(a.w) OR (b.w = a.w AND b.i < a.i)))) AS mult FROM fw a GROUP BY a.q_id, a.v, a.w),
+fneed AS (SELECT q_id, v, count(*) AS n FROM fst GROUP BY ALL),
+fref AS (SELECT t.q_id, t.v, t.w, p.idx, min(CASE WHEN p.exact OR l.n_exact = 0 THEN 0 ELSE 1 END) AS level FROM fst t JOIN lists l ON l.token = t.w AND l.mult = t.mult JOIN posting p ON p.token = t.w AND p.mult = t.mult WHERE p.exact OR NOT strict GROUP BY ALL),
+fhit0 AS (SELECT r.q_id, r.v, idx, sum(level) AS level FROM fref r JOIN fneed USING (q_id, v) GROUP BY r.q_id, r.v, idx, fneed.n HAVING count(*) = fneed.n),
+fhit AS (SELECT *, row_number() OVER (PARTITION BY q_id, v ORDER BY level, idx) - 1 AS pos FROM fhit0 QUALIFY pos < 1024),
+fcount AS (SELECT q_id, v, coalesce(sum(n) OVER earlier, 0) AS before, count(*) OVER earlier AS productive FROM (SELECT q_id, v, count(*) AS n FROM fhit GROUP BY ALL) WINDOW earlier AS (PARTITION BY q_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+every AS (SELECT * FROM plain UNION ALL SELECT q_id, v, fq.ed, idx, pos FROM fhit JOIN fq USING (q_id, v) JOIN fcount USING (q_id, v) WHERE before < 1024 AND productive < 32),
+best AS (SELECT q_id, idx AS code, arg_min({{'ed': ed, 'v': v, 'pos': pos}}, {{'ed': ed, 'v': v, 'pos': pos}}) AS o FROM every GROUP BY q_id, idx),
+r AS (SELECT b.q_id, code, o.ed AS ed, o.v AS v, o.pos AS pos, len(q.words) AS n, q.words AS asked, pw.ws AS name FROM best b JOIN q USING (q_id) JOIN pw ON pw.idx = code),
+g AS (SELECT *, list_reduce(list_prepend({{'i': 0, 'seq': 0, 'whole': 0, 'w': ''}}, list_transform(name, lambda x: {{'i': 0, 'seq': 0, 'whole': 0, 'w': x}})), lambda s, x: CASE WHEN s.i >= n THEN s ELSE {{'i': s.i + CASE WHEN starts_with(x.w, asked[s.i + 1]) THEN 1 ELSE 0 END, 'seq': s.seq + CASE WHEN starts_with(x.w, asked[s.i + 1]) THEN 1 ELSE -1 END, 'whole': s.whole + CASE WHEN x.w = asked[s.i + 1] THEN 1 ELSE 0 END, 'w': ''}} END) AS s FROM r),
+k AS (SELECT q_id, code, ed, v, pos, ((n - greatest(s.seq, 0)) << 5) | (n - s.whole) AS rank FROM g)
+SELECT q_id, CAST(place AS INTEGER) AS place, code, CAST(ed AS INTEGER) AS edit_distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY ed, v, rank, pos, code) AS place FROM k) WHERE place <= 20""",
+)
 def fuzzy_search(spark, sf_dir):
     index = _index(spark, sf_dir)
     typo = lambda w: F.concat(F.substring(w, 1, 1), F.substr(w, F.lit(3)))

@@ -178,7 +178,8 @@ def split_tokens(tokens: DataFrame, index: Index) -> DataFrame:
         heads = _pairs_within(cut.select(F.col("head").alias("token"), "mult", F.lit(2).alias("most")).distinct(), index.vocab, 2).select(F.col("token").alias("head"), "mult", "word", F.col("edit_distance").alias("own"))
         nxt = cut.join(heads, ["head", "mult"]).where(F.col("own") <= F.least(F.col("bound"), text.max_edit_distance(F.col("word"))))
         nxt = nxt.select("token", "mult", "most", F.col("tail").alias("rest"), F.concat("words", F.array("word")).alias("words"), (F.col("edit_distance") + F.col("own") + 1).alias("edit_distance"))
-        best = Window.partitionBy("token", "mult", "words", "rest").orderBy("edit_distance")
+        # Words in another order find the same strings: of those with one rest the cheapest goes on, so a token of equal letters does not multiply.
+        best = Window.partitionBy("token", "mult", F.array_sort("words"), "rest").orderBy("edit_distance", "words")
         nxt = nxt.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
         front = keep(_in_common(nxt, index, open_last=False).drop("n_refs"))
     cheapest = Window.partitionBy("token", "mult", "words").orderBy("edit_distance")
