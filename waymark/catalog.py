@@ -67,8 +67,7 @@ def prefix_stats(spark, sf_dir):
 c AS (SELECT doc_id, token, count(*) AS n FROM p GROUP BY ALL) SELECT doc_id, count(*) AS n_prefixes, count(*) FILTER (n > 1) AS n_repeated, CAST(max(n) AS BIGINT) AS most FROM c GROUP BY doc_id""",
 )
 def repeated_tokens(spark, sf_dir):
-    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(text.normalize(F.col("text"))).alias("w"))
-    counted = words.groupBy("doc_id", "w").agg(F.count("*").alias("k")).select("doc_id", "k", F.explode(text.prefixes(F.col("w"))).alias("token")).groupBy("doc_id", "token").agg(F.sum("k").alias("n"))
+    counted = plan.prefix_counts(read(spark, sf_dir, "documents"), "doc_id")
     return counted.groupBy("doc_id").agg(F.count("*").alias("n_prefixes"), F.count_if(F.col("n") > 1).alias("n_repeated"), F.max("n").alias("most"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.catalog import _ASKED, _FOLD, _PREFIXES, _WITH, _WORDS, ORACLES, _index, _names, _parts, _paths, query
+from waymark.catalog import _ASKED, _FOLD, _MOST, _PREFIXES, _WITH, _WORDS, ORACLES, _index, _names, _parts, _paths, _ranked, query
 from waymark.functions import text
 from waymark.operators import search
 from waymark.plans import blocks, layout, live
@@ -99,3 +99,41 @@ def big_search(spark, sf_dir):
     index, names = _big_index(spark, sf_dir)
     phrases = names.select(F.col("code").alias("q_id"), F.lit(0).alias("v"), text.normalize(F.col("text")).alias("words"), F.array().cast("array<string>").alias("exact_words"))
     return search.intersect(phrases, index).select("q_id", "idx", "level", "pos")
+
+
+_OWN_BOUND = "CASE WHEN length({0}) <= 2 THEN 1 ELSE 2 END"
+
+
+@query("bounded_search", ORACLES["fuzzy_search"].replace(_MOST.format("v.token"), _OWN_BOUND.format("v.token")).replace(_MOST.format("rest"), _OWN_BOUND.format("rest")).replace(f"CASE WHEN mult > 1 THEN CASE WHEN length(token) <= 2 THEN 0 WHEN length(token) <= 5 THEN 1 ELSE 2 END ELSE {_MOST.format('token')} END", _OWN_BOUND.format("token")))
+def bounded_search(spark, sf_dir):
+    """As fuzzy_search, with another bound of errors: one in words of one or two letters, else two."""
+    index = _index(spark, sf_dir)
+    typo = lambda w: F.concat(F.substring(w, 1, 1), F.substr(w, F.lit(3)))
+    asked = _names(spark, sf_dir).select("q_id", F.array_join(F.transform(text.normalize(F.col("p_name")), typo), " ").alias("text"))
+    return search.search(asked, index, _ranked(index), limit=20, bound_of=lambda token, mult: F.when(F.length(token) <= 2, 1).otherwise(2))
+
+
+_FOLDED = "list_reduce(list_prepend({{'i': 0, 'seq': 0, 'whole': 0, 'w': ''}}, list_transform({0}, lambda x: {{'i': 0, 'seq': 0, 'whole': 0, 'w': x}})), lambda s, x: CASE WHEN s.i >= n THEN s ELSE {{'i': s.i + CASE WHEN starts_with(x.w, asked[s.i + 1]) THEN 1 ELSE 0 END, 'seq': s.seq + CASE WHEN starts_with(x.w, asked[s.i + 1]) THEN 1 ELSE -1 END, 'whole': s.whole + CASE WHEN x.w = asked[s.i + 1] THEN 1 ELSE 0 END, 'w': ''}} END)"
+
+
+@query(
+    "history_search",
+    f"""WITH pn AS (SELECT p_partkey, {_WORDS.format('p_name')} AS now, {_WORDS.format('p_type')} AS past FROM part),
+pw AS (SELECT 2 * p_partkey AS idx, now AS ws FROM pn UNION ALL SELECT 2 * p_partkey + 1, past FROM pn), px AS{_BIG},
+q AS (SELECT min(p_partkey) AS q_id, list_transform({_WORDS.format('p_type')}, lambda w: w[1:3]) AS words FROM part GROUP BY p_type),
+qw AS (SELECT q_id, 0 AS v, words[i] AS w, i FROM (SELECT q_id, words, unnest(range(1, len(words) + 1)) AS i FROM q)), {_ASKED},
+c AS (SELECT q_id, idx // 2 AS code, min(pos) AS pos FROM hit GROUP BY ALL),
+r AS (SELECT c.*, len(q.words) AS n, q.words AS asked, now, past FROM c JOIN q USING (q_id) JOIN pn ON p_partkey = code),
+f AS (SELECT *, {_FOLDED.format('now')} AS a, {_FOLDED.format('past')} AS b FROM r),
+k AS (SELECT q_id, code, pos, least(((n - greatest(a.seq, 0)) << 5) | (n - a.whole), ((n - greatest(b.seq, 0)) << 5) | (n - b.whole)) AS rank FROM f)
+SELECT q_id, CAST(place AS INTEGER) AS place, CAST(code AS BIGINT) AS code, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY rank, pos, code) AS place FROM k) WHERE place <= 20""",
+)
+def history_search(spark, sf_dir):
+    """Parts whose type is a past name: it is found and ranked as the name is."""
+    part = read(spark, sf_dir, "part")
+    code = F.col("p_partkey").alias("code")
+    strings = part.select((F.col("p_partkey") * 2).alias("idx"), code, F.col("p_name").alias("text")).unionByName(part.select((F.col("p_partkey") * 2 + 1).alias("idx"), code, F.col("p_type").alias("text")))
+    index = search.Index.build(strings)
+    ranked = part.select(code, F.array(text.normalize(F.col("p_name"))).alias("written"), F.array(text.normalize(F.col("p_type"))).alias("past"))
+    asked = part.groupBy("p_type").agg(F.min("p_partkey").alias("q_id")).select("q_id", F.array_join(F.transform(text.normalize(F.col("p_type")), lambda w: F.substring(w, 1, 3)), " ").alias("text"))
+    return search.search(asked, index, ranked, limit=20).select("q_id", "place", "code", "rank")

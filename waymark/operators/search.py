@@ -6,6 +6,7 @@ aggregation by query, so a batch of any size takes the same few shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -151,7 +152,11 @@ def _in_common(readings: DataFrame, index: Index, open_last: bool) -> DataFrame:
     return readings.join(shared.groupBy(*key).agg(F.count("*").alias("n_refs")), key)
 
 
-def split_tokens(tokens: DataFrame, index: Index) -> DataFrame:
+#: How many errors a token (with its mult) may have, as a column.
+Bound = Callable[[Column, Column], Column]
+
+
+def split_tokens(tokens: DataFrame, index: Index, bound_of: Bound = text.token_edit_distance) -> DataFrame:
     """Ways to read a token without any correction as several words: token, mult, words, edit_distance, splits, n_refs.
 
     Each step cuts a head that is a whole word within its own allowed distance, at
@@ -164,7 +169,7 @@ def split_tokens(tokens: DataFrame, index: Index) -> DataFrame:
     found, step = None, -1
     while not front.isEmpty() or found is None:
         step += 1
-        bound = F.least(F.col("most"), text.max_edit_distance(F.col("rest")))
+        bound = F.least(F.col("most"), bound_of(F.col("rest"), F.lit(1)))
         if step:  # the rest as one word
             looked = front.withColumn("bound", bound)
             whole = fuzzy_tokens(looked.select(F.col("rest").alias("token"), "mult", F.col("bound").alias("most")), index.vocab)
@@ -176,7 +181,7 @@ def split_tokens(tokens: DataFrame, index: Index) -> DataFrame:
         cut = front.where(F.length("rest") > 1).withColumn("bound", bound if step else F.col("most"))
         cut = cut.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("rest") - 1))).withColumn("head", F.substr("rest", F.lit(1), F.col("i"))).withColumn("tail", F.substr("rest", F.col("i") + 1))
         heads = _pairs_within(cut.select(F.col("head").alias("token"), "mult", F.lit(2).alias("most")).distinct(), index.vocab, 2).select(F.col("token").alias("head"), "mult", "word", F.col("edit_distance").alias("own"))
-        nxt = cut.join(heads, ["head", "mult"]).where(F.col("own") <= F.least(F.col("bound"), text.max_edit_distance(F.col("word"))))
+        nxt = cut.join(heads, ["head", "mult"]).where(F.col("own") <= F.least(F.col("bound"), bound_of(F.col("word"), F.lit(1))))
         nxt = nxt.select("token", "mult", "most", F.col("tail").alias("rest"), F.concat("words", F.array("word")).alias("words"), (F.col("edit_distance") + F.col("own") + 1).alias("edit_distance"))
         # Words in another order find the same strings: of those with one rest the cheapest goes on, so a token of equal letters does not multiply.
         best = Window.partitionBy("token", "mult", F.array_sort("words"), "rest").orderBy("edit_distance", "words")
@@ -186,19 +191,20 @@ def split_tokens(tokens: DataFrame, index: Index) -> DataFrame:
     return found.withColumn("k", F.row_number().over(cheapest)).where("k = 1").drop("k")
 
 
-def fuzzy_search(queries: DataFrame, index: Index, allowed: DataFrame | None = None, limit: int = MAX_REFS) -> DataFrame:
+def fuzzy_search(queries: DataFrame, index: Index, allowed: DataFrame | None = None, limit: int = MAX_REFS, bound_of: Bound = text.token_edit_distance) -> DataFrame:
     """q_id, v, edit_distance, idx, level, pos by corrections and splits of the tokens.
 
     Combinations of one reading for each token go by total distance, then by the
-    readings' places; those that have results count, up to MAX_PRODUCTIVE of them.
+    readings' places; those that have results count, up to MAX_PRODUCTIVE of them. A token has at most 2 errors,
+    and no more than ``bound_of`` allows.
     """
-    tokens = queries.select("q_id", F.posexplode(text.search_tokens(F.col("words"))).alias("at", "t")).select("q_id", "at", "t.token", "t.mult").withColumn("most", text.token_edit_distance(F.col("token"), F.col("mult")))
+    tokens = queries.select("q_id", F.posexplode(text.search_tokens(F.col("words"))).alias("at", "t")).select("q_id", "at", "t.token", "t.mult").withColumn("most", F.least(bound_of(F.col("token"), F.col("mult")), F.lit(2)))
     keep = index.scratch.keep
     tokens = keep(tokens)
     asked = tokens.select("token", "mult", "most").distinct()
     none = F.array().cast("array<string>")
     direct = fuzzy_tokens(asked, index.vocab).select("token", "mult", F.array("word").alias("words"), F.when(F.col("edit_distance") > 0, F.array("word")).otherwise(none).alias("exact_words"), "edit_distance", F.lit(0).alias("splits"), "n_refs")
-    split = split_tokens(asked, index).select("token", "mult", "words", none.alias("exact_words"), "edit_distance", "splits", "n_refs")
+    split = split_tokens(asked, index, bound_of).select("token", "mult", "words", none.alias("exact_words"), "edit_distance", "splits", "n_refs")
     place = Window.partitionBy("token", "mult").orderBy("edit_distance", F.desc("splits"), F.desc("n_refs"), "words")
     # A reading with MAX_INTERSECTIONS better ones is in none of the combinations that count.
     readings = keep(direct.unionByName(split).withColumn("place", F.row_number().over(place) - 1).where(F.col("place") < MAX_INTERSECTIONS))
@@ -271,12 +277,12 @@ def top_codes(hits: DataFrame, queries: DataFrame, index: Index, ranked: DataFra
     return out.select("q_id", "place", "code", "edit_distance", "rank")
 
 
-def search(queries: DataFrame, index: Index, ranked: DataFrame, allowed: DataFrame | None = None, limit: Column | int = 20) -> DataFrame:
-    """Answers of text queries (q_id, text): exact, else with merged words, else with corrections."""
+def search(queries: DataFrame, index: Index, ranked: DataFrame, allowed: DataFrame | None = None, limit: Column | int = 20, bound_of: Bound = text.token_edit_distance) -> DataFrame:
+    """Answers of text queries (q_id, text): exact, else with merged words, else with corrections within ``bound_of``."""
     asked = queries.withColumn("words", text.normalize(text.cut_query(F.col("text")))).where(F.size("words") > 0)
     exact = index.scratch.keep(exact_search(asked, index, allowed))
     left = index.scratch.keep(asked.join(exact.select("q_id").distinct(), "q_id", "left_anti"))
-    hits = exact if left.isEmpty() else exact.unionByName(fuzzy_search(left, index, allowed))
+    hits = exact if left.isEmpty() else exact.unionByName(fuzzy_search(left, index, allowed, bound_of=bound_of))
     return top_codes(hits, asked, index, ranked, limit)
 
 

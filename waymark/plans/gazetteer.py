@@ -37,20 +37,21 @@ def known_types(objects: DataFrame) -> DataFrame:
 def with_paths(objects: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
     """Adds ``path``: the object and its ancestors, itself first, at most MAX_DEPTH.
 
-    One equi-join a level; each goes up by the last object's parent and stops
-    where none is left. Only objects that are somebody's parent are joined: broadcast up to
-    ``most_broadcast`` of them, else shuffled, where AQE splits a parent of very many.
+    Only objects that are somebody's parent get their paths level by level, each join going up by the last one's
+    parent and stopping where none is left; then one join gives all objects their parent's path.  Up to
+    ``most_broadcast`` parents are broadcast; more are shuffled, where AQE splits a parent of very many.
     """
     node = F.struct("code", "typ", "name", "super_code", "zip_code", "lat", "long", "atvk")
     named = objects.where("super_code is not null").select(F.col("super_code").alias("code")).distinct()
+    sent = F.broadcast if named.count() <= most_broadcast else lambda df: df
     parents = objects.join(named, "code", "left_semi").select(F.col("code").alias("_up"), node.alias("_node"))
-    if named.count() <= most_broadcast:
-        parents = F.broadcast(parents)
-    out = objects.withColumn("path", F.array(node)).withColumn("_next", F.col("super_code"))
-    for _ in range(MAX_DEPTH - 1):
-        out = out.join(parents, F.col("_next") == F.col("_up"), "left")
-        out = out.withColumn("path", F.when(F.col("_node").isNull(), F.col("path")).otherwise(F.concat("path", F.array("_node")))).withColumn("_next", F.col("_node.super_code")).drop("_up", "_node")
-    return out.drop("_next")
+    above = parents.select(F.col("_up").alias("_own"), F.array("_node").alias("_path"), F.col("_node.super_code").alias("_next"))
+    for _ in range(MAX_DEPTH - 2):
+        above = above.join(sent(parents), F.col("_next") == F.col("_up"), "left")
+        above = above.select("_own", F.when(F.col("_node").isNull(), F.col("_path")).otherwise(F.concat("_path", F.array("_node"))).alias("_path"), F.col("_node.super_code").alias("_next"))
+    out = objects.join(sent(above.drop("_next")), F.col("super_code") == F.col("_own"), "left")
+    own = F.array(node)
+    return out.withColumn("path", F.when(F.col("_path").isNull(), own).otherwise(F.concat(own, "_path"))).drop("_own", "_path")
 
 
 def with_leaf_flag(objects: DataFrame) -> DataFrame:

@@ -16,9 +16,10 @@ from waymark.functions import text
 def postings(strings: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
     """Postings of strings (idx, text). synonyms: word, synonym, both normalised single words.
 
-    Prefixes are counted per string before anything is joined or shuffled by token.
+    Strings are dealt by idx before their prefixes are spread, which are several times as large; the prefixes are
+    then counted where they are, and nothing is shuffled by token.
     """
-    words = strings.select("idx", text.normalize(F.col("text")).alias("words"))
+    words = strings.select("idx", "text").repartition("idx").select("idx", text.normalize(F.col("text")).alias("words"))
     counted = words.select("idx", "words", F.explode(text.all_prefixes(F.col("words"))).alias("token")).groupBy("idx", "token").agg(F.count("*").alias("n"), F.first("words").alias("words"))
     rows = counted.select(F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("mult"), "token", "idx", F.array_contains("words", F.col("token")).alias("exact"))
     if synonyms is None:
@@ -27,6 +28,13 @@ def postings(strings: DataFrame, synonyms: DataFrame | None = None) -> DataFrame
     return rows.unionByName(extra).distinct()
 
 
+def prefix_counts(texts: DataFrame, key: str) -> DataFrame:
+    """key, token, n: how many words of a text (key, text) begin with each prefix; a word that repeats is spread once."""
+    words = texts.select(key, "text").repartition(key).select(key, F.explode(text.normalize(F.col("text"))).alias("w"))
+    counted = words.groupBy(key, "w").agg(F.count("*").alias("k")).select(key, "k", F.explode(text.prefixes(F.col("w"))).alias("token"))
+    return counted.groupBy(key, "token").agg(F.sum("k").alias("n"))
+
+
 def vocabulary(posting: DataFrame) -> DataFrame:
     return posting.groupBy("mult", "token").agg(F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_approx"))
 
