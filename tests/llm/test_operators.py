@@ -304,7 +304,7 @@ def brute_rule(url):
 
 
 def test_url_rules_and_edges(spark):
-    sample = [None, "", "x", "http://", "http://A.Net", "http://A.Net/", "http://a.example.net/en/1?x=://y", "http://example.com/de/#a", "https://b.org/fr/x", "http://xnet/", "http://net/?a", "http://a\nb.net/x"] + ["http://b.org/en/1"] * 3
+    sample = [None, "", "x", "http://", "http://A.Net", "http://A.Net/", "http://a.example.net/en/1?x=://y", "http://example.com/de/#a", "https://b.org/fr/x", "http://xnet/", "http://net/?a", "http://a\nb.net/x", "http://long.org/" + "é/x9" * 50_000] + ["http://b.org/en/1"] * 3
     df = spark.createDataFrame([(i, u, "h", 1, 2) for i, u in enumerate(sample)], "page_id bigint, url string, html string, s int, score int")
     rows = urls.judge_urls(df, RULES).collect()
     assert len(rows) == len(sample)
@@ -312,6 +312,8 @@ def test_url_rules_and_edges(spark):
     for r in rows:
         assert (r["host"], r["path"], r["rule"]) == brute_rule(sample[r["page_id"]])
         assert r["verdict"] == action[r["rule"]] if r["rule"] else r["verdict"] in ("allow", "block")
+        if "://" not in (sample[r["page_id"]] or ""):  # null, empty or without a scheme
+            assert (r["verdict"], r["score"]) == ("allow", None)
     assert urls.judge_urls(df.limit(0), RULES).count() == 0
 
 

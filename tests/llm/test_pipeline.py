@@ -39,3 +39,26 @@ def test_stages_keep_the_columns(spark, sf_dir):
         assert stage(spark, empty, sf_dir).columns == docs.columns, name
         assert stage(spark, empty, sf_dir).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, empty, sf_dir).count() == 0
+
+
+def test_stages_on_odd_input(spark, sf_dir):
+    """Null, empty, blank, long and repeated texts, a null id, and columns named like the operators' own."""
+    long = " ".join(f"w{i * 7919 % 100_003}" for i in range(30_000))
+    texts = [(1, None), (2, ""), (3, " \n "), (4, long), (5, "a b"), (5, "a b"), (6, "a b"), (None, "x y z w v u")]
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint, key int, label int, n int, kept int, hit int"
+    odd = spark.createDataFrame([(i, t, "en", "s", 1, 7, 7, 7, 7, 7) for i, t in texts], kinds)
+    stage = dict(corpus_pipeline.STAGES)
+
+    def run(name):
+        out = stage[name](spark, odd, sf_dir)
+        assert out.columns == odd.columns
+        rows = out.collect()
+        assert all((r["key"], r["label"], r["n"], r["kept"], r["hit"]) == (7,) * 5 for r in rows)
+        return sorted(((r["doc_id"], r["text"]) for r in rows), key=repr)
+
+    assert {i for i, _ in run("quality_rules")} <= {4}
+    assert run("line_dedup") == sorted(texts, key=repr)
+    assert run("near_duplicates") == sorted((x for x in texts if x[0] != 6), key=repr)
+    assert run("decontamination") == sorted(texts, key=repr)
+    ids = [(r["doc_id"], r["ids"]) for r in stage["sentencepiece"](spark, odd, sf_dir).collect()]
+    assert len(ids) == len(texts) and (1, None) in ids and (2, []) in ids and len(next(x for i, x in ids if i == 4)) > 30_000

@@ -16,7 +16,7 @@ in a text and ``unescape`` restores it exactly.
 
 Defined results: a null text or role is empty; rows of a conversation go by turn,
 then role, then text, and equal rows stay, each as a turn; null conv_ids are one
-conversation, null turns come first; an empty table gives no rows; other columns
+conversation, null turns come first; texts of any length are formatted whole; an empty table gives no rows; other columns
 are ignored.
 """
 

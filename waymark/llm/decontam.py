@@ -15,7 +15,8 @@ windows that very many documents have.
 Defined results: null and empty texts have no words and no hits; an item without
 words or without item_id is left out; repeated items count once; rows of equal
 doc_id and equal text are one document, rows of equal doc_id and other text give
-a row each; empty tables give no rows or no hits; other columns are ignored.
+a row each; of a window's equally rare shingles the smaller hash and then the first is its prefix, which changes no
+result; texts of any length are searched whole; empty tables give no rows or no hits; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -32,8 +32,9 @@ Defined results: null and empty texts have no shingles, an n_shingles of 0, and
 own doc_id as component; a text of fewer words than ``size`` has its whole sequence
 as one shingle; rows that repeat a doc_id are judged by their own text and their
 links count for that doc_id; a null doc_id links with nothing and has a null
-component; an empty table gives no rows; other columns are ignored, or passed
-through by ``keep_first``.
+component; a similarity equal to the threshold links; of equally rare shingles the smaller hash is the rarer
+one, which changes no result; texts of any length are taken whole, a block's memory growing with its longest; an empty
+table gives no rows; other columns are ignored, or passed through by ``keep_first``.
 
 Shingles are compared by 48 bits of a 64-bit hash.
 """

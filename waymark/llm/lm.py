@@ -20,7 +20,7 @@ bucket sums and answers; a block builds the part of the automaton that its own t
 can walk.  Blocks and buckets grow with the corpus.  Counts are over all training texts, without pruning.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
-trained on and scored each; a null doc_id counts as the text '' for the split;
+trained on and scored each; texts of any length are counted and scored whole; a null doc_id counts as the text '' for the split;
 without training texts every probability is 1 / 1; an empty table gives no rows;
 other columns are ignored.
 """

@@ -17,7 +17,8 @@ more marks have pieces of equal rank, where the constraint does not decide; a wo
 that begins with such a run is merged step by step instead.
 
 Defined results: null texts have null ids, and null ids decode to null; empty texts have
-no ids; repeated rows are encoded alike; U+2581 in a text decodes to a space, all else
+no ids; repeated rows are encoded alike; texts of any length are encoded whole, in slices that end between
+words; words with a character that the vocabulary lacks are merged piece by piece around its bytes; U+2581 in a text decodes to a space, all else
 decodes to itself; an empty table gives no rows; other columns pass through, and
 one named like the output is replaced.
 """

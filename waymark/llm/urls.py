@@ -6,14 +6,16 @@ context is a state if it was seen ``min_context`` times, else a shorter one
 serves; Witten-Bell smoothing mixes each order with the next lower one.  A URL's
 score is the mean over its characters of log P(accepted) - log P(rejected), held
 as millionths in integers, so sums do not depend on their order.  The threshold
-is calibrated on the scores of the training URLs: the gap between bins that best parts
+is calibrated on URLs that the models have not seen: the gap between bins that best parts
 the two classes, each with weight one.
 
-URLs decided by a rule are the training examples.
+URLs decided by a rule are the examples: those whose text has a digest that begins with 0 to 3, a
+quarter of all texts, calibrate, and the others train.
 
 Defined results: a null url or one without "://" has empty host and path and scores
-as an empty text, and is allowed where no rule blocks it; repeated rows are judged
-alike, each on its own; with no training URL of a class the threshold is 0; an
+as an empty text, and is allowed where no rule blocks it; URLs of any length are scored whole, by the mean over their
+characters; a score equal to the threshold is allowed, and of thresholds that part equally well the highest counts; repeated rows are judged
+alike, each on its own; with no calibrating URL of a class the threshold is 0; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -33,6 +35,7 @@ MARKS = "./-_?=&#%"
 BROADCAST_GRAMS = 200_000
 MILLION = 1_000_000
 BIN = 10_000
+PIECE = 64
 
 
 def host_of(url: Column) -> Column:
@@ -59,10 +62,26 @@ def symbols(url: Column) -> Column:
     return F.regexp_replace(text, r"[^a-z0./\-_?=&#%]", "~")
 
 
+def held_out(s: Column) -> Column:
+    """Whether a text calibrates the threshold."""
+    return F.substring(F.md5(s.cast("binary")), 1, 1).isin("0", "1", "2", "3")
+
+
 def _grams(rows: DataFrame, *keep: str) -> DataFrame:
-    """A row for each character of ``s`` with the ORDER - 1 before it."""
-    at = F.explode(F.sequence(F.lit(1), F.length("s")))
-    return rows.where("s <> ''").select(*keep, F.concat(F.lit(PAD), "s").alias("p"), at.alias("i")).select(*keep, F.col("p").substr(F.col("i"), F.lit(ORDER)).alias("gram"))
+    """A row for each character of ``s`` with the ORDER - 1 before it.
+
+    Texts fall into pieces first, so a row never carries more than one.
+    """
+    p = F.concat(F.lit(PAD), "s")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / PIECE).cast("int")), lambda k: F.substr(p, k * PIECE + 1, F.lit(PIECE + ORDER - 1)))
+    cut = rows.where("s <> ''").select(*keep, F.explode(pieces).alias("piece"))
+    at = F.explode(F.sequence(F.lit(1), F.length("piece") - (ORDER - 1)))
+    return cut.select(*keep, "piece", at.alias("i")).select(*keep, F.substr("piece", F.col("i"), F.lit(ORDER)).alias("gram"))
+
+
+def _key(s: Column) -> Column:
+    """A text's digest, which its characters carry in place of the text."""
+    return F.unhex(F.md5(s.cast("binary")))
 
 
 def gram_scores(train: DataFrame, grams: DataFrame, min_context: int) -> DataFrame:
@@ -93,22 +112,23 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], min_context: int
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("action", action)
     texts = rows.groupBy("s", "action").agg(F.count("*").alias("times"))  # each text is scored once
-    scored = gram_scores(rows.where("action is not null").select("action", "s"), _grams(rows).groupBy("gram").count().select("gram"), min_context)
+    scored = gram_scores(rows.where(F.col("action").isNotNull() & ~held_out(F.col("s"))).select("action", "s"), _grams(rows).groupBy("gram").count().select("gram"), min_context)
     n_grams = _grams(rows).agg(F.approx_count_distinct("gram")).first()[0]
     side = F.broadcast(scored) if n_grams <= BROADCAST_GRAMS else scored
     # Characters of a text stay in one task up to the sum, so the shuffle after it has a row for each text.
-    sums = _grams(texts.select("s").distinct(), "s").join(side, "gram").groupBy("s").agg(F.floor(F.sum("diff") / F.count("*")).alias("score"))
-    classes = texts.join(sums, "s", "left").withColumn("score", F.coalesce("score", F.lit(0).cast("bigint")))
-    bins = classes.where("action is not null").groupBy(F.floor(F.greatest(F.least(F.col("score"), F.lit(20 * MILLION)), F.lit(-20 * MILLION)) / BIN).alias("bin")).agg(
+    sums = _grams(texts.select("s", _key(F.col("s")).alias("k")).distinct(), "k").join(side, "gram").groupBy("k").agg(F.floor(F.sum("diff") / F.count("*")).alias("score"))
+    classes = texts.withColumn("k", _key(F.col("s"))).join(sums, "k", "left").withColumn("score", F.coalesce("score", F.lit(0).cast("bigint")))
+    bins = classes.where(F.col("action").isNotNull() & held_out(F.col("s"))).groupBy(F.floor(F.greatest(F.least(F.col("score"), F.lit(20 * MILLION)), F.lit(-20 * MILLION)) / BIN).alias("bin")).agg(
         F.sum(F.when(F.col("action") == "allow", F.col("times")).otherwise(0)).alias("a"), F.sum(F.when(F.col("action") == "block", F.col("times")).otherwise(0)).alias("r")
     )  # at most 40 * MILLION / BIN + 1 rows
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    right = F.coalesce(F.sum("r").over(below), F.lit(0)) / F.sum("r").over(every) + 1 - F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(every)
+    all_of = lambda c: F.nullif(F.sum(c).over(every), F.lit(0))
+    right = F.coalesce(F.sum("r").over(below), F.lit(0)) / all_of("r") + 1 - F.coalesce(F.sum("a").over(below), F.lit(0)) / all_of("a")
     gap = F.coalesce(F.lag("bin").over(Window.orderBy("bin")), F.col("bin"))  # the threshold is halfway from the bin below
     best = bins.withColumn("right", F.round(right, 9)).withColumn("below", gap).where("right is not null").agg(F.max(F.struct("right", "bin", "below")).alias("b")).first()["b"]
     threshold = (best["bin"] + best["below"] + 1) * BIN // 2 if best else 0
-    out = rows.join(sums, "s", "left")
+    out = rows.withColumn("k", _key(F.col("s"))).join(sums, "k", "left")
     by_score = F.when((F.col("s") == "") | (F.coalesce("score", F.lit(0)) >= threshold), "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", "action", "score", F.coalesce("action", by_score).alias("verdict"))
 
@@ -133,11 +153,11 @@ WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([
 r AS (SELECT *, CASE {name} END AS rule, CASE {action} END AS action FROM u),
 texts AS (SELECT s, action, count(*) AS times FROM r GROUP BY ALL),
 grams AS (SELECT s, substring('{PAD}' || s, i, {ORDER}) AS gram FROM (SELECT s, unnest(range(1, length(s) + 1)) AS i FROM (SELECT DISTINCT s FROM texts WHERE s <> ''))),
-top AS (SELECT gram, sum(times) FILTER (action = 'allow') AS a, sum(times) FILTER (action = 'block') AS r FROM grams JOIN texts USING (s) WHERE action IS NOT NULL GROUP BY gram),
+top AS (SELECT gram, sum(times) FILTER (action = 'allow') AS a, sum(times) FILTER (action = 'block') AS r FROM grams JOIN texts USING (s) WHERE action IS NOT NULL AND md5(s)[1] NOT IN ('0', '1', '2', '3') GROUP BY gram),
 {', '.join(steps).replace('sum(a)', 'sum(coalesce(a, 0))').replace('sum(r)', 'sum(coalesce(r, 0))')},
 diff AS (SELECT gram, CAST(round((ln(pa) - ln(pr)) * {MILLION}) AS BIGINT) AS diff FROM p{ORDER}),
 score AS (SELECT s, CAST(floor(sum(diff) / count(*)) AS BIGINT) AS score FROM grams JOIN diff USING (gram) GROUP BY s),
-bins AS (SELECT CAST(floor(greatest(least(coalesce(score, 0), {20 * MILLION}), {-20 * MILLION}) / {BIN}) AS BIGINT) AS bin, sum(times) FILTER (action = 'allow') AS a, sum(times) FILTER (action = 'block') AS r FROM texts LEFT JOIN score USING (s) WHERE action IS NOT NULL GROUP BY 1),
+bins AS (SELECT CAST(floor(greatest(least(coalesce(score, 0), {20 * MILLION}), {-20 * MILLION}) / {BIN}) AS BIGINT) AS bin, sum(times) FILTER (action = 'allow') AS a, sum(times) FILTER (action = 'block') AS r FROM texts LEFT JOIN score USING (s) WHERE action IS NOT NULL AND md5(s)[1] IN ('0', '1', '2', '3') GROUP BY 1),
 cut AS (SELECT bin, coalesce(lag(bin) OVER (ORDER BY bin), bin) AS below, round(coalesce(sum(coalesce(r, 0)) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT nullif(sum(r), 0) FROM bins) + 1 - coalesce(sum(coalesce(a, 0)) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT nullif(sum(a), 0) FROM bins), 9) AS fit FROM bins),
 t AS (SELECT coalesce((SELECT (bin + below + 1) * {BIN // 2} FROM cut WHERE fit IS NOT NULL ORDER BY fit DESC, bin DESC LIMIT 1), 0) AS threshold)
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN r.s = '' OR coalesce(score, 0) >= (SELECT threshold FROM t) THEN 'allow' ELSE 'block' END) AS verdict FROM r LEFT JOIN score USING (s)
