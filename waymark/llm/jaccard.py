@@ -28,6 +28,13 @@ their own: if shingle t is the first that x and y share, what they share lies at
 after it, and either in the hub, at most the smaller of their overlaps with it, or
 outside, at most the smaller of what each has outside the hub at t or after it.
 
+Far members meet in pairs only in lists of ``SMALL_LIST`` members or fewer.  In longer ones they
+meet by signatures of the whole set: two sets that link differ by at most D shingles, so of D // 4 + 1
+classes of shingles by hash one has at most 3 differences, and of its 5 parts 2 at least are equal.
+The digests of each two parts are the keys (``signatures``); D follows from the sizes, which are cut into bands of
+``den`` / ``num``, and a set signs for its own band and the next, so sets whose sizes allow a link share one.
+Members of a key's most common label do not meet each other there.
+
 Defined results: null and empty texts have no shingles, an n_shingles of 0, and their
 own doc_id as component; a text of fewer words than ``size`` has its whole sequence
 as one shingle; rows that repeat a doc_id are judged by their own text and their
@@ -36,7 +43,7 @@ component; a similarity equal to the threshold links; of equally rare shingles t
 one, which changes no result; texts of any length are taken whole, a block's memory growing with its longest; an empty
 table gives no rows; other columns are ignored, or passed through by ``keep_first``.
 
-Shingles are compared by 48 bits of a 64-bit hash.
+Shingles are compared by 48 to 63 bits of a 64-bit hash, more for larger corpora (``key_bits``).
 """
 
 from __future__ import annotations
@@ -53,7 +60,8 @@ from pyspark.sql.window import Window
 from waymark.llm import _text
 from waymark.llm._store import Scratch, join_salted, join_split
 
-BITS = 48
+#: A list of more members has its far ones meet by signatures.
+SMALL_LIST = 64
 #: Ids of spare documents that are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 BINS = 32
@@ -73,6 +81,11 @@ def _table(rows: list[tuple], ddl: str) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+def key_bits(n_bytes: int) -> int:
+    """Bits of a shingle's key: 14 beyond what counts the corpus' bytes, so that few shingles share a key at any size."""
+    return min(63, max(48, n_bytes.bit_length() + 14))
+
+
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes ascending, text index) of the distinct shingles of each text."""
     data, offsets = _text.text_bytes(column)
@@ -91,12 +104,12 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], owner[new]
 
 
-def _send(docs: DataFrame, size: int, n_buckets: int, block_bytes: int) -> DataFrame:
+def _send(docs: DataFrame, size: int, bits: int, n_buckets: int, block_bytes: int) -> DataFrame:
     schema = _arrow_schema(SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
-        edges = (np.arange(n_buckets + 1, dtype=object) * (1 << BITS) // n_buckets).astype(np.uint64)
+        edges = (np.arange(n_buckets + 1, dtype=object) * (1 << bits) // n_buckets).astype(np.uint64)
         for batch in batches:
             for a, b in _text.blocks(batch.column(1), block_bytes):
                 ids = batch.column(0).slice(a, b - a).fill_null(NO_ID).to_numpy()
@@ -109,7 +122,7 @@ def _send(docs: DataFrame, size: int, n_buckets: int, block_bytes: int) -> DataF
                     np.add.at(digests[0], owner, _text.mix(grams))
                     np.add.at(digests[1], owner, _text.mix(grams ^ np.uint64(0x5851F42D4C957F2D)))
                 rows = []
-                keys = grams >> np.uint64(64 - BITS)
+                keys = grams >> np.uint64(64 - bits)
                 cuts = np.searchsorted(keys, edges)
                 cuts[-1] = len(keys)
                 for k in np.flatnonzero(np.diff(cuts)):
@@ -174,7 +187,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return _table(_count(rows) if rows[0]["kind"] == 0 else _classes(rows), ANSWERS)
 
 
-def _gather(num: int, den: int):
+def _gather(num: int, den: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         classes = [r for r in rows if r["kind"] == 1]
@@ -205,7 +218,7 @@ def _gather(num: int, den: int):
             if going[i]:
                 mine = slice(ends[i] - n_shared[i], ends[i])
                 sorted_keys = keys[by_key[mine]].astype(np.uint64)
-                bins = np.bincount((sorted_keys >> np.uint64(BITS - 5)).astype(np.int64), minlength=BINS).astype(np.uint32)
+                bins = np.bincount((sorted_keys >> np.uint64(bits - 5)).astype(np.int64), minlength=BINS).astype(np.uint32)
                 rest = (int(own[i]), int(n_shared[i]), bins.tobytes(), keys[by_rarity[mine]][: prefix[i] - own[i]].tolist(), _text.pack_sorted(sorted_keys))
             out.append((id_, int(n[i]), id_ if id_ is None else int(rep[i]), *rest))
         return _table(out, DOCS)
@@ -245,6 +258,76 @@ def _verify(num: int, den: int, hub: bool):
     return run
 
 
+def size_bands(most: int, num: int, den: int) -> np.ndarray:
+    """Greatest sizes of the bands: sizes whose ratio is ``num`` / ``den`` or more lie in one band or two neighbours."""
+    ends = [0]
+    while ends[-1] < most:
+        low = ends[-1] + 1
+        ends.append(low * den // num)
+    return np.array([*ends, (ends[-1] + 1) * den // num])
+
+
+def signatures(keys: np.ndarray, n: int, ends: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of a set of ``n`` shingles whose shared ones are ``keys``: sets that link have one in common."""
+    out = []
+    own = int(np.searchsorted(ends, n))
+    for band in (own, own + 1):  # sets of this band and the one below it
+        most = 2 * int(ends[band]) * (den - num) // (num + den)  # differences
+        classes = most // (min(3, most) + 1) + 1
+        few = most // classes
+        parts = few + 2 if few else 1
+        with np.errstate(over="ignore"):
+            h = _text.mix(keys ^ np.uint64(band * 0x9E3779B97F4A7C15 % (1 << 64)))
+            place = (h % np.uint64(classes * parts)).astype(np.int64)
+            sums = np.zeros(classes * parts, np.uint64)
+            np.add.at(sums, place, _text.mix(h))
+            sums = _text.mix(sums ^ np.arange(len(sums), dtype=np.uint64)).reshape(classes, parts)
+            pairs = np.triu_indices(parts, 1) if few else (np.zeros(1, int), np.zeros(1, int))
+            out.append(_text.mix(sums[:, pairs[0]] + _text.mix(sums[:, pairs[1]] + np.uint64(band))).ravel())
+    return np.concatenate(out)
+
+
+SIGNED = "sig bigint, id bigint, n bigint, label bigint, far boolean"
+
+
+def _signed(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = size_bands(int(np.max(batch.column(1).to_numpy(), initial=1)), num, den)
+            for i in range(len(batch)):
+                id_, n, label, far, keys = (batch.column(k)[i].as_py() for k in range(5))
+                sigs = signatures(_text.unpack_sorted(keys), n, ends, num, den).view(np.int64)
+                same = [pa.repeat(pa.scalar(v, kind), len(sigs)) for v, kind in ((id_, pa.int64()), (n, pa.int64()), (label, pa.int64()), (far, pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([pa.array(sigs), *same], names=["sig", "id", "n", "label", "far"])
+
+    return run
+
+
+def far_pairs(placed: DataFrame, keys: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame | None:
+    """a, b of candidates in lists longer than SMALL_LIST, of different labels and one at least far from its hub; None without such lists.
+
+    placed: token, many, id, n, label, near; keys: id, keys, the packed shingles of every set.
+    """
+    long = placed.where(F.col("many") > SMALL_LIST).select("token", "id", "n", "label", "near")
+    lists = scratch.table(long.groupBy("token").agg(F.count("*").alias("many"), F.bool_or(~F.col("near")).alias("far")).where("far").select("token", "many"), "far-lists")
+    total = lists.agg(F.sum("many")).first()[0]
+    if not total:
+        return None
+    members = join_split(long, lists, ["token"], total).groupBy("id", "n", "label").agg(F.bool_or(~F.col("near")).alias("far"))
+    signed = members.join(keys, "id").select("id", "n", "label", "far", "keys").mapInArrow(_signed(num, den), SIGNED)
+    signed = scratch.table(signed, "signed")
+    of_label = signed.groupBy("sig", "label").agg(F.count("*").alias("c"), F.bool_or("far").alias("far"))
+    groups = of_label.groupBy("sig").agg(F.sum("c").alias("many"), F.max_by("label", F.struct("c", "label")).alias("main"), F.bool_or("far").alias("far"), F.count("*").alias("labels"))
+    groups = scratch.table(groups.where("labels > 1 and far").select("sig", "many", "main"), "signed-groups")
+    total = groups.agg(F.sum("many")).first()[0] or 0
+    met = scratch.table(join_split(signed, groups, ["sig"], total), "signed-met")
+    member = F.struct("id", "n", "label", "far", "main")
+    pairs = join_salted(met.where("label <> main").select("sig", member.alias("x")), met.select("sig", "many", member.alias("y")), ["sig"], F.xxhash64("x.id"), total)
+    once = (F.col("x.label") < F.col("y.label")) | ((F.col("y.label") == F.col("y.main")) & (F.col("x.label") != F.col("y.label")))
+    short = (den * F.col("x.n") >= num * F.col("y.n")) & (den * F.col("y.n") >= num * F.col("x.n"))
+    return pairs.where(once & short & (F.col("x.far") | F.col("y.far"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
 HUB = [("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("links", pa.bool_()), ("lost", pa.list_(pa.int64())), ("added", pa.list_(pa.int64()))]
 
 
@@ -309,8 +392,9 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     n_buckets = _text.bucket_count(n_bytes)
     if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
         rows = scratch.table(rows, "texts")  # blocks are named by place, so a lost task must find the same rows there
-    answers = _send(rows, size, n_buckets, _text.block_bytes(n_bytes)).groupBy("kind", "bucket").applyInArrow(_answer, ANSWERS)
-    members = scratch.table(answers.groupBy("chunk").applyInArrow(_gather(num, den), DOCS), "members")
+    bits = key_bits(n_bytes)
+    answers = _send(rows, size, bits, n_buckets, _text.block_bytes(n_bytes)).groupBy("kind", "bucket").applyInArrow(_answer, ANSWERS)
+    members = scratch.table(answers.groupBy("chunk").applyInArrow(_gather(num, den, bits), DOCS), "members")
 
     nodes = members.where("keys is not null")
     tokens = scratch.table(nodes.select(F.col("doc_id").alias("id"), "n", "own", "shared", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + F.col("own")), "tokens")
@@ -355,10 +439,13 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     by_hub = bound.isNull() | (bound * (num + den) >= num * (F.col("x.n") + F.col("y.n")))  # least() skips nulls; one side alone is a bound too
     member = F.struct("id", "n", "shared", "at", "label", "near", "in_hub", "outside")
     # One of a pair at least is far from the hub; two that are near meet by their differences below.
-    across = join_salted(placed.where("not near").select("token", member.alias("x")), placed.select("token", "many", member.alias("y")), ["token"], F.xxhash64("x.id"), total)
+    few = placed.where(F.col("many") <= SMALL_LIST)
+    across = few.where("not near").select("token", member.alias("x")).join(few.select("token", member.alias("y")), "token")
     once = F.when(F.col("y.near"), F.col("x.label") != F.col("y.label")).otherwise(F.col("x.label") < F.col("y.label"))
     across = across.where(once & may_link("x", "y") & by_hub)
-    more = verified(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "cross-links", False)
+    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    far = far_pairs(placed, nodes.select(F.col("doc_id").alias("id"), "keys"), num, den, scratch)
+    more = verified(across.unionByName(far) if far else across, "cross-links", False)
     of = nodes.select(F.col("doc_id").alias("id"), "n", "own").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     near = scratch.table(close.join(nodes.select(F.col("doc_id").alias("hub"), F.col("shared").alias("size")), "hub").join(of, "id"), "near")
     more = more.unionByName(near_hub_links(near, num, den, scratch))
