@@ -390,41 +390,20 @@ def block_texts(n, seed=4):
     return texts
 
 
-@pytest.mark.parametrize("size, num, den, make", [(4, 85, 100, block_texts), (5, 80, 100, lambda n: corpus(n, 2)), (2, 50, 100, lambda n: corpus(n, 3))])
-def test_jaccard_long_lists(spark, monkeypatch, size, num, den, make):
-    """Far members of long lists meet by signatures, and no link is lost."""
-    monkeypatch.setattr(jaccard, "SMALL_LIST", 1)
-    texts = make(200)
-    rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(docs(spark, texts), size, num, den).collect()}
-    assert [rows[i] for i in range(len(texts))] == brute_components(texts, size, num, den)
-
-
-@pytest.mark.parametrize("num, den", [(85, 100), (80, 100), (50, 100), (1, 1)])
-def test_jaccard_signatures_meet(num, den):
-    """Any two sets that link have a signature in common, at every size and at the threshold itself."""
-    rng = np.random.default_rng(num)
-    ends = jaccard.size_bands(600, num, den)
-    for _ in range(400):
-        n = int(rng.integers(1, 300))
-        x = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
-        both = int(rng.integers(-(-num * len(x) // den), len(x) + 1))
-        added = int(max(0, rng.integers(0, den * both // num - len(x) + 1)))  # den * both >= num * (len(x) + added)
-        y = np.unique(np.concatenate([rng.permutation(x)[:both], rng.integers(0, 1 << 48, added, dtype=np.uint64)]))
-        assert set(jaccard.signatures(x, len(x), ends, num, den).tolist()) & set(jaccard.signatures(y, len(y), ends, num, den).tolist())
-
-
-def test_jaccard_candidates_stay_few():
-    """Texts of 10 of 40 blocks: pairs that meet by signatures stay below a few a text, where lists met in n * n / 4 pairs and more."""
-    rng = np.random.default_rng(5)
-    keys = np.sort(rng.integers(0, 1 << 48, 400, dtype=np.uint64)).reshape(-1)
-    block = rng.permutation(400) % 40
-    ends = jaccard.size_bands(100, 85, 100)
-    met = {}
-    for n in (2000, 4000, 8000):
-        sigs = np.concatenate([jaccard.signatures(keys[np.isin(block, rng.permutation(40)[:10])], 100, ends, 85, 100) for _ in range(n)])
-        times = np.unique(sigs, return_counts=True)[1]
-        met[n] = int((times * (times - 1) // 2).sum()) / n
-    assert met[8000] < 25, met
+def test_jaccard_far_members(spark):
+    """Texts that share blocks, most of them far from their lists' hubs, and a few copies with an edit."""
+    texts = block_texts(200)
+    rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(docs(spark, texts), 4, 85, 100).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute_components(texts, 4, 85, 100)
+
+
+def test_jaccard_key_bits(spark, monkeypatch):
+    """Keys widen with the corpus, and the widest give the same components."""
+    assert [jaccard.key_bits(n) for n in (0, 1 << 33, 1 << 40, 10**14, 1 << 60)] == [48, 48, 55, 61, 63]
+    monkeypatch.setattr(jaccard, "key_bits", lambda n: 63)
+    texts = corpus(150, 1)
+    rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(docs(spark, texts), 4, 85, 100).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute_components(texts, 4, 85, 100)
 
 
 def test_jaccard_edges(spark):
