@@ -287,6 +287,49 @@ def test_pii_edges(spark):
     assert pii.extract(empty(spark)).count() == 0
     assert pii.extract(odd(spark)).where("base = ''").count() == 9
 
+def test_pii_reads_the_corpus_once_however_much_is_asked(spark, monkeypatch):
+    passes = []
+    tables = Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: passes.append(name) or tables(self, df, name))
+    texts = [f"w{i % 40} v{i % 30} code {10_000 + i} u{i % 20} done" for i in range(400)]
+    pii.extract(docs(spark, texts), most_broadcast=3).collect()
+    assert passes.count("prose") == passes.count("found") == 1
+
+
+def test_pii_counter_forgets_without_loss():
+    """Listed or filtered, remembered or forgotten: the same contexts up to what decides."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(30)]
+    blocks = [pii.Pieces(*_text.text_bytes(pa.array([t]))) for t in texts]
+    keys = np.unique(np.concatenate([next(pii._chain([b.hashes])) for b in blocks]))
+    many, none = np.full(len(keys), 1000), np.zeros(0, np.uint64)
+    words = np.zeros(64, np.uint64)
+    np.bitwise_or.at(words, (keys >> np.uint64(58)).astype(int), np.uint64(1) << (keys & np.uint64(63)) | np.uint64(1) << (keys >> np.uint64(6) & np.uint64(63)))
+    assert pii._in_filter(keys, words).all() and pii._in_filter(_text.mix(np.arange(10_000, dtype=np.uint64)), words).mean() < 0.1
+
+    def pairs(counter):
+        return {(int(k), int(c)) for b in blocks for k, c in zip(*counter.add(b), strict=True) if k in keys}
+
+    listed = pairs(pii._Counter(pii.Asked(keys, many, None, 0), 1))
+    assert len(listed) > 200
+    for room in (1 << 20, 3):
+        assert pairs(pii._Counter(pii.Asked(none, none.astype(np.int64), words, 1000), 1, room)) == listed
+    exact = np.array([sum(k == key for k, _ in listed) + 1 for key in keys.tolist()])  # one more than there are: all must come
+    assert pairs(pii._Counter(pii.Asked(keys[::2], exact[::2], words, int(exact.max())), 1, room=3)) == listed
+    few = Counter(k for k, _ in pairs(pii._Counter(pii.Asked(none, none.astype(np.int64), words, 9), 1)))
+    assert set(few.values()) == {9}
+
+
+def test_pii_hot_tokens_are_joined_apart(spark):
+    rows = spark.createDataFrame([(i, b"hot" if i % 3 else bytes([i % 200])) for i in range(6000)], "row int, token binary")
+    got = spark.createDataFrame([(b"hot", 0.5), (bytes([7]), 0.25), (b"none", 1.0)], "token binary, got double")
+    hot = pii.hot_tokens(rows, 6000, Scratch(spark, "t"), "hot")
+    assert [bytes(r[0]) for r in hot.collect()] == [b"hot"]
+    for how in ("left", "left_semi"):
+        plain = rows.join(got, "token", how)
+        for most in (1, 100):
+            assert Counter(map(str, pii.by_token(rows, got, hot, most, how).select(*plain.columns).collect())) == Counter(map(str, plain.collect()))
+
 
 # ---- 3 URLs -------------------------------------------------------------------------------
 

@@ -22,8 +22,9 @@ more contexts than instances and never become patterns.  After the rounds, candi
 patterns give ``confident`` or more are further spans of kind "id".
 
 Only the seeds, candidates and hashes of their neighbours leave the texts. Contexts are counted for
-pieces with ``support`` instances or more, ``most_broadcast`` of them a pass, and in each task only
-up to the number that decides against them. Patterns beside very many instances are joined apart.
+pieces with ``support`` instances or more, in one pass, and in each task only up to the number that
+decides against them: ``most_broadcast`` pieces are listed to the tasks, all others pass through a filter of bounded
+size. Patterns beside very many instances, and instances beside very many patterns, are joined apart.
 
 Defined results: null and empty texts have no spans; repeated rows are extracted each; spans
 of equal texts are equal; whole texts are read, however long, in linear time; an instance that
@@ -38,7 +39,7 @@ import hashlib
 import itertools
 import re
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -243,12 +244,69 @@ def _among(values: np.ndarray, ascending: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, ascending[at] == values if len(ascending) else np.zeros(len(values), bool)
 
 
+class _Seen:
+    """A growing set of hashes, as ascending runs of which each is more than twice the next, so adding stays near linear."""
+
+    def __init__(self):
+        self.runs: list[np.ndarray] = []
+
+    def new(self, values: np.ndarray) -> np.ndarray:
+        out = np.ones(len(values), bool)
+        for run in self.runs:
+            out &= ~_among(values, run)[1]
+        return out
+
+    def add(self, values: np.ndarray) -> None:
+        """Ascending values that are all new."""
+        if len(values):
+            self.runs.append(values)
+        while len(self.runs) > 1 and len(self.runs[-2]) <= 2 * len(self.runs[-1]):
+            self.runs[-2:] = [np.sort(np.concatenate(self.runs[-2:]))]
+
+
+def _in_filter(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether both bits of each hash are set in its word of the filter."""
+    own = words[(hashes >> np.uint64(65 - len(words).bit_length())).astype(np.int64)]
+    bits = np.uint64(1) << (hashes & np.uint64(63)) | np.uint64(1) << (hashes >> np.uint64(6) & np.uint64(63))
+    return own & bits == bits
+
+
+@dataclass
+class Asked:
+    """What a task knows of one side's asked contexts: the listed ones, ascending, with the number that decides against
+    each; a filter of all others, if there are some, and a number that decides against any of them."""
+
+    keys: np.ndarray
+    most: np.ndarray
+    rest: np.ndarray | None
+    rest_most: int
+
+
 class _Counter:
-    """Different prose contexts of the asked pieces of one side, up to ``most`` of each."""
+    """Different prose contexts of the asked pieces of one side, up to the number that decides.
 
-    def __init__(self, keys: np.ndarray, most: np.ndarray, step: int):
-        self.keys, self.most, self.step = keys, most, step
-        self.counts, self.seen = np.zeros(len(keys), np.int64), np.zeros(0, np.uint64)
+    Unlisted pieces are counted for the last ``room`` of them at most; a count that is forgotten begins
+    anew, which sends more than is needed and leaves out nothing.
+    """
+
+    def __init__(self, asked: Asked, step: int, room: int = 1 << 20):
+        self.asked, self.step, self.room = asked, step, room
+        self.counts, self.seen = np.zeros(len(asked.keys), np.int64), _Seen()
+        self.rest_keys, self.rest_counts, self.rest_seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), _Seen()
+
+    @staticmethod
+    def _take(context: np.ndarray, group: np.ndarray, counts: np.ndarray, most: np.ndarray | int, seen: _Seen) -> tuple[np.ndarray, np.ndarray]:
+        """(context, group) not seen before, each group up to ``most``; group numbers ``counts``, which grows with ``seen``."""
+        context, index = np.unique(context, return_index=True)
+        new = seen.new(context)
+        context, group = context[new], group[index][new]
+        order = np.argsort(group, kind="stable")
+        context, group = context[order], group[order]
+        fits = np.arange(len(group)) - np.searchsorted(group, group) < (most - counts)[group]
+        context, group = context[fits], group[fits]
+        counts += np.bincount(group, minlength=len(counts))
+        seen.add(np.sort(context))
+        return context, group
 
     def add(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
         """(context, prose context) hashes not seen before."""
@@ -263,59 +321,83 @@ class _Counter:
             valid = valid & inside
             columns.append(pieces.hashes[j])
             *_, chain = _chain(columns)
-            at, hit = _among(chain, self.keys)
+            contexts = lambda i, chain=chain: list(_chain([chain[i], first[i], second[i]]))[-1]
+            at, hit = _among(chain, self.asked.keys)
             i = np.flatnonzero(hit & valid & prose)
-            i = i[self.counts[at[i]] < self.most[at[i]]]
-            *_, context = _chain([chain[i], first[i], second[i]])
-            context, index = np.unique(context, return_index=True)
-            group = at[i][index]
-            new = ~_among(context, self.seen)[1]
-            context, group = context[new], group[new]
-            order = np.argsort(group, kind="stable")
-            context, group = context[order], group[order]
-            place = np.arange(len(group)) - np.searchsorted(group, group)
-            fits = place < (self.most - self.counts)[group]
-            context, group = context[fits], group[fits]
-            self.counts += np.bincount(group, minlength=len(self.keys))
-            self.seen = np.sort(np.concatenate([self.seen, context]))
-            got_keys.append(self.keys[group])
+            i = i[self.counts[at[i]] < self.asked.most[at[i]]]
+            context, group = self._take(contexts(i), at[i], self.counts, self.asked.most, self.seen)
+            got_keys.append(self.asked.keys[group])
             got.append(context)
+            if self.asked.rest is not None:
+                i = np.flatnonzero(valid & prose & ~hit)
+                i = i[_in_filter(chain[i], self.asked.rest)]
+                keys = np.union1d(self.rest_keys, chain[i])
+                counts = np.zeros(len(keys), np.int64)
+                counts[np.searchsorted(keys, self.rest_keys)] = self.rest_counts
+                context, group = self._take(contexts(i), np.searchsorted(keys, chain[i]), counts, self.asked.rest_most, self.rest_seen)
+                got_keys.append(keys[group])
+                got.append(context)
+                self.rest_keys, self.rest_counts = keys, counts
+                if len(keys) > self.room:
+                    self.rest_keys, self.rest_counts, self.rest_seen = keys[:0], counts[:0], _Seen()
         return np.concatenate(got_keys), np.concatenate(got)
 
 
+def _filter_words(rest: DataFrame, n: int) -> dict[str, np.ndarray]:
+    """A filter of the contexts (side, context, k) of each side: two bits of one 64-bit word for each, about four contexts a word up to 2^21 words."""
+    bits = max(6, min(21, (n // 4).bit_length()))
+    mask = F.expr("shiftleft(1L, CAST(context & 63 AS INT)) | shiftleft(1L, CAST(shiftrightunsigned(context, 6) & 63 AS INT))")
+    words = rest.groupBy("side", F.shiftrightunsigned("context", 64 - bits).alias("at")).agg(F.bit_or(mask).alias("word")).toArrow()  # 2^21 rows a side at most
+    out = {}
+    for side in SIDES:
+        own = words.filter(pyarrow.compute.equal(words["side"], side))
+        out[side] = np.zeros(1 << bits, np.uint64)
+        out[side][own["at"].to_numpy()] = own["word"].to_numpy().view(np.uint64)
+    return out
+
+
 def _prose(docs: DataFrame, asked: DataFrame, confident: float, most_broadcast: int, scratch: Scratch) -> DataFrame:
-    """side, context, prose: different contexts in prose of each of the asked (side, context, k).
+    """side, context, prose: different contexts in prose of the asked (side, context, k), in one pass over the texts.
 
     With k instances at most, a pattern fails once it has more than k * (1 - confident) / confident
-    contexts, so each task stops at one more than that.
+    contexts, so each task stops at one more than that.  Up to ``most_broadcast`` contexts, those with the most
+    instances, are listed to the tasks; the rest pass through a filter, and what it lets through wrongly has no row in asked.
     """
     asked = scratch.table(asked, "asked")
-    parts = -(-asked.count() // most_broadcast)
-    counted = []
-    for part in range(parts):
-        own = asked.where(F.pmod(F.xxhash64("context"), F.lit(parts)) == part).toArrow()
-        known = []
-        for side in SIDES:
-            mine = own.filter(pyarrow.compute.equal(own["side"], side))
-            keys = mine["context"].to_numpy().view(np.uint64)
-            order = np.argsort(keys)
-            known.append((keys[order], np.floor(mine["k"].to_numpy()[order] * (1 - confident) / confident).astype(np.int64) + 1))
-        shared = docs.sparkSession.sparkContext.broadcast(known)  # two numbers for each of about most_broadcast contexts
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            counters = [_Counter(*known, step) for known, step in zip(shared.value, (-1, 1), strict=True)]
-            for batch in batches:
-                for a, b in _text.blocks(batch.column(0), BLOCK_BYTES):
-                    pieces = Pieces(*_text.text_bytes(batch.column(0).slice(a, b - a)))
-                    for side, counter in zip(SIDES, counters, strict=True):
-                        keys, context = counter.add(pieces)
-                        if len(keys):
-                            yield pa.RecordBatch.from_arrays([pa.array([side] * len(keys)), pa.array(keys.view(np.int64)), pa.array(context.view(np.int64))], names=["side", "context", "at"])
-
-        pairs = docs.select("text").mapInArrow(run, "side string, context bigint, at bigint").distinct()
-        counted.append(pairs.groupBy("side", "context").agg(F.count("*").alias("prose")))
-    none = asked.select("side", "context", F.lit(0).cast("bigint").alias("prose")).limit(0)
-    return scratch.table(reduce(DataFrame.unionByName, counted, none), "prose")
+    size = F.length(F.bin("k"))
+    bar, listed, n = 1, 0, asked.count()
+    if n > most_broadcast:
+        bar = 1 << 62
+        for r in sorted(asked.groupBy(size.alias("bits")).count().collect(), reverse=True):  # 63 rows at most
+            if listed + r["count"] > most_broadcast:
+                break
+            bar, listed = 1 << (r["bits"] - 1), listed + r["count"]
+    decides = lambda k: np.floor(k * (1 - confident) / confident).astype(np.int64) + 1
+    own, rest, rest_most = asked.where(F.col("k") >= bar).toArrow(), None, 0
+    if bar > 1:
+        others = asked.where(F.col("k") < bar)
+        rest, rest_most = _filter_words(others, n - listed), int(decides(np.float64(others.agg(F.max("k")).first()[0])))
+    known = []
+    for side in SIDES:
+        mine = own.filter(pyarrow.compute.equal(own["side"], side))
+        keys = mine["context"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        known.append(Asked(keys[order], decides(mine["k"].to_numpy()[order]), rest and rest[side], rest_most))
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # two numbers for each of most_broadcast contexts, and the filter's words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = [_Counter(own, step) for own, step in zip(shared.value, (-1, 1), strict=True)]
+        for batch in batches:
+            for a, b in _text.blocks(batch.column(0), BLOCK_BYTES):
+                pieces = Pieces(*_text.text_bytes(batch.column(0).slice(a, b - a)))
+                for side, counter in zip(SIDES, counters, strict=True):
+                    keys, context = counter.add(pieces)
+                    if len(keys):
+                        yield pa.RecordBatch.from_arrays([pa.array([side] * len(keys)), pa.array(keys.view(np.int64)), pa.array(context.view(np.int64))], names=["side", "context", "at"])
+
+    pairs = docs.select("text").mapInArrow(run, "side string, context bigint, at bigint").distinct()
+    counts = pairs.groupBy("side", "context").agg(F.count("*").alias("prose"))
+    return scratch.table(counts.join(asked.select("side", "context"), ["side", "context"], "left_semi") if rest else counts, "prose")
 
 
 def scored_edges(found: DataFrame) -> DataFrame:
@@ -335,8 +417,21 @@ def rescore(edges: DataFrame, prose: DataFrame, total: int, confident: float, su
     return join_split(edges.select(*PATTERN, "token"), patterns, PATTERN, total).groupBy("token").agg((1 - (1 - best("left")) * (1 - best("right"))).alias("got"))
 
 
-def _small(df: DataFrame, bound: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= bound else df
+def by_token(rows: DataFrame, got: DataFrame, hot: DataFrame | None, most_broadcast: int, how: str) -> DataFrame:
+    """Join of rows with ``got``, unique by token, by a broadcast up to ``most_broadcast``; beyond, the ``hot`` tokens never meet in one task."""
+    if got.count() <= most_broadcast:
+        return rows.join(F.broadcast(got), "token", how)
+    if hot is None:
+        return rows.join(got, "token", how)
+    hot = F.broadcast(hot)
+    apart = rows.join(hot, "token", "left_semi").join(F.broadcast(got.join(hot, "token", "left_semi")), "token", how)
+    return apart.unionByName(rows.join(hot, "token", "left_anti").join(got, "token", how))
+
+
+def hot_tokens(rows: DataFrame, total: int, scratch: Scratch, name: str, most: int = 2000) -> DataFrame | None:
+    """token of those that more than 1 / ``most`` of the ``total`` rows have, so at most ``most``; None without such."""
+    hot = scratch.table(rows.groupBy("token").agg(F.count("*").alias("many")).where(F.col("many") > max(1000, total // most)).select("token"), name)
+    return hot if hot.count() else None
 
 
 def discover(docs: DataFrame, found: DataFrame, scratch: Scratch, rounds: int = 3, confident: float = 0.5, support: int = 5, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -345,10 +440,11 @@ def discover(docs: DataFrame, found: DataFrame, scratch: Scratch, rounds: int =
     total = edges.count()
     asked = edges.groupBy(*PATTERN).agg(F.count("*").alias("k")).where(F.col("k") >= support)
     prose = _prose(docs, asked.groupBy("side", "context").agg(F.max("k").alias("k")), confident, most_broadcast, scratch)
+    hot = hot_tokens(edges, total, scratch, "hot-edges") if total > most_broadcast else None  # else no token can have more rows
     scored, got = edges.withColumn("score", F.col("prior")), None
     for i in range(rounds):
         got = scratch.table(rescore(scored, prose, total, confident, support, scratch, f"round{i}"), f"round{i}")
-        scored = edges.join(_small(got, most_broadcast), "token", "left").withColumn("score", F.greatest("prior", F.coalesce("got", F.lit(0.0)))).drop("got")
+        scored = by_token(edges, got, hot, most_broadcast, "left").withColumn("score", F.greatest("prior", F.coalesce("got", F.lit(0.0)))).drop("got")
     return got.where(F.col("got") >= confident).select("token")
 
 
@@ -357,8 +453,13 @@ def extract(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataF
     scratch = scratch or Scratch(docs.sparkSession, "pii")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = scratch.table(_scan(rows), "found")
-    tokens = _small(scratch.table(discover(rows, found, scratch, **options), "tokens"), 1_000_000)
-    more = found.where("what = 'candidate'").join(tokens, "token", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("found"))
+    most_broadcast = options.get("most_broadcast", 1_000_000)
+    tokens = scratch.table(discover(rows, found, scratch, **options), "tokens")
+    candidates = found.where("what = 'candidate'").select("row", "token", "first", "last")
+    hot = None
+    if tokens.count() > most_broadcast:
+        hot = hot_tokens(candidates, candidates.count(), scratch, "hot-tokens")
+    more = by_token(candidates, tokens, hot, most_broadcast, "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("found"))
     out = found.where("what = 'doc'").join(more, "row", "left")
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base", F.coalesce("found", F.array().cast("array<struct<first:bigint,last:bigint>>")).alias("found"))
 
