@@ -820,3 +820,19 @@ def test_decontamination_edges(spark):
     assert decontam.find(empty(spark), items).count() == 0
     assert decontam.drop_contaminated(odd(spark), items).count() == 5
     assert Scratch(spark, "t").path
+
+
+def test_decontamination_filters_positions_before_a_shuffle(spark):
+    texts = docs(spark, [" ".join(f"w{i * 7 % 501}" for i in range(j, j + 300)) for j in range(20)]).select("doc_id", F.xxhash64("text").alias("text_key"), decontam.words(F.col("text")).alias("w"))
+    own = spark.createDataFrame([(1, f"w{i * 7 % 501} w{(i + 1) * 7 % 501} w{(i + 2) * 7 % 501} x") for i in range(9)], "item_id bigint, text string")
+    tokens = decontam.shingles_of(decontam.windows_of(own, 10), 3).select(F.explode("tokens.hash").alias("hash")).distinct()
+    n = tokens.count()
+    filter_, high = decontam.shingle_filter(tokens, n)
+    filter_ = Scratch(spark, "t").table(filter_, "filter")
+    got = decontam._matched(texts, [3], filter_, high)
+    exact = decontam._positions(texts, [3], outer=False).join(tokens, "hash", "left_semi").select("doc_id", "at")
+    every = decontam._positions(texts, [3], outer=False).where("hash is not null").count()
+    kept = {tuple(r) for r in got.select("doc_id", "at").collect()}
+    assert {tuple(r) for r in exact.collect()} <= kept and len(kept) < exact.count() + 0.1 * every
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Python" not in plan and "Arrow" not in plan

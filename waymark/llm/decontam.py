@@ -7,9 +7,10 @@ Document positions whose shingle is some window's prefix are candidates; those
 whose window would begin before the text or end after it fall away, and the rest
 is compared word by word with the item-sized window, in the task that found it.
 
-Up to ``most_broadcast`` windows are broadcast; more meet the positions by a shuffle, and the
-candidates their texts by another. Either way the corpus is read twice, whatever the number
-of windows. Occurrences carry a window's id; item ids are joined last, salted for
+Up to ``most_broadcast`` windows are broadcast.  With more, a broadcast filter of their shingles, of bounded
+size, first leaves of the positions those that may have one, where they are read; these
+meet the windows by a salted shuffle, and the candidates their texts by another. Either way the corpus is read
+twice, whatever the number of windows. Occurrences carry a window's id; item ids are joined last, salted for
 windows that very many documents have.
 
 Defined results: null and empty texts have no words and no hits; an item without
@@ -77,9 +78,26 @@ def _positions(docs: DataFrame, sizes: list[int], outer: bool) -> DataFrame:
     return rows.withColumn("hash", F.explode(F.array(*[_shingle(F.col("w"), F.col("at"), s) for s in sizes]))).drop("word")
 
 
-def _matched(docs: DataFrame, sizes: list[int], tokens: DataFrame) -> DataFrame:
-    """doc_id, text_key, at, hash of word positions whose shingle some window has; a shuffle of all positions."""
-    return _positions(docs, sizes, outer=False).select("doc_id", "text_key", "at", "hash").join(tokens, "hash", "left_semi")
+def _bits(hash_: Column) -> Column:
+    """Two bits of a 64-bit word, from the low bits of a hash."""
+    one = lambda by: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(hash_, by).bitwiseAND(F.lit(63)).cast("int"))
+    return one(0).bitwiseOR(one(6))
+
+
+def shingle_filter(tokens: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """(slot, word; how many high bits of a hash are its slot): two bits in one word for each token (hash), about four tokens a word.
+
+    A filter has 2^20 words at most, so it is broadcast; with more tokens than it holds well it lets more through, and loses none.
+    """
+    high = max(6, min(20, (n // 4).bit_length()))
+    return tokens.groupBy(F.shiftrightunsigned("hash", 64 - high).alias("slot")).agg(F.bit_or(_bits(F.col("hash"))).alias("word")), high
+
+
+def _matched(docs: DataFrame, sizes: list[int], words: DataFrame, high: int) -> DataFrame:
+    """doc_id, text_key, at, hash of word positions whose shingle the filter lets through: all that some window has and few others. No shuffle."""
+    rows = _positions(docs, sizes, outer=False).select("doc_id", "text_key", "at", "hash", F.shiftrightunsigned("hash", 64 - high).alias("slot"))
+    own = _bits(F.col("hash"))
+    return rows.join(F.broadcast(words), "slot").where(F.col("word").bitwiseAND(own) == own).select("doc_id", "text_key", "at", "hash")
 
 
 def _prefixes(own: DataFrame, seen: DataFrame) -> DataFrame:
@@ -105,7 +123,8 @@ def _occurrences(texts: DataFrame, own: DataFrame, sizes: list[int], small: bool
         rows = _positions(texts, sizes, outer=True).join(F.broadcast(prefix.drop("many")), "hash", "left").withColumn("start", F.col("at") - F.col("inner_at"))
         rows = _verified(rows, F.col("start")).where("hit or at is null or at = 0")
     else:
-        matched = scratch.table(_matched(texts, sizes, tokens), "matched")
+        words_, high = shingle_filter(tokens, tokens.count())
+        matched = scratch.table(_matched(texts, sizes, scratch.table(words_, "filter"), high), "matched")
         prefix = scratch.table(_prefixes(own, matched.groupBy("hash").agg(F.count("*").alias("many"))), "prefixes")
         pairs = join_salted(matched, prefix, ["hash"], F.xxhash64("doc_id", "at"), matched.count())
         pairs = pairs.select("doc_id", "text_key", (F.col("at") - F.col("inner_at")).alias("start"), "window", "window_id").where("start >= 0")
