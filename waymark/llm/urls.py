@@ -31,8 +31,8 @@ ORDER = 4
 PAD = "^" * (ORDER - 1)
 #: What the models see: a-z, one symbol for all digits, these marks, and one symbol for all else.
 MARKS = "./-_?=&#%"
-#: Grams are ORDER of at most 26 + 1 + len(MARKS) + 2 symbols; this many or fewer are broadcast, more are joined by a shuffle.
-BROADCAST_GRAMS = 200_000
+#: Grams are ORDER of the letters, one digit, the marks, one symbol for all else and the pad, so there are no more than this at any input's size, and they are broadcast.
+MOST_GRAMS = (26 + 1 + len(MARKS) + 2) ** ORDER
 MILLION = 1_000_000
 BIN = 10_000
 PIECE = 64
@@ -113,8 +113,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], min_context: int
     rows = rows.withColumn("rule", rule).withColumn("action", action)
     texts = rows.groupBy("s", "action").agg(F.count("*").alias("times"))  # each text is scored once
     scored = gram_scores(rows.where(F.col("action").isNotNull() & ~held_out(F.col("s"))).select("action", "s"), _grams(rows).groupBy("gram").count().select("gram"), min_context)
-    n_grams = _grams(rows).agg(F.approx_count_distinct("gram")).first()[0]
-    side = F.broadcast(scored) if n_grams <= BROADCAST_GRAMS else scored
+    side = F.broadcast(scored)  # MOST_GRAMS rows at most, some 2 million short ones
     # Characters of a text stay in one task up to the sum, so the shuffle after it has a row for each text.
     sums = _grams(texts.select("s", _key(F.col("s")).alias("k")).distinct(), "k").join(side, "gram").groupBy("k").agg(F.floor(F.sum("diff") / F.count("*")).alias("score"))
     classes = texts.withColumn("k", _key(F.col("s"))).join(sums, "k", "left").withColumn("score", F.coalesce("score", F.lit(0).cast("bigint")))
