@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark import catalog, catalog_database, catalog_fetched, catalog_index, catalog_io, catalog_streams  # noqa: F401
 from waymark.operators import search
+from waymark.plans import index
 
 
 def plan(df) -> str:
@@ -44,3 +45,14 @@ def test_row_numbers_cut_early(spark):
     assert "WindowGroupLimit" in plan(top) and "salt" in plan(top)
     assert [(r["idx"], r["level"], r["pos"]) for r in top.orderBy("pos").collect()] == [(i, 0, k) for k, i in enumerate((1, 3, 5, 7, 9))]
     assert search.intersect(phrases, index).where(F.col("level") == 1).count() == 100
+
+
+def test_synonyms_are_sent_to_the_postings(spark, sf_dir, monkeypatch):
+    strings = catalog._parts(spark, sf_dir)
+    synonyms = spark.createDataFrame([("red", "crimson"), ("s", "small")], "word string, synonym string")
+    few = index.postings(strings, synonyms)
+    assert "BuildRight" in plan(few) and "BuildLeft" not in plan(few)
+    monkeypatch.setattr(index, "MOST_BROADCAST", 1)
+    many = index.postings(strings, synonyms)
+    assert "SortMergeJoin" in plan(many) and "Broadcast" not in plan(many)
+    assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty()

@@ -12,18 +12,23 @@ from pyspark.sql.window import Window
 
 from waymark.functions import text
 
+#: Synonyms up to which they are broadcast; more are shuffled.
+MOST_BROADCAST = 100_000
+
 
 def postings(strings: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
     """Postings of strings (idx, text). synonyms: word, synonym, both normalised single words.
 
     Strings are dealt by idx before their prefixes are spread, which are several times as large; the prefixes are
-    then counted where they are, and nothing is shuffled by token.
+    then counted where they are, and nothing is shuffled by token.  Synonyms go to the postings, never the other way: the
+    size that Spark estimates for postings is that of the compressed strings, which may seem small enough to broadcast.
     """
     words = strings.select("idx", "text").repartition("idx").select("idx", text.normalize(F.col("text")).alias("words"))
     counted = words.select("idx", "words", F.explode(text.all_prefixes(F.col("words"))).alias("token")).groupBy("idx", "token").agg(F.count("*").alias("n"), F.first("words").alias("words"))
     rows = counted.select(F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("mult"), "token", "idx", F.array_contains("words", F.col("token")).alias("exact"))
     if synonyms is None:
         return rows
+    synonyms = F.broadcast(synonyms) if synonyms.count() <= MOST_BROADCAST else synonyms.hint("merge")
     extra = rows.join(synonyms, F.col("token") == F.col("word")).select("mult", F.explode(text.prefixes(F.col("synonym"))).alias("token"), "idx", F.lit(True).alias("exact"))
     return rows.unionByName(extra).distinct()
 
