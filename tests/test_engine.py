@@ -52,6 +52,22 @@ def test_cycles_end(spark):
     assert all(len(r["path"]) == g.MAX_DEPTH for r in rows)
 
 
+def test_clashing_codes_multiply_no_rows(spark):
+    # Code 1 is a municipality's and a flat's; nothing stands below a flat.
+    rows = [place(1, g.NOV, "top"), place(2, g.PAG, "mid", 1), place(3, g.NLT, "low", 2), place(1, g.DZI, "flat", 3), place(4, g.DZI, "own", 3)]
+    for most in (100_000, 0):
+        got = sorted((r["code"], r["typ"], [o["name"] for o in r["path"]]) for r in g.with_paths(spark.createDataFrame(rows, OBJECTS), most).collect())
+        assert got == [(1, g.DZI, ["flat", "low", "mid", "top"]), (1, g.NOV, ["top"]), (2, g.PAG, ["mid", "top"]), (3, g.NLT, ["low", "mid", "top"]), (4, g.DZI, ["own", "low", "mid", "top"])]
+
+
+def test_rows_without_a_parent_do_not_go_up(spark):
+    # A thousand buildings that stand alone, each with a flat: no join sees a null parent of theirs.
+    rows = [place(i, g.NLT, f"h{i}") for i in range(1000)] + [place(1000 + i, g.DZI, f"f{i}", i) for i in range(1000)]
+    paths = g.with_paths(spark.createDataFrame(rows, OBJECTS), 0)
+    assert paths._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") <= 2  # one join a level, of which there is one
+    assert {r["code"]: [o["code"] for o in r["path"]] for r in paths.collect()} == {i: [i] for i in range(1000)} | {1000 + i: [1000 + i, i] for i in range(1000)}
+
+
 def test_address_record(paths, history):
     rows = {r["code"]: r for r in g.address(paths, history=history).collect()}
     assert rows[4]["address"] == "Ancīši\nAncene\nAsares pag.\nAknīstes nov." and rows[8]["address"] == "Vīlandes iela 18 - 1\nRīga"

@@ -35,22 +35,41 @@ def known_types(objects: DataFrame) -> DataFrame:
 
 
 def with_paths(objects: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
-    """Adds ``path``: the object and its ancestors, itself first, at most MAX_DEPTH.
+    """Adds ``path``: the object and its ancestors, itself first, at most MAX_DEPTH; one row an object.
 
-    Only objects that are somebody's parent get their paths level by level, each join going up by the last one's
-    parent and stopping where none is left; then one join gives all objects their parent's path.  Up to
-    ``most_broadcast`` parents are broadcast; more are shuffled, where AQE splits a parent of very many.
+    The parents of all objects, then the parents of these, and so on are written, each time the fewer; from the top down one
+    join a level gives them their parents' paths, and the last one gives all objects theirs.  Only rows with a parent go
+    up, so those without one do not meet in one task.  Up to ``most_broadcast`` parents of a level are broadcast; more are
+    shuffled, where AQE splits a parent of very many.  Of several objects with a parent's code the one of the highest type counts.
     """
     node = F.struct("code", "typ", "name", "super_code", "zip_code", "lat", "long", "atvk")
-    named = objects.where("super_code is not null").select(F.col("super_code").alias("code")).distinct()
-    sent = F.broadcast if named.count() <= most_broadcast else lambda df: df
-    parents = objects.join(named, "code", "left_semi").select(F.col("code").alias("_up"), node.alias("_node"))
-    above = parents.select(F.col("_up").alias("_own"), F.array("_node").alias("_path"), F.col("_node.super_code").alias("_next"))
-    for _ in range(MAX_DEPTH - 2):
-        above = above.join(sent(parents), F.col("_next") == F.col("_up"), "left")
-        above = above.select("_own", F.when(F.col("_node").isNull(), F.col("_path")).otherwise(F.concat("_path", F.array("_node"))).alias("_path"), F.col("_node.super_code").alias("_next"))
-    out = objects.join(sent(above.drop("_next")), F.col("super_code") == F.col("_own"), "left")
+    scratch = Scratch(objects.sparkSession, "paths")
+    place = F.coalesce(by_type(INDEX_ORDER, F.col("typ")), F.lit(len(INDEX_ORDER) + 1))
+    levels, sizes = [], []
+    for n in range(MAX_DEPTH - 1):
+        below = levels[-1].select("_node.super_code") if levels else objects.select("super_code")
+        named = below.where("super_code is not null").select(F.col("super_code").alias("_own")).distinct()
+        if levels:
+            own = levels[-1].join(F.broadcast(named) if sizes[-1] <= most_broadcast else named, "_own", "left_semi")
+        else:
+            own = objects.join(named, F.col("code") == F.col("_own"), "left_semi").groupBy(F.col("code").alias("_own")).agg(F.min(F.struct(place.alias("place"), node.alias("node"))).alias("best")).select("_own", F.col("best.node").alias("_node"))
+        own = scratch.table(own, f"level{n}")
+        size = own.count()
+        if not size:
+            break
+        levels.append(own)
+        sizes.append(size)
+    above = None
+    for own, size in zip(reversed(levels), reversed(sizes), strict=True):
+        rows = own.select("_own", F.array("_node").alias("_path"), F.col("_node.super_code").alias("_next"))
+        if above is not None:
+            rows = rows.join(above.select(F.col("_own").alias("_up"), F.col("_path").alias("_rest")), F.col("_next") == F.col("_up"), "left")
+            rows = rows.select("_own", F.when(F.col("_rest").isNull(), F.col("_path")).otherwise(F.concat("_path", "_rest")).alias("_path"))
+        above = F.broadcast(rows.select("_own", "_path")) if size <= most_broadcast else rows.select("_own", "_path").hint("merge")
     own = F.array(node)
+    if above is None:
+        return objects.withColumn("path", own)
+    out = objects.join(above, F.col("super_code") == F.col("_own"), "left")
     return out.withColumn("path", F.when(F.col("_path").isNull(), own).otherwise(F.concat(own, "_path"))).drop("_own", "_path")
 
 
