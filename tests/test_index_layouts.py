@@ -54,6 +54,21 @@ def test_a_frequent_phrase_reads_few_blocks(spark):
     assert rows <= 2 * 2 * (6 * 256) and cut.select(F.sum("n")).first()[0] > 300_000
 
 
+def test_blocks_are_never_broadcast(spark, monkeypatch):
+    index = search.Index.build(strings(spark, 300))
+    own = index.scratch.keep(blocks.blocked(index.posting, 16))
+    phrases = spark.createDataFrame(ASKED, PHRASES)
+    tokens = index.scratch.keep(blocks._tokens(phrases, index.vocab))
+    want = answers(search.intersect(phrases, index, limit=20))
+    few = plan(blocks._drivers(tokens, own, True))
+    assert "BuildLeft" in few and "BuildRight" not in few
+    assert answers(blocks.intersect(phrases, own, index.vocab, index.scratch, 20, first_spans=1)) == want
+    monkeypatch.setattr(blocks, "MOST_BROADCAST", 0)
+    many = plan(blocks._drivers(tokens, own, True))
+    assert "SortMergeJoin" in many and "BroadcastHashJoin" not in many
+    assert answers(blocks.intersect(phrases, own, index.vocab, index.scratch, 20, first_spans=1)) == want
+
+
 def test_deltas_answer_as_a_rebuild(spark, tmp_path):
     root = str(tmp_path / "index")
     base = strings(spark, 200)

@@ -17,6 +17,13 @@ SPAN = 4096
 #: Spans of a phrase's rarest list that its first round reads; each further round reads twice as many.
 FIRST_SPANS = 2
 SALTS = 32
+#: Rows that look blocks up, up to which they are broadcast; more are shuffled.
+MOST_BROADCAST = 100_000
+
+
+def _asking(rows: DataFrame) -> DataFrame:
+    """The side of a join that looks blocks up: the blocks, which pack into files of a small size, are never broadcast."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows.hint("merge")
 
 
 def blocked(posting: DataFrame, span: int = SPAN) -> DataFrame:
@@ -42,7 +49,7 @@ def _drivers(tokens: DataFrame, blocks: DataFrame, first_level: bool) -> DataFra
     place = F.row_number().over(Window.partitionBy("q_id", "v").orderBy(size, "token"))
     rarest = tokens.withColumn("only", only).withColumn("_place", place).where("_place = 1").select("q_id", "v", "token", "mult", "only")
     heads = blocks.select("mult", "token", "span", "exact")
-    return rarest.join(heads, ["mult", "token"]).where("exact or not only").groupBy("q_id", "v").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    return _asking(rarest).join(heads, ["mult", "token"]).where("exact or not only").groupBy("q_id", "v").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
 
 def intersect(phrases: DataFrame, blocks: DataFrame, vocab: DataFrame, scratch: Scratch, limit: int = 1024, allowed: DataFrame | None = None, first_spans: int = FIRST_SPANS, trace: list[DataFrame] | None = None) -> DataFrame:
@@ -67,7 +74,7 @@ def intersect(phrases: DataFrame, blocks: DataFrame, vocab: DataFrame, scratch:
             if going.isEmpty():
                 break
             spans = going.select(*key, F.explode(F.slice("spans", at + 1, width)).alias("span"))
-            met = spans.join(stage, key).join(blocks.select("mult", "token", "span", "exact", "ids"), ["mult", "token", "span"])
+            met = _asking(spans.join(stage, key)).join(blocks.select("mult", "token", "span", "exact", "ids"), ["mult", "token", "span"])
             if first_level:
                 met = met.where(F.col("exact") | ((F.col("n_exact") == 0) & ~F.col("whole")))
             else:
