@@ -56,3 +56,12 @@ def test_synonyms_are_sent_to_the_postings(spark, sf_dir, monkeypatch):
     many = index.postings(strings, synonyms)
     assert "SortMergeJoin" in plan(many) and "Broadcast" not in plan(many)
     assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty()
+
+
+def test_prefix_totals_equal_the_counts(spark):
+    rows = [(1, "ab abc ab b"), (2, "aa a"), (2, "ab x"), (3, None), (4, " , "), (None, "q qu"), (None, "q"), (5, "ē e \U0001f600x \U0001f600y \U0001f600"), (6, "one")]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    totals = index.prefix_totals(texts, "doc_id")
+    want = index.prefix_counts(texts, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_prefixes"), F.count_if(F.col("n") > 1).alias("n_repeated"), F.max("n").alias("most"))
+    key = lambda r: (r[0] or 0, *r[1:])
+    assert sorted(map(tuple, totals.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)

@@ -67,8 +67,7 @@ def prefix_stats(spark, sf_dir):
 c AS (SELECT doc_id, token, count(*) AS n FROM p GROUP BY ALL) SELECT doc_id, count(*) AS n_prefixes, count(*) FILTER (n > 1) AS n_repeated, CAST(max(n) AS BIGINT) AS most FROM c GROUP BY doc_id""",
 )
 def repeated_tokens(spark, sf_dir):
-    counted = plan.prefix_counts(read(spark, sf_dir, "documents"), "doc_id")
-    return counted.groupBy("doc_id").agg(F.count("*").alias("n_prefixes"), F.count_if(F.col("n") > 1).alias("n_repeated"), F.max("n").alias("most"))
+    return plan.prefix_totals(read(spark, sf_dir, "documents"), "doc_id")
 
 
 @query("posting_stats", f"WITH {_PREFIXES}, t AS (SELECT mult, token, count(*) AS n FROM posting GROUP BY ALL) SELECT CAST(mult AS INTEGER) AS mult, count(*) AS n_tokens, CAST(sum(n) AS BIGINT) AS n_refs FROM t GROUP BY mult")

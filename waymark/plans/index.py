@@ -6,7 +6,7 @@ token; exact if token is one of its words.  vocab: mult, token, n_exact, n_appro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,6 +40,36 @@ def prefix_counts(texts: DataFrame, key: str) -> DataFrame:
     return counted.groupBy(key, "token").agg(F.sum("k").alias("n"))
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """How many first characters two words have in common."""
+    ends = F.filter(F.sequence(F.lit(1), F.least(F.length(a), F.length(b))), lambda i: F.substr(a, F.lit(1), i) == F.substr(b, F.lit(1), i))
+    return F.when(a == b, F.length(a)).otherwise(F.size(ends))
+
+
+def prefix_totals(texts: DataFrame, key: str) -> DataFrame:
+    """key, n_prefixes, n_repeated, most: a text's distinct prefixes, how many of them occur twice or more, and the greatest count.
+
+    Words that begin alike are neighbours in order, so the numbers follow from what neighbours share and no prefix is spread;
+    a text is worked on where it is read.  Only the texts of a key that repeats are counted prefix by prefix.
+    """
+    again = texts.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) | F.col(key).isNull()).select(F.col(key).alias("_again"))
+    again = F.broadcast(again) if again.count() <= MOST_BROADCAST else again.hint("merge")
+    met = F.col(key).eqNullSafe(F.col("_again"))
+    counted = prefix_counts(texts.join(again, met, "left_semi"), key).groupBy(key).agg(F.count("*").alias("n_prefixes"), F.count_if(F.col("n") > 1).alias("n_repeated"), F.max("n").alias("most"))
+    own = texts.join(again, met, "left_anti").select(key, F.array_sort(text.normalize(F.col("text"))).alias("w")).where(F.size("w") > 0)
+    n = F.size("w") - 1
+    own = own.select(key, F.aggregate("w", F.lit(0).cast("bigint"), lambda s, w: s + F.length(w)).alias("chars"), F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), _shared).alias("shared"))
+    long = lambda x: F.lit(x).cast("bigint")
+    zero = F.struct(long(0).alias("last"), long(0).alias("sum"), long(0).alias("twice"), long(1).alias("run"), long(1).alias("most"))
+
+    def add(s: Column, x: Column) -> Column:
+        run = F.when(x > 0, s["run"] + 1).otherwise(long(1))
+        return F.struct(x.cast("bigint").alias("last"), (s["sum"] + x).alias("sum"), (s["twice"] + F.greatest(x - s["last"], long(0))).alias("twice"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
+
+    own = own.select(key, "chars", F.aggregate("shared", zero, add).alias("s"))
+    return own.select(key, (F.col("chars") - F.col("s.sum")).alias("n_prefixes"), F.col("s.twice").alias("n_repeated"), F.col("s.most").alias("most")).unionByName(counted)
+
+
 def vocabulary(posting: DataFrame) -> DataFrame:
     return posting.groupBy("mult", "token").agg(F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_approx"))
 
