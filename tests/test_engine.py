@@ -107,6 +107,37 @@ def test_resolve(spark, index, paths, history):
     assert rows == {1: 4, 2: 8, 3: 5, 4: None}
 
 
+def test_resolve_asks_a_text_once(spark, index, paths, history, monkeypatch):
+    steps, own = [], resolve.search
+
+    def counted(asked, *rest, **more):
+        steps.append([r["text"] for r in asked.collect()])
+        return own(asked, *rest, **more)
+
+    monkeypatch.setattr(resolve, "search", counted)
+    records = g.address(paths, ()).select("code", "address")
+    texts = ["Vīlandes iela 18 - 1, Rīga", "VĪLANDES iela 18 - 1, Rīga", "qqqq, Rīga", "wwww, Rīga", "qqqq, Rīga", "zzzz", "rīga", None, "zzzz"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "q_id bigint, text string")
+    rows = {r["q_id"]: (r["text"], r["code"]) for r in resolve.resolve(asked, index, search.ranking_words(paths, history), records).collect()}
+    assert rows == {i: (t, c) for i, (t, c) in enumerate(zip(texts, [8, 8, 5, 5, 5, None, 5, None, None], strict=True))}
+    # "rīga" was answered and "zzzz" was not by the first step, which the others know; so are whole texts asked again with the part before.
+    every = [t for s in steps for t in s if t is not None]
+    assert sorted(every) == sorted(set(every)) and {"qqqq, rīga", "rīga", "zzzz"} <= set(every)
+
+
+def test_only_unanswered_queries_are_spread(spark, index, monkeypatch):
+    spread, own = [], search.merge_variants
+
+    def seen(queries):
+        spread.extend(r["q_id"] for r in queries.collect())
+        return own(queries)
+
+    monkeypatch.setattr(search, "merge_variants", seen)
+    asked = spark.createDataFrame([(1, ["vilandes", "iela"]), (2, ["vil", "andes", "ie", "la"]), (3, ["zzzz"]), (4, [])], "q_id bigint, words array<string>")
+    found = {(r["q_id"], r["v"], r["edit_distance"]) for r in search.exact_search(asked, index).collect()}
+    assert found == {(1, 0, 0), (2, 5, 2)} and {2, 3} <= set(spread) and 1 not in spread
+
+
 @pytest.mark.parametrize("unique", [False, True])
 def test_nearest_equals_full_scan(spark, unique):
     rng = random.Random(1)
