@@ -402,3 +402,54 @@ def test_written_lines_keep_their_order_over_files(spark, tmp_path):
     assert len(list((tmp_path / "AW_EKA_HIS").glob("part-*.csv"))) > 1
     got = {(r["code"], r["pos"]): r["text"] for r in opendata.load_history(spark, [file]).collect()}
     assert len(got) == 2000 and all(got[c, p] == f"n{[i for i in range(2000) if i % 3 == c][::-1][p]}" for c, p in ((0, 0), (1, 5), (2, 300), (0, 666)))
+
+
+def both_ways(spark, rows, texts):
+    """q_id, code by groups of alike objects, and by an index of every object."""
+    paths = g.with_paths(spark.createDataFrame(rows, OBJECTS)).cache()
+    asked = spark.createDataFrame(list(enumerate(texts)), "q_id bigint, text string")
+    alike = resolve.Alike.build(paths.select("code", "typ", g.named_path(F.col("path")).alias("path")))
+    every = resolve.resolve(asked, search.Index.build(g.index_strings(paths)), search.ranking_words(paths), g.address(g.with_leaf_flag(paths), ()).select("code", "address"))
+    return [{r["q_id"]: (r["text"], r["code"], r["address"]) for r in found.collect()} for found in (resolve.resolve_alike(asked, alike), every)]
+
+
+def test_alike_objects_answer_as_every_object(spark):
+    rows = [place(1, g.PIL, "Rīga"), place(2, g.PIL, "Riga"), place(3, g.PIL, "RĪGA"), place(4, g.PIL, "Rīga"), place(5, g.PIL, "Riga")]
+    rows += [place(10 + i, g.IEL, "Vīlandes iela", 1 + i % 5) for i in range(15)]
+    rows += [place(100 + i, g.NLT, str(1 + i % 3), 10 + i % 15) for i in range(60)]
+    rows += [place(1000 + i, g.DZI, "1", 100 + i % 60) for i in range(80)] + [place(2000, g.DZI, "2", 100)]
+    texts = ["Rīga", "Riga", "RĪGA", "riga", "Vīlandes iela, Rīga", "Vilandes iela, Riga", "Vīlandes iela 1, Rīga", "Vīlandes iela 2 - 1, Rīga", "Vīlandes iela 1 - 2, Rīga", "Vīlandez iela 3, RĪGA", "qqqq, Riga", "Vil andes iela 1, Rīga", "1", "iela", "zzzz", "", None, "1, Rīga"]
+    alike, every = both_ways(spark, rows, texts)
+    assert alike == every and alike[0][1] == 1 and alike[7][1] is not None and alike[14][1] is None
+
+
+@pytest.mark.parametrize("copies", [1000, 1030])
+def test_alike_objects_count_one_by_one(spark, copies):
+    # The village ranks best, but stands behind the cities, of which a search considers 1024.
+    rows = [place(i, g.PIL, "Alfa Beta") for i in range(copies)] + [place(9000, g.CIE, "Beta Alfa"), place(9001, g.CIE, "Beta Alfa"), place(9002, g.CIE, "Gamma")]
+    alike, every = both_ways(spark, rows, ["Beta Alfa", "Alfa Beta", "Gamma"])
+    assert alike == every and alike[0][1] == (9000 if copies < search.MAX_REFS else None) and alike[2][1] == 9002
+
+
+def test_alike_objects_may_share_codes(spark):
+    rows = [(1, g.NLT, [(g.NLT, "18"), (g.PIL, "Rīga")]), (1, g.DZI, [(g.DZI, "2"), (g.NLT, "19"), (g.PIL, "Rīga")]), (2, g.DZI, [(g.DZI, "2"), (g.NLT, "18"), (g.PIL, "Rīga")]), (3, g.NLT, [(g.NLT, "19"), (g.PIL, "Rīga")])]
+    objects = spark.createDataFrame(rows, "code bigint, typ int, path array<struct<typ:int,name:string>>")
+    asked = spark.createDataFrame([(1, "18, Rīga"), (1, "19 - 2, Rīga"), (2, "18 - 2, Rīga"), (3, "19, Rīga"), (4, "18 - 3, Rīga")], "q_id bigint, text string")
+    got = sorted((r["q_id"], r["text"], r["code"], r["address"]) for r in resolve.resolve_alike(asked, resolve.Alike.build(objects)).collect())
+    # The last one's end "Rīga" is asked, which no object is.
+    assert got[:4] == [(1, "18, Rīga", 1, "18\nRīga"), (1, "19 - 2, Rīga", 1, "19 - 2\nRīga"), (2, "18 - 2, Rīga", 2, "18 - 2\nRīga"), (3, "19, Rīga", 3, "19\nRīga")] and len(got) == 5
+
+
+def test_copies_do_not_grow_the_index(spark, sf_dir, tmp_path, monkeypatch):
+    from waymark import catalog
+
+    for t in ("region", "nation", "supplier", "customer", "orders"):
+        keys = {"supplier": ["s_suppkey"], "customer": ["c_custkey"], "orders": ["o_orderkey", "o_custkey"]}.get(t, [])
+        rows = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        for i in range(1, 3 if keys else 1):
+            rows = rows.unionByName(spark.read.parquet(f"{sf_dir}/{t}.parquet").withColumns({k: F.col(k) + 100_000 * i for k in keys}))
+        rows.write.parquet(f"{tmp_path}/{t}.parquet")
+    sizes, own = [], search.Index.build.__func__
+    monkeypatch.setattr(search.Index, "build", classmethod(lambda cls, strings, *more: sizes.append(strings.count()) or own(cls, strings, *more)))
+    found = [{(r["text"], r["code"], r["address"]) for r in catalog.resolve_batch(spark, str(d)).collect()} for d in (sf_dir, tmp_path)]
+    assert found[0] == found[1] and sizes[0] == sizes[1] and len(sizes) == 2
