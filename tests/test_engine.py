@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from waymark import catalog_io
 from waymark.operators import filters, resolve, search, spatial, sync
 from waymark.plans import gazetteer as g
+from waymark.plans import index as index_plan
 from waymark.sources import download, opendata, register, sinks
 from waymark.streaming import refresh
 
@@ -453,3 +454,17 @@ def test_copies_do_not_grow_the_index(spark, sf_dir, tmp_path, monkeypatch):
     monkeypatch.setattr(search.Index, "build", classmethod(lambda cls, strings, *more: sizes.append(strings.count()) or own(cls, strings, *more)))
     found = [{(r["text"], r["code"], r["address"]) for r in catalog.resolve_batch(spark, str(d)).collect()} for d in (sf_dir, tmp_path)]
     assert found[0] == found[1] and sizes[0] == sizes[1] and len(sizes) == 2
+
+
+def test_asked_postings_equal_the_full_ones(spark):
+    texts = ["ak ak aka", "aka akācijas", "Rīga riga RIGA", "", None, "a-b, a.b", "21 215 2", "x" * 40, "ak"]
+    strings = spark.createDataFrame([(i, 100 + i, t) for i, t in enumerate(texts)], "idx bigint, code bigint, text string")
+    full = search.Index.build(strings)
+    asked = spark.createDataFrame([(t,) for t in ("ak", "ak", "a", "rig", "riga", "2", "21", "zz", "", "xx")], "token string")
+    key = lambda rows: sorted((r["mult"], r["token"], r["idx"], r["exact"]) for r in rows.collect())
+    got = key(index_plan.postings_of(strings, asked))
+    assert got == key(full.posting.join(asked.distinct(), "token")) and {t for _, t, _, _ in got} == {"ak", "a", "rig", "riga", "2", "21", "xx"}
+    queries = spark.createDataFrame([(1, ["ak", "ak"]), (2, ["ri", "ga"]), (3, ["a", "b"]), (4, ["2", "21"]), (5, ["zz"]), (6, ["aka", "a"])], "q_id bigint, words array<string>")
+    some = search.AskedIndex.build(strings)
+    rows = lambda index: sorted(map(tuple, search.exact_search(queries, index).collect()))
+    assert rows(some) == rows(full) and {r[0] for r in rows(some)} == {1, 2, 3, 4, 6}
