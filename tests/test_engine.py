@@ -450,8 +450,10 @@ def test_copies_do_not_grow_the_index(spark, sf_dir, tmp_path, monkeypatch):
         for i in range(1, 3 if keys else 1):
             rows = rows.unionByName(spark.read.parquet(f"{sf_dir}/{t}.parquet").withColumns({k: F.col(k) + 100_000 * i for k in keys}))
         rows.write.parquet(f"{tmp_path}/{t}.parquet")
-    sizes, own = [], search.Index.build.__func__
-    monkeypatch.setattr(search.Index, "build", classmethod(lambda cls, strings, *more: sizes.append(strings.count()) or own(cls, strings, *more)))
+    sizes = []
+    for kind in (search.Index, search.AskedIndex):
+        own = kind.build.__func__
+        monkeypatch.setattr(kind, "build", classmethod(lambda cls, strings, *more, own=own: sizes.append(strings.count()) or own(cls, strings, *more)))
     found = [{(r["text"], r["code"], r["address"]) for r in catalog.resolve_batch(spark, str(d)).collect()} for d in (sf_dir, tmp_path)]
     assert found[0] == found[1] and sizes[0] == sizes[1] and len(sizes) == 2
 
